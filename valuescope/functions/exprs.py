@@ -23,6 +23,11 @@ def money_sum(c) -> Column:
     return F.sum(col(c).cast(MONEY)).cast("double")
 
 
+def money_avg(c) -> Column:
+    """Mean of a money column from the exact decimal sum."""
+    return F.try_divide(money_sum(c), F.count(col(c)).cast("double"))
+
+
 def dsum(c) -> Column:
     """sum() of a flag/int as double (no decimal promotion)."""
     return F.sum(col(c)).cast("double")
