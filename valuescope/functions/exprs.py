@@ -59,12 +59,24 @@ def pearson(x, y) -> Column:
     return F.try_divide(F.covar_pop(xx, yy), F.nullif(F.stddev_pop(xx) * F.stddev_pop(yy), F.lit(0.0)))
 
 
+def r6(c) -> Column:
+    """Round half up to 6 decimals as floor(x*1e6 + 0.5)/1e6.
+
+    Written as plain IEEE operations so that Spark and the SQL twin produce
+    bit-identical doubles (the engines' ROUND functions break ties
+    differently).
+    """
+    x = col(c).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) > F.lit(1e15)), x) \
+        .otherwise(F.floor(x * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6))
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double/float column (result presentation)."""
     exprs = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            exprs[f.name] = F.round(F.col(f.name).cast("double"), digits)
+            exprs[f.name] = r6(f.name)
     return df.withColumns(exprs) if exprs else df
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import job
-from ..functions.exprs import count_if, money_avg, money_sum, pct, ratio, round_doubles
+from ..functions.exprs import count_if, money_avg, money_sum, pct, r6, ratio, round_doubles
 from ..plans.mart import MART_COLUMNS, user_mart
 from ..twins import with_mart
 from .core import WHALE_LTV_FIXED
@@ -125,7 +125,7 @@ ORDER BY arpu DESC, media_source LIMIT 8"""))
 def channel_top_arpu(spark: SparkSession, sf_dir: str, k: int = 8, min_users: int = CHANNEL_MIN_USERS) -> DataFrame:
     m = user_mart(spark, sf_dir)
     g = (m.where(F.col("media_source").isNotNull() & (F.col("media_source") != ""))
-         .groupBy("media_source").agg(_n().alias("users"), F.round(money_sum("ltv30") / _n(), 6).alias("arpu"))
+         .groupBy("media_source").agg(_n().alias("users"), r6(money_sum("ltv30") / _n()).alias("arpu"))
          .where(F.col("users") >= min_users))
     return g.orderBy(F.col("arpu").desc(), "media_source").limit(k)
 
@@ -455,7 +455,7 @@ def late_rate_by_channel(spark: SparkSession, sf_dir: str, min_users: int = CHAN
     m = user_mart(spark, sf_dir)
     g = (m.where(F.col("media_source").isNotNull() & (F.col("media_source") != ""))
          .groupBy("media_source").agg(_n().alias("total"), count_if(_late()).alias("late_payers"),
-                                      F.round(pct(count_if(_late()), _n()), 6).alias("late_rate"))
+                                      r6(pct(count_if(_late()), _n())).alias("late_rate"))
          .where(F.col("total") >= min_users))
     return g.orderBy(F.col("late_rate").desc(), "media_source").limit(k)
 
