@@ -43,3 +43,14 @@ def test_cutoffs_with_filter(spark):
     c = cutoff_values(m, "ltv30", {"med": 0.5}, where=F.col("ltv30") > 0)
     exp = m.where("ltv30 > 0").agg(F.median("ltv30")).first()[0]
     assert abs(c["med"] - exp) < 1e-6
+
+
+def test_grouped_rank_restarts_per_group(spark):
+    m = _mart(spark)
+    long = m.select("vopenid", F.lit("a").alias("g"), F.col("ltv30").alias("v")).unionByName(
+        m.select("vopenid", F.lit("b").alias("g"), F.col("rev_d7").alias("v")))
+    r = global_rank(long, "v", desc=True, group="g", measure="v", target=60)
+    got = {(row["g"], row["vopenid"]): row["rn"] for row in r.df.collect()}
+    for g, c in (("a", "ltv30"), ("b", "rev_d7")):
+        rows = sorted(m.collect(), key=lambda x: (-x[c], x["vopenid"]))
+        assert [got[(g, x["vopenid"])] for x in rows] == list(range(1, len(rows) + 1))

@@ -45,16 +45,20 @@ def _search(expr: Column, edges: list, base: int = 0) -> Column:
 @dataclass
 class Ranked:
     df: DataFrame      # input columns + rn (1-based) [+ cum]
-    n: int             # number of ranked rows
+    n: int             # number of ranked rows (all groups)
+    counts: dict | None = None  # rows per group when grouped
 
 
-def _bucket_column(df: DataFrame, key: str, tiebreak: str, desc: bool, target: int, n: int):
+def _value_buckets(df: DataFrame, key: str, tiebreak: str, desc: bool, target: int, n: int,
+                   gcond: Column | None = None):
+    """Bucket expression for one population (a group or everything)."""
     nb = max(1, math.ceil(n / target))
     if nb == 1:
-        return F.lit(0), 1
+        return F.lit(0)
+    src = df.where(gcond) if gcond is not None else df
     fr = [i / nb for i in range(1, nb)]
     acc = max(10000, 20 * nb)
-    edges = df.agg(F.percentile_approx(F.col(key).cast("double"), fr, acc).alias("e")).first()["e"] or []
+    edges = src.agg(F.percentile_approx(F.col(key).cast("double"), fr, acc).alias("e")).first()["e"] or []
     counts: dict[float, int] = {}
     for e in edges:
         counts[e] = counts.get(e, 0) + 1
@@ -72,7 +76,7 @@ def _bucket_column(df: DataFrame, key: str, tiebreak: str, desc: bool, target: i
     if heavy:
         s = max(counts[v] for v in heavy) + 1
         tfr = [j / s for j in range(1, s)]
-        rows = (df.where(kc.isin(heavy)).groupBy(kc.alias("v"))
+        rows = (src.where(kc.isin(heavy)).groupBy(kc.alias("v"))
                 .agg(F.percentile_approx(F.col(tiebreak).cast("double"), tfr, acc).alias("t")).collect())
         tmap = {r["v"]: sorted(set(r["t"] or [])) for r in rows}
         smax = max([len(t) + 1 for t in tmap.values()] + [1])
@@ -84,28 +88,42 @@ def _bucket_column(df: DataFrame, key: str, tiebreak: str, desc: bool, target: i
         if sub_expr is not None:
             sub = sub_expr.otherwise(F.lit(0))
     b = (F.lit(n_value_buckets - 1) - b_asc) if desc else b_asc
-    return b * F.lit(smax) + sub, n_value_buckets * smax
+    return b * F.lit(smax) + sub
 
 
 def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vopenid",
                 measure: str | None = None, target: int | None = None, n: int | None = None,
-                money: bool = True) -> Ranked:
-    """Add ``rn`` (1-based global position) and, with ``measure``, ``cum``
-    (running sum of the measure up to and including the row).
-
-    Rows with a null ``key`` are dropped (callers filter explicitly).
-    ``money`` sums the measure as DECIMAL(18,2) (exact), else as double.
+                money: bool = True, group: str | None = None, max_rows: int | None = None) -> Ranked:
+    """Add ``rn`` (1-based position in the order key, tiebreak) and, with
+    ``measure``, ``cum`` (running sum of the measure up to the row).
+
+    With ``group`` the order restarts in every group (one pass for all
+    groups, e.g. one rank per strategy or per feature). Rows with a null key
+    are dropped. ``money`` sums the measure as DECIMAL(18,2) (exact).
+    ``max_rows``: a known upper bound on the row count; when it fits one
+    bucket the count job is skipped (``n`` is then reported as 0).
     """
     spark = df.sparkSession
     target = target or bucket_rows(spark)
     df = df.where(F.col(key).isNotNull())
-    if n is None:
-        n = df.count()
-    bcol, _ = _bucket_column(df, key, tiebreak, desc, target, n)
+    counts = None
+    if group is None:
+        if n is None and not (max_rows is not None and max_rows <= target):
+            n = df.count()
+        bcol = _value_buckets(df, key, tiebreak, desc, target, n or 0)
+    else:
+        counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}  # one row per group
+        n = sum(counts.values())
+        bcol = None
+        for g, c in counts.items():
+            gc = F.col(group).isNull() if g is None else (F.col(group) == F.lit(g))
+            e = _value_buckets(df, key, tiebreak, desc, target, c, gc)
+            bcol = F.when(gc, e) if bcol is None else bcol.when(gc, e)
+        bcol = F.lit(0) if bcol is None else bcol.otherwise(F.lit(0))
     x = df.withColumn("_b", bcol)
+    parts = ([group] if group else []) + ["_b"]
     order = [F.col(key).desc() if desc else F.col(key).asc(), F.col(tiebreak).asc()]
-    w = Window.partitionBy("_b").orderBy(*order)
-    m = None
+    w = Window.partitionBy(*parts).orderBy(*order)
     if measure:
         m = F.col(measure).cast("decimal(18,2)") if money else F.col(measure).cast("double")
         x = x.withColumn("_m", m)
@@ -115,20 +133,21 @@ def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vop
     aggs = [F.count(F.lit(1)).alias("_bn")]
     if measure:
         aggs.append(F.sum("_m").alias("_bs"))
-    # one row per bucket: size bounded by the bucket count → broadcast
-    tot = x.groupBy("_b").agg(*aggs)
-    wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (group, bucket): bounded by the bucket count → broadcast
+    tot = x.groupBy(*parts).agg(*aggs)
+    wo = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_b") \
+        .rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_on", F.coalesce(F.sum("_bn").over(wo), F.lit(0)))
-    cols = ["_b", "_on"]
+    cols = parts + ["_on"]
     if measure:
         zero = F.lit(0).cast("decimal(38,2)") if money else F.lit(0.0)
         tot = tot.withColumn("_os", F.coalesce(F.sum("_bs").over(wo), zero))
         cols.append("_os")
-    x = x.join(F.broadcast(tot.select(*cols)), "_b")
+    x = x.join(F.broadcast(tot.select(*cols)), parts)
     x = x.withColumn("rn", (F.col("_on") + F.col("_rl")).cast("bigint"))
     if measure:
         x = x.withColumn("cum", (F.col("_os") + F.col("_cl")).cast("double"))
-    return Ranked(x.drop("_b", "_rl", "_cl", "_on", "_os", "_m"), n)
+    return Ranked(x.drop("_b", "_rl", "_cl", "_on", "_os", "_m"), n or 0, counts)
 
 
 def quantiles(df: DataFrame, key: str, qs: dict[str, float], tiebreak: str = "vopenid",
@@ -196,3 +215,32 @@ def group_percentile(df: DataFrame, groups: list[str], key: str, spark=None):
 def percent_rank_bucket(rn: Column, n: int, buckets: int) -> Column:
     """0-based bucket from a 1-based global rank: floor((rn-1)*buckets/n)."""
     return F.floor((rn - F.lit(1)) * F.lit(buckets) / F.lit(n)).cast("int")
+
+
+def mid_ranks(df: DataFrame, key: str, out: str, group: str | None = None,
+              max_rows: int | None = None) -> DataFrame:
+    """Attach the 1-based mid-rank of ``key`` (ties share the mean rank).
+
+    Distinct values are counted first (partial aggregation collapses hot
+    values such as 0), the distinct frame is ranked with the bucketed global
+    rank, and the ranks are joined back on the value; a hot value meets a
+    single row on the other side, which AQE's skew join splits.
+    """
+    g = [group] if group else []
+    d = df.where(F.col(key).isNotNull()).groupBy(*g, key).agg(F.count(F.lit(1)).alias("_c"))
+    r = global_rank(d, key, desc=False, tiebreak=key, measure="_c", money=False, group=group, max_rows=max_rows)
+    rk = r.df.select(*g, key, (F.col("cum") - F.col("_c") + (F.col("_c") + F.lit(1.0)) / F.lit(2.0)).alias(out))
+    return df.join(rk, g + [key], "left")
+
+
+def prefix_sums_at(ranked: Ranked, positions: list[int]) -> DataFrame:
+    """(pos, cum) for each requested 1-based position; pos 0 → 0.
+
+    The position list is bounded (a curve has ≤ a few hundred points) and
+    derived from the row count, so it is broadcast.
+    """
+    spark = ranked.df.sparkSession
+    pos = spark.createDataFrame([(int(p),) for p in sorted(set(positions))], "pos bigint")
+    hits = ranked.df.where(F.col("rn").isin(sorted({p for p in positions if p > 0}) or [-1])) \
+        .select(F.col("rn").alias("pos"), "cum")
+    return pos.join(F.broadcast(hits), "pos", "left").select("pos", F.coalesce("cum", F.lit(0.0)).alias("cum"))
