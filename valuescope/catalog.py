@@ -31,6 +31,7 @@ MODULES = [
     "valuescope.operators.cohorts",
     "valuescope.operators.temporal",
     "valuescope.operators.stats",
+    "valuescope.operators.contrast",
     "valuescope.operators.evaluation",
     "valuescope.operators.seeds",
     "valuescope.operators.splits",

@@ -406,16 +406,20 @@ def metrics_by_segment(spark: SparkSession, sf_dir: str, min_users: int = SEG_MI
     keep = m.groupBy("first_country_code").agg(F.count(F.lit(1)).alias("u")).where(F.col("u") > min_users)
     mm = m.join(F.broadcast(keep.select("first_country_code")), "first_country_code", "left_semi")  # ≤ #countries
     sc = score_frame(mm.withColumnRenamed("first_country_code", "segment"), keep=["segment"])
-    sc = sc.withColumn("grp", F.concat_ws("|", "segment", "strategy"))
-    r = global_rank(sc, "score", desc=True, tiebreak="vopenid", measure="actual", group="grp")
-    st = sc.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), money_sum("actual").alias("total"))
-    x = r.df.join(F.broadcast(st), "grp")
-    lift = x.groupBy("grp").agg(F.try_divide(F.max(F.when(F.col("rn") == _k(F.col("n"), 100), F.col("cum"))) * 100.0,
-                                             F.nullif(F.max("total"), F.lit(0.0))).alias("lift_at_10"),
-                                F.count(F.lit(1)).alias("users"))
-    rs = mid_ranks(sc, "score", "rs", group="grp")
-    ra = mid_ranks(rs, "actual", "ra", group="grp")
-    sp = ra.groupBy("grp").agg(pearson("rs", "ra").alias("spearman"))
-    j = lift.join(sp, "grp")
-    return round_doubles(j.select(F.split("grp", "[|]").getItem(0).alias("segment"),
+    g = group_metrics(sc.withColumn("grp", F.concat_ws("|", "segment", "strategy")), "grp")
+    return round_doubles(g.select(F.split("grp", "[|]").getItem(0).alias("segment"),
                                   F.split("grp", "[|]").getItem(1).alias("strategy"), "users", "lift_at_10", "spearman"))
+
+
+def group_metrics(sc: DataFrame, grp: str) -> DataFrame:
+    """(grp, users, lift_at_10 [%], spearman) for a score frame with a group column — one grouped pass."""
+    r = global_rank(sc, "score", desc=True, tiebreak="vopenid", measure="actual", group=grp)
+    st = sc.groupBy(grp).agg(F.count(F.lit(1)).alias("n"), money_sum("actual").alias("total"))
+    x = r.df.join(F.broadcast(st), grp)  # one row per group
+    lift = x.groupBy(grp).agg(F.try_divide(F.max(F.when(F.col("rn") == _k(F.col("n"), 100), F.col("cum"))) * 100.0,
+                                           F.nullif(F.max("total"), F.lit(0.0))).alias("lift_at_10"),
+                              F.count(F.lit(1)).alias("users"))
+    rs = mid_ranks(sc, "score", "rs", group=grp)
+    ra = mid_ranks(rs, "actual", "ra", group=grp)
+    sp = ra.groupBy(grp).agg(pearson("rs", "ra").alias("spearman"))
+    return lift.join(sp, grp)
