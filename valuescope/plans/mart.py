@@ -135,9 +135,9 @@ def build_user_mart(spark: SparkSession, sf_dir: str, feat_days: int = FEAT_DAYS
 _MART_CACHE: dict[tuple, str] = {}
 
 
-def _source_fingerprint(sf_dir: str) -> str:
+def _source_fingerprint(sf_dir: str, tables=("orders", "lineitem", "customer", "nation", "region")) -> str:
     parts = [os.path.abspath(sf_dir)]
-    for t in ("orders", "lineitem", "customer", "nation", "region"):
+    for t in tables:
         p = table_path(sf_dir, t)
         try:
             st = os.stat(p)
@@ -147,28 +147,36 @@ def _source_fingerprint(sf_dir: str) -> str:
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
+def materialized(spark: SparkSession, name: str, sf_dir: str, tables, params: tuple, build) -> DataFrame:
+    """Write ``build()`` once per application as a Parquet table under the
+    shared ``spark.checkpoint.dir`` and read it back (cuts lineage; a written
+    table survives executor loss, unlike a local checkpoint)."""
+    if spark.conf.get("valuescope.mart.materialize", "true") != "true":
+        return build()
+    app = spark.sparkContext.applicationId
+    fp = _source_fingerprint(sf_dir, tables)
+    key = (app, name, fp, params)
+    path = _MART_CACHE.get(key)
+    if path is None:
+        root = ensure_checkpoint_dir(spark).rstrip("/")
+        path = f"{root}/{name}/{app}/{fp}_" + "_".join(str(p) for p in params)
+        build().write.mode("overwrite").parquet(path)
+        _MART_CACHE[key] = path
+    return spark.read.parquet(path)
+
+
 def user_mart(spark: SparkSession, sf_dir: str, feat_days: int = FEAT_DAYS, label_days: int = LABEL_DAYS,
               materialize: bool | None = None) -> DataFrame:
     """The mart every analysis reads.
 
     By default it is written once per application as a Parquet table under
-    the shared ``spark.checkpoint.dir`` (a written table cuts lineage and
-    survives executor loss) and read back; analyses then start from a
-    column-pruned scan instead of rebuilding the joins.
+    the shared ``spark.checkpoint.dir`` and read back; analyses then start
+    from a column-pruned scan instead of rebuilding the joins.
     """
-    if materialize is None:
-        materialize = spark.conf.get("valuescope.mart.materialize", "true") == "true"
-    if not materialize:
+    if materialize is False:
         return build_user_mart(spark, sf_dir, feat_days, label_days)
-    app = spark.sparkContext.applicationId
-    key = (app, _source_fingerprint(sf_dir), feat_days, label_days)
-    path = _MART_CACHE.get(key)
-    if path is None:
-        root = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{root}/mart/{app}/{key[1]}_{feat_days}_{label_days}"
-        build_user_mart(spark, sf_dir, feat_days, label_days).write.mode("overwrite").parquet(path)
-        _MART_CACHE[key] = path
-    return spark.read.parquet(path)
+    return materialized(spark, "mart", sf_dir, ("orders", "lineitem", "customer", "nation", "region"),
+                        (feat_days, label_days), lambda: build_user_mart(spark, sf_dir, feat_days, label_days))
 
 
 def user_mart_query(spark: SparkSession, sf_dir: str) -> DataFrame:
