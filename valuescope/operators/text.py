@@ -57,10 +57,17 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cid, term, tf): tokenised once per application and written to the shared folder."""
+    from ..plans.mart import materialized
+    ch = chunks(spark, sf_dir).withColumn("cid", F.concat_ws(":", "doc_id", "chunk_no"))
+    return materialized(spark, "chunk_terms", sf_dir, ("documents",), (TOKEN_PATTERN,), lambda: _terms(ch, ["cid"]))
+
+
 def tfidf_index(spark: SparkSession, sf_dir: str, vocab: int = VOCAB):
     ch = chunks(spark, sf_dir).withColumn("cid", F.concat_ws(":", "doc_id", "chunk_no"))
-    n_chunks = ch.count()
-    ct = _terms(ch, ["cid"])
+    ct = chunk_terms(spark, sf_dir)
+    n_chunks = ct.select("cid").distinct().count()
     stats = ct.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df")) \
         .withColumn("tid", F.xxhash64("term"))
     top = global_rank(stats, "cnt", desc=True, tiebreak="tid").df.where(F.col("rn") <= vocab)  # ≤ vocab rows

@@ -41,8 +41,8 @@ def build_window_mart(spark: SparkSession, sf_dir: str, windows=WINDOWS,
         inw = F.col("off") < w
         aggs += [
             F.coalesce(F.sum(F.when(inw, F.col("n"))), F.lit(0)).cast("bigint").alias(f"n_events_{w}"),
-            F.count_distinct(F.when(inw, F.col("d"))).alias(f"active_days_{w}"),
-            F.count_distinct(F.when(inw, F.col("event_type"))).alias(f"type_variety_{w}"),
+            F.size(F.collect_set(F.when(inw, F.col("d")))).cast("bigint").alias(f"active_days_{w}"),
+            F.size(F.collect_set(F.when(inw, F.col("event_type")))).cast("bigint").alias(f"type_variety_{w}"),
             *[F.coalesce(F.sum(F.when(inw & (F.col("event_type") == t), F.col("n"))), F.lit(0)).cast("bigint")
               .alias(f"n_{t}_{w}") for t in EVENT_TYPES],
             F.coalesce(F.sum(F.when(inw & (F.col("event_type") == "purchase"), F.col("v"))), F.lit(0))
