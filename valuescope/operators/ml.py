@@ -83,7 +83,7 @@ def pltv_train_score(spark: SparkSession, sf_dir: str, save: bool = True) -> Dat
     if save:
         model.write().overwrite().save(f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/pltv_gbt")
     s = model.transform(x)
-    return round_doubles(s.select("vopenid", "role", F.expm1(F.col("prediction")).alias("predicted_ltv30"), "ltv30"))
+    return round_doubles(s.select("vopenid", "role", F.greatest(F.expm1(F.col("prediction")), F.lit(0.0)).alias("predicted_ltv30"), "ltv30"))
 
 
 @job("feature_importance", sql=None)
@@ -102,7 +102,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E7 for the trained model on the held-out test split: Spearman, Lift@10, RMSE, R²."""
     x, model = _train(spark, sf_dir)
-    s = model.transform(x.where(F.col("role") == "test")).withColumn("pred", F.expm1("prediction"))
+    s = model.transform(x.where(F.col("role") == "test")).withColumn("pred", F.greatest(F.expm1("prediction"), F.lit(0.0)))
     return round_doubles(_regression_metrics(s, "pred", "ltv30"))
 
 
@@ -186,7 +186,7 @@ def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         model = Pipeline(stages=[vec, gbt]).fit(part.where(~F.col("is_test")))
         return model.transform(part.where(F.col("is_test"))).select(
             F.col("window_days").cast("string").alias("grp"), F.col("user_id").alias("vopenid"),
-            F.expm1("prediction").alias("pred"), "ltv30")
+            F.greatest(F.expm1("prediction"), F.lit(0.0)).alias("pred"), "ltv30")
     # four independent fits submitted from driver threads: Spark runs their jobs concurrently
     with ThreadPoolExecutor(max_workers=len(WINDOWS)) as pool:
         parts = list(pool.map(fit_score, WINDOWS))

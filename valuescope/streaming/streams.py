@@ -224,5 +224,5 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events_stream(spark, sf_dir).where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
     joined = ev.join(d1.drop("label"), "user_id", "inner")  # static side: one row per user
     scored = model.transform(joined).select("event_id", "user_id", "ts",
-                                            F.expm1("prediction").alias("predicted_ltv30"))
+                                            F.greatest(F.expm1("prediction"), F.lit(0.0)).alias("predicted_ltv30"))
     return round_doubles(run_append(spark, scored, "score"))
