@@ -93,7 +93,8 @@ def _value_buckets(df: DataFrame, key: str, tiebreak: str, desc: bool, target: i
 
 def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vopenid",
                 measure: str | None = None, target: int | None = None, n: int | None = None,
-                money: bool = True, group: str | None = None, max_rows: int | None = None) -> Ranked:
+                money: bool = True, group: str | None = None, max_rows: int | None = None,
+                extra: list[str] | None = None) -> Ranked:
     """Add ``rn`` (1-based position in the order key, tiebreak) and, with
     ``measure``, ``cum`` (running sum of the measure up to the row).
 
@@ -102,7 +103,9 @@ def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vop
     are dropped. ``money`` sums the measure as DECIMAL(18,2) (exact).
     ``max_rows``: a known upper bound on the row count; when it fits one
     bucket the count job is skipped (``n`` is then reported as 0).
+    ``extra``: more columns to accumulate (as double) into ``cum_<name>``.
     """
+    extra = extra or []
     spark = df.sparkSession
     target = target or bucket_rows(spark)
     df = df.where(F.col(key).isNotNull())
@@ -128,11 +131,15 @@ def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vop
         m = F.col(measure).cast("decimal(18,2)") if money else F.col(measure).cast("double")
         x = x.withColumn("_m", m)
     x = x.withColumn("_rl", F.row_number().over(w))
+    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if measure:
-        x = x.withColumn("_cl", F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        x = x.withColumn("_cl", F.sum("_m").over(frame))
+    for e in extra:
+        x = x.withColumn(f"_cl_{e}", F.sum(F.col(e).cast("double")).over(frame))
     aggs = [F.count(F.lit(1)).alias("_bn")]
     if measure:
         aggs.append(F.sum("_m").alias("_bs"))
+    aggs += [F.sum(F.col(e).cast("double")).alias(f"_bs_{e}") for e in extra]
     # one row per (group, bucket): bounded by the bucket count → broadcast
     tot = x.groupBy(*parts).agg(*aggs)
     wo = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_b") \
@@ -143,11 +150,17 @@ def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vop
         zero = F.lit(0).cast("decimal(38,2)") if money else F.lit(0.0)
         tot = tot.withColumn("_os", F.coalesce(F.sum("_bs").over(wo), zero))
         cols.append("_os")
+    for e in extra:
+        tot = tot.withColumn(f"_os_{e}", F.coalesce(F.sum(f"_bs_{e}").over(wo), F.lit(0.0)))
+        cols.append(f"_os_{e}")
     x = x.join(F.broadcast(tot.select(*cols)), parts)
     x = x.withColumn("rn", (F.col("_on") + F.col("_rl")).cast("bigint"))
     if measure:
         x = x.withColumn("cum", (F.col("_os") + F.col("_cl")).cast("double"))
-    return Ranked(x.drop("_b", "_rl", "_cl", "_on", "_os", "_m"), n or 0, counts)
+    for e in extra:
+        x = x.withColumn(f"cum_{e}", F.col(f"_os_{e}") + F.col(f"_cl_{e}"))
+    drop = ["_b", "_rl", "_cl", "_on", "_os", "_m"] + [f"_{k}_{e}" for e in extra for k in ("cl", "os")]
+    return Ranked(x.drop(*drop), n or 0, counts)
 
 
 def quantiles(df: DataFrame, key: str, qs: dict[str, float], tiebreak: str = "vopenid",

@@ -127,3 +127,23 @@ SELECT o_custkey AS vopenid, MAX(o_orderdate) AS last_seen_ts,
 FROM orders GROUP BY o_custkey""", family="mart")
 def attrib_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.attrib_latest(spark, sf_dir)
+
+
+@job("mart_login_v1", sql=with_mart(f"""
+, lw AS (SELECT coh.vopenid, coh.install_date, MAX(od.d) AS last_d, COUNT(*) AS login_rows
+         FROM coh JOIN od ON od.vopenid = coh.vopenid AND od.d < coh.install_date + {M.FEAT_DAYS} GROUP BY 1, 2)
+SELECT vopenid, CAST(install_date + {M.FEAT_DAYS - 1} AS DATE) AS asof_day,
+  CAST({M.FEAT_DAYS - 1} - date_diff('day', install_date, last_d) AS INTEGER) AS days_since_last_login,
+  CAST(date_diff('day', install_date, last_d) AS INTEGER) AS last_login_offset, login_rows
+FROM lw"""), family="mart")
+def mart_login_v1(spark: SparkSession, sf_dir: str, feat_days: int = M.FEAT_DAYS) -> DataFrame:
+    """v1 login extras — as-of day of the window, days since the last login inside it."""
+    daily = M.orders_daily(spark, sf_dir)
+    from pyspark.sql import Window
+    x = daily.withColumn("install_date", F.min("d").over(Window.partitionBy("vopenid"))) \
+        .where(F.col("d") < F.date_add("install_date", feat_days))
+    g = x.groupBy("vopenid", "install_date").agg(F.max("d").alias("last_d"), F.sum("n_rows").alias("login_rows"))
+    off = F.datediff("last_d", "install_date")
+    return g.select("vopenid", F.date_add("install_date", feat_days - 1).alias("asof_day"),
+                    (F.lit(feat_days - 1) - off).cast("int").alias("days_since_last_login"),
+                    off.cast("int").alias("last_login_offset"), F.col("login_rows").cast("bigint").alias("login_rows"))

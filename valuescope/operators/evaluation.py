@@ -423,3 +423,28 @@ def group_metrics(sc: DataFrame, grp: str) -> DataFrame:
     ra = mid_ranks(rs, "actual", "ra", group=grp)
     sp = ra.groupBy(grp).agg(pearson("rs", "ra").alias("spearman"))
     return lift.join(sp, grp)
+
+
+# ---------------------------------------------------------------- E6 (curve)
+@job("roc_curve", sql=with_mart("""
+, d AS (SELECT strategy, score, COUNT(CASE WHEN actual > 0 THEN 1 END) AS pos, COUNT(CASE WHEN actual <= 0 THEN 1 END) AS neg
+        FROM sc GROUP BY strategy, score),
+c AS (SELECT strategy, score, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp,
+        SUM(pos) OVER (PARTITION BY strategy) AS p, SUM(neg) OVER (PARTITION BY strategy) AS nn FROM d
+      WINDOW w AS (PARTITION BY strategy ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT strategy, ROUND(score, 6) AS threshold, ROUND(CAST(fp AS DOUBLE) / NULLIF(CAST(nn AS DOUBLE), 0.0), 6) AS fpr,
+  ROUND(CAST(tp AS DOUBLE) / NULLIF(CAST(p AS DOUBLE), 0.0), 6) AS tpr FROM c""", _sql_scores()))
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROC points per strategy, one per distinct score (descending thresholds); counts per distinct
+    score are aggregated first, then accumulated with the bucketed grouped rank."""
+    m = user_mart(spark, sf_dir)
+    sc = score_frame(m)
+    pos = F.col("actual") > 0
+    d = sc.groupBy("strategy", "score").agg(count_if(pos).alias("pos"), count_if(~pos).alias("neg"))
+    r = global_rank(d, "score", desc=True, tiebreak="score", group="strategy", extra=["pos", "neg"])
+    tot = d.groupBy("strategy").agg(F.sum("pos").alias("p"), F.sum("neg").alias("nn"))  # one row per strategy
+    x = r.df.join(F.broadcast(tot), "strategy")
+    return round_doubles(x.select(
+        "strategy", F.col("score").alias("threshold"),
+        F.try_divide(F.col("cum_neg"), F.nullif(F.col("nn").cast("double"), F.lit(0.0))).alias("fpr"),
+        F.try_divide(F.col("cum_pos"), F.nullif(F.col("p").cast("double"), F.lit(0.0))).alias("tpr")))

@@ -281,3 +281,22 @@ def sample_error(spark: SparkSession, sf_dir: str, rate: float = SAMPLE_RATE) ->
         rows.append((k, f[k], sm[k], err))
     return round_doubles(spark.createDataFrame(rows, "stat string, full_value double, sample_value double, "
                                                      "abs_error_pct double"))
+
+
+PAY_SQL = f"""
+ps AS (SELECT mart.*, ROW_NUMBER() OVER (PARTITION BY is_payer_30 ORDER BY {_hash_sql('vopenid')}, vopenid) AS hrn,
+         COUNT(*) OVER (PARTITION BY is_payer_30) AS dn FROM mart)"""
+
+
+@job("sample_payer_stratified", sql=with_mart(f"""
+SELECT vopenid, is_payer_30, ROUND(ltv30, 6) AS ltv30 FROM ps
+WHERE hrn <= (dn * {round(SAMPLE_RATE * 1000)}) // 1000""", PAY_SQL))
+def sample_payer_stratified(spark: SparkSession, sf_dir: str, rate: float = SAMPLE_RATE) -> DataFrame:
+    """V4: proportional sample by payer flag — exactly floor(rate·n) users of each stratum, chosen by user hash."""
+    m = user_mart(spark, sf_dir).withColumn("h", user_hash().cast("double"))
+    hr = global_rank(m, "h", desc=False, group="is_payer_30")
+    permille = round(rate * 1000)
+    cond = F.lit(False)
+    for g, c in (hr.counts or {}).items():
+        cond = cond | ((F.col("is_payer_30") == g) & (F.col("rn") <= (c * permille) // 1000))
+    return round_doubles(hr.df.where(cond).select("vopenid", "is_payer_30", "ltv30"))
