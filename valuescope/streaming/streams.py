@@ -16,8 +16,10 @@ long-running deployment.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,25 +55,49 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{root}/streams/{name}/{run}/checkpoint", f"{root}/streams/{name}/{run}/out"
 
 
-def run_complete(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Run an aggregating stream to completion; each batch overwrites the result table."""
+@contextmanager
+def utc_session(spark: SparkSession):
+    """Event time is UTC wall clock: run the stream with the session zone at UTC
+    and restore the caller's setting afterwards (outputs are zone-free types)."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def in_utc(fn):
+    """Build and run the whole stream (plan analysis included) with the session zone at UTC."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str, *a, **k):
+        with utc_session(spark):
+            return fn(spark, sf_dir, *a, **k)
+    return run
+
+
+def run_complete(spark: SparkSession, df: DataFrame, name: str, finish=None) -> DataFrame:
+    """Run an aggregating stream to completion; each batch overwrites the result table.
+    ``finish`` maps the batch to zone-free output columns before the write."""
     chk, out = _paths(spark, name)
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-    q = (df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", chk)
-         .trigger(availableNow=True).queryName(f"{name}_{uuid.uuid4().hex[:6]}").start())
-    q.awaitTermination()
+        (finish(batch) if finish else batch).write.mode("overwrite").parquet(out)
+    with utc_session(spark):
+        q = (df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", chk)
+             .trigger(availableNow=True).queryName(f"{name}_{uuid.uuid4().hex[:6]}").start())
+        q.awaitTermination()
     return spark.read.parquet(out)
 
 
 def run_append(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Run an append stream to completion into a Parquet file sink."""
     chk, out = _paths(spark, name)
-    q = (df.writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", chk).trigger(availableNow=True)
-         .queryName(f"{name}_{uuid.uuid4().hex[:6]}").start())
-    q.awaitTermination()
+    with utc_session(spark):
+        q = (df.writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", chk).trigger(availableNow=True)
+             .queryName(f"{name}_{uuid.uuid4().hex[:6]}").start())
+        q.awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -81,6 +107,7 @@ SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n_events, COUNT(CASE WHEN event_type
   COUNT(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases,
   ROUND(COALESCE(CAST(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) END) AS DOUBLE), 0.0), 6) AS revenue
 FROM events GROUP BY 1""", family="streaming")
+@in_utc
 def stream_daily_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily event KPIs, tumbling 1-day windows with a watermark."""
     e = with_event_time(events_stream(spark, sf_dir)).withWatermark("ts", WATERMARK)
@@ -89,9 +116,9 @@ def stream_daily_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"), F.count(F.when(F.col("event_type") == "signup", 1)).alias("signups"),
         F.count(F.when(purchase, 1)).alias("purchases"),
         F.coalesce(F.sum(F.when(purchase, F.col("value").cast(MONEY))), F.lit(0)).cast("double").alias("revenue"))
-    out = run_complete(spark, agg, "daily_kpis")
-    return round_doubles(out.select(F.col("window.start").cast("date").alias("day"), "n_events", "signups",
-                                    "purchases", "revenue"))
+    out = run_complete(spark, agg, "daily_kpis", lambda b: b.select(
+        F.col("window.start").cast("date").alias("day"), "n_events", "signups", "purchases", "revenue"))
+    return round_doubles(out)
 
 
 # ---------------------------------------------------------------- R2
@@ -99,14 +126,16 @@ def stream_daily_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(CAST(ts AS DATE) - CAST(k AS INTEGER) AS DATE) AS window_start, COUNT(*) AS purchases,
   ROUND(CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 6) AS revenue
 FROM events, (SELECT unnest(range(0, 7)) AS k) ks WHERE event_type = 'purchase' GROUP BY 1""", family="streaming")
+@in_utc
 def stream_sliding_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: 7-day sliding purchase revenue, sliding by one day."""
     e = with_event_time(events_stream(spark, sf_dir)).where(F.col("event_type") == "purchase") \
         .withWatermark("ts", "7 days")
     agg = e.groupBy(F.window("ts", "7 days", "1 day")).agg(
         F.count(F.lit(1)).alias("purchases"), F.sum(F.col("value").cast(MONEY)).cast("double").alias("revenue"))
-    out = run_complete(spark, agg, "sliding_7d")
-    return round_doubles(out.select(F.col("window.start").cast("date").alias("window_start"), "purchases", "revenue"))
+    out = run_complete(spark, agg, "sliding_7d", lambda b: b.select(
+        F.col("window.start").cast("date").alias("window_start"), "purchases", "revenue"))
+    return round_doubles(out)
 
 
 # ---------------------------------------------------------------- R3
@@ -122,6 +151,7 @@ g AS (SELECT *, SUM(new_s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL {SESSION_GAP_MIN} MINUTE AS session_end, COUNT(*) AS n_events,
   ROUND(COALESCE(CAST(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) END) AS DOUBLE), 0.0), 6) AS revenue
 FROM g GROUP BY user_id, sid""", family="streaming")
+@in_utc
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user sessions (30-minute inactivity gap) with depth and revenue."""
     e = with_event_time(events_stream(spark, sf_dir)).withWatermark("ts", WATERMARK)
@@ -129,9 +159,10 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"),
         F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("value").cast(MONEY))), F.lit(0))
         .cast("double").alias("revenue"))
-    out = run_complete(spark, agg, "sessions")
-    return round_doubles(out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"),
-                                    F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "n_events", "revenue"))
+    out = run_complete(spark, agg, "sessions", lambda b: b.select(
+        "user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"),
+        F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "n_events", "revenue"))
+    return round_doubles(out)
 
 
 # ---------------------------------------------------------------- R5
@@ -139,12 +170,14 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, ts, user_id, event_type, ROUND(value, 6) AS value FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY ts) AS rn FROM events) t WHERE rn = 1""",
      family="streaming")
+@in_utc
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate event removal within the watermark (one row per event id)."""
     e = with_event_time(events_stream(spark, sf_dir)).withWatermark("ts", WATERMARK) \
         .dropDuplicatesWithinWatermark(["event_id"])
-    out = run_append(spark, e.select("event_id", "ts", "user_id", "event_type", "value"), "dedup")
-    return round_doubles(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    out = run_append(spark, e.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id",
+                                     "event_type", "value"), "dedup")
+    return round_doubles(out)
 
 
 # ---------------------------------------------------------------- R4
@@ -184,6 +217,7 @@ def _checkpoint_state(key, pdfs, state: GroupState):
 
 @job("stream_checkpoints", sql=f"""WITH {WINDOW_MART_SQL.strip()}
 SELECT user_id, window_days, n_events, n_purchase, ROUND(rev, 6) AS rev FROM wm""", family="streaming")
+@in_utc
 def stream_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user D1/D3/D5/D7 checkpoint features kept in streaming state (applyInPandasWithState,
     update mode); the latest emitted row per (user, window) is the current value."""
@@ -194,9 +228,10 @@ def stream_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
-    q = (st.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", chk)
-         .trigger(availableNow=True).queryName(f"checkpoints_{uuid.uuid4().hex[:6]}").start())
-    q.awaitTermination()
+    with utc_session(spark):
+        q = (st.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", chk)
+             .trigger(availableNow=True).queryName(f"checkpoints_{uuid.uuid4().hex[:6]}").start())
+        q.awaitTermination()
     res = spark.read.parquet(out)
     latest = res.groupBy("user_id", "window_days").agg(
         F.max_by(F.struct("n_events", "n_purchase", "rev_cents"), "epoch").alias("v"))
@@ -207,6 +242,7 @@ def stream_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- R7
 @job("stream_score", sql=None, family="streaming")
+@in_utc
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream–static join of purchase events to the users' D1 features, scored with a saved model."""
     from pyspark.ml import Pipeline, PipelineModel
