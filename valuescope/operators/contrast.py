@@ -17,7 +17,9 @@ from ..plans.mart import user_mart
 from ..twins import with_mart
 from .cohorts import _ma, _r
 from .evaluation import group_metrics, score_frame
-from .temporal import _periods
+from ..twins import pearson as sql_pearson
+from .evaluation import _sql_scores
+from .temporal import PERIOD_SQL, _periods
 
 CONTRAST_FEATS = ["games_d7", "active_days_d7", "login_rows_d7", "loginchannel_variety_d7", "win_rate_d7", "kd_d7",
                   "kills_d7", "deaths_d7", "avg_game_duration_d7", "max_level_game_d7", "rev_d7", "txn_cnt_d7"]
@@ -159,7 +161,27 @@ def churn_by_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRIFT_TOL = 0.05
 
 
-@job("metric_drift", sql=None)
+DRIFT_SQL = with_mart(f"""
+, ps AS (SELECT sc.*, per.period FROM sc JOIN per ON per.vopenid = sc.vopenid),
+r2 AS (SELECT period, strategy, ROW_NUMBER() OVER (PARTITION BY period, strategy ORDER BY score DESC, vopenid) AS rn,
+         CAST(SUM(CAST(actual AS DECIMAL(18,2))) OVER (PARTITION BY period, strategy ORDER BY score DESC, vopenid
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum,
+         COUNT(*) OVER (PARTITION BY period, strategy) AS n,
+         CAST(SUM(CAST(actual AS DECIMAL(18,2))) OVER (PARTITION BY period, strategy) AS DOUBLE) AS total,
+         RANK() OVER (PARTITION BY period, strategy ORDER BY score) + (COUNT(*) OVER (PARTITION BY period, strategy, score) - 1) / 2.0 AS rs,
+         RANK() OVER (PARTITION BY period, strategy ORDER BY actual) + (COUNT(*) OVER (PARTITION BY period, strategy, actual) - 1) / 2.0 AS ra
+       FROM ps),
+g AS (SELECT period, strategy,
+        MAX(CASE WHEN rn = GREATEST(1, CAST((n * 100) // 1000 AS BIGINT)) THEN cum END) * 100.0 / NULLIF(MAX(total), 0.0) / 100.0 AS lift,
+        {sql_pearson('rs', 'ra')} AS sp FROM r2 GROUP BY period, strategy)
+SELECT e.strategy, ROUND(e.lift, 6) AS lift_early, ROUND(l.lift, 6) AS lift_late, ROUND(l.lift - e.lift, 6) AS lift_delta,
+  ROUND(e.sp, 6) AS spearman_early, ROUND(l.sp, 6) AS spearman_late, ROUND(l.sp - e.sp, 6) AS spearman_delta,
+  CASE WHEN ABS(l.lift - e.lift) <= {DRIFT_TOL} AND ABS(l.sp - e.sp) <= {DRIFT_TOL} THEN 'stable' ELSE 'drift' END AS verdict
+FROM g e JOIN g l ON l.strategy = e.strategy AND e.period = 'early' AND l.period = 'late'""",
+                      PERIOD_SQL.strip() + "," + _sql_scores())
+
+
+@job("metric_drift", sql=DRIFT_SQL)
 def metric_drift(spark: SparkSession, sf_dir: str, tol: float = DRIFT_TOL) -> DataFrame:
     """Lift@10 (as a fraction) and Spearman per strategy for the early and late half of install dates;
     'stable' when both move by at most ±0.05."""

@@ -147,3 +147,36 @@ def mart_login_v1(spark: SparkSession, sf_dir: str, feat_days: int = M.FEAT_DAYS
     return g.select("vopenid", F.date_add("install_date", feat_days - 1).alias("asof_day"),
                     (F.lit(feat_days - 1) - off).cast("int").alias("days_since_last_login"),
                     off.cast("int").alias("last_login_offset"), F.col("login_rows").cast("bigint").alias("login_rows"))
+
+
+LAKE_DAYS = 180
+
+
+@job("lake_scan_bounds", sql=f"""
+WITH b AS (SELECT MIN(CAST(o_orderdate AS DATE)) AS lo FROM orders)
+SELECT CAST(o_orderdate AS DATE) AS ds, COUNT(*) AS orders,
+  ROUND(CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 6) AS amount
+FROM orders, b WHERE CAST(o_orderdate AS DATE) >= b.lo AND CAST(o_orderdate AS DATE) < b.lo + {LAKE_DAYS}
+GROUP BY 1""", family="mart")
+def lake_scan_bounds(spark: SparkSession, sf_dir: str, days: int = LAKE_DAYS) -> DataFrame:
+    """The log laid out as a lake table (partitioned by month ``ym``, with the day ``ds`` as a column;
+    written once to the shared folder) and scanned with day bounds: the bounds become a partition filter
+    on ``ym`` (whole months skipped) plus a pushed row-group filter on ``ds``."""
+    import datetime as dt
+
+    from ..plans.mart import materialized
+    from ..sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate", "o_totalprice"])
+
+    def build():
+        x = o.withColumn("ds", F.to_date("o_orderdate")).withColumn("ym", F.date_format("ds", "yyyy-MM"))
+        # ≤ 8 tasks (and files) per month: no single task writes a hot month alone
+        return x.repartition("ym", F.pmod(F.xxhash64("o_orderkey"), F.lit(8)))
+    lake = materialized(spark, "orders_by_month", sf_dir, ("orders",), ("ym",), build, partition_by="ym")
+    lo = o.agg(F.min(F.to_date("o_orderdate"))).first()[0]
+    hi = lo + dt.timedelta(days=days)
+    months = (F.col("ym") >= F.lit(lo.strftime("%Y-%m"))) & (F.col("ym") <= F.lit((hi - dt.timedelta(days=1))
+                                                                                   .strftime("%Y-%m")))
+    x = lake.where(months & (F.col("ds") >= F.lit(lo)) & (F.col("ds") < F.lit(hi)))
+    return round_doubles(x.groupBy("ds").agg(F.count(F.lit(1)).alias("orders"),
+                                             money_sum("o_totalprice").alias("amount")))

@@ -91,6 +91,23 @@ def pltv_train_score(spark: SparkSession, sf_dir: str, save: bool = True) -> Dat
     return round_doubles(s.select("vopenid", "role", F.greatest(F.expm1(F.col("prediction")), F.lit(0.0)).alias("predicted_ltv30"), "ltv30"))
 
 
+@job("model_metadata", sql=None)
+def model_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: one metadata row for the fitted pLTV model (type, rows, features, importances, hyper-parameters)."""
+    x, model = _train(spark, sf_dir)
+    gbt = model.stages[-1]
+    names = NUMERIC + [f"{c}_idx" for c in ATTRIBUTION]
+    imp = {n: float(v) for n, v in zip(names, gbt.featureImportances.toArray())}
+    hp = {"maxIter": str(gbt.getOrDefault("maxIter")), "maxDepth": str(gbt.getOrDefault("maxDepth")),
+          "stepSize": str(gbt.getOrDefault("stepSize")), "seed": str(gbt.getOrDefault("seed"))}
+    n_train = x.where(F.col("role") == "train").count()
+    return spark.createDataFrame(
+        [("GBTRegressor(log1p)", n_train, len(names), names, NUMERIC, ATTRIBUTION, imp, hp)],
+        "model_type string, dataset_size bigint, n_features int, features array<string>, "
+        "numeric_features array<string>, categorical_features array<string>, "
+        "feature_importances map<string,double>, hyperparameters map<string,string>")
+
+
 @job("feature_importance", sql=None)
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3: ranked feature importances of the pLTV model."""

@@ -70,3 +70,22 @@ def window_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_divide(F.col("lift_at_10"), F.nullif(F.lit(bl).cast("double"), F.lit(0.0))) * 100.0,
         F.try_divide(F.col("spearman"), F.nullif(F.lit(bs).cast("double"), F.lit(0.0))) * 100.0)
         .toDF("window_days", "users", "lift_at_10", "spearman", "lift_retention_pct", "spearman_retention_pct"))
+
+
+@job("event_props", sql="""
+SELECT event_type, COUNT(*) AS events, COUNT(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS with_k,
+  ROUND(AVG(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)), 6) AS avg_k,
+  MIN(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS min_k,
+  MAX(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS max_k
+FROM events GROUP BY event_type""", family="windows")
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§2.14 JSON: typed event properties parsed with ``from_json`` (bad values become null)."""
+    from pyspark.sql import types as T
+
+    from ..sources.tables import read_table
+    e = read_table(spark, sf_dir, "events", ["event_type", "props"])
+    p = e.withColumn("p", F.from_json("props", T.StructType([T.StructField("k", T.IntegerType())]),
+                                      {"mode": "PERMISSIVE"}))
+    return round_doubles(p.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.count("p.k").alias("with_k"), F.avg("p.k").alias("avg_k"),
+        F.min("p.k").alias("min_k"), F.max("p.k").alias("max_k")))
