@@ -54,7 +54,7 @@ def _value_buckets(df: DataFrame, key: str, tiebreak: str, desc: bool, target: i
     """Bucket expression for one population (a group or everything)."""
     nb = max(1, math.ceil(n / target))
     if nb == 1:
-        return F.lit(0)
+        return None  # one bucket: offsets are all zero
     src = df.where(gcond) if gcond is not None else df
     fr = [i / nb for i in range(1, nb)]
     acc = max(10000, 20 * nb)
@@ -114,6 +114,7 @@ def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vop
         if n is None and not (max_rows is not None and max_rows <= target):
             n = df.count()
         bcol = _value_buckets(df, key, tiebreak, desc, target, n or 0)
+        single = bcol is None
     else:
         counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}  # one row per group
         n = sum(counts.values())
@@ -121,12 +122,16 @@ def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vop
         for g, c in counts.items():
             gc = F.col(group).isNull() if g is None else (F.col(group) == F.lit(g))
             e = _value_buckets(df, key, tiebreak, desc, target, c, gc)
-            bcol = F.when(gc, e) if bcol is None else bcol.when(gc, e)
-        bcol = F.lit(0) if bcol is None else bcol.otherwise(F.lit(0))
-    x = df.withColumn("_b", bcol)
-    parts = ([group] if group else []) + ["_b"]
+            if e is not None:
+                bcol = F.when(gc, e) if bcol is None else bcol.when(gc, e)
+        single = bcol is None  # every group fits one bucket: rank within the group directly
+        if bcol is not None:
+            bcol = bcol.otherwise(F.lit(0))
+    x = df if single else df.withColumn("_b", bcol)
+    parts = ([group] if group else []) + ([] if single else ["_b"])
     order = [F.col(key).desc() if desc else F.col(key).asc(), F.col(tiebreak).asc()]
-    w = Window.partitionBy(*parts).orderBy(*order)
+    # the population fits one bucket (size proven by the count): a plain ordered window
+    w = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*order)
     if measure:
         m = F.col(measure).cast("decimal(18,2)") if money else F.col(measure).cast("double")
         x = x.withColumn("_m", m)
@@ -136,29 +141,36 @@ def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vop
         x = x.withColumn("_cl", F.sum("_m").over(frame))
     for e in extra:
         x = x.withColumn(f"_cl_{e}", F.sum(F.col(e).cast("double")).over(frame))
-    aggs = [F.count(F.lit(1)).alias("_bn")]
-    if measure:
-        aggs.append(F.sum("_m").alias("_bs"))
-    aggs += [F.sum(F.col(e).cast("double")).alias(f"_bs_{e}") for e in extra]
-    # one row per (group, bucket): bounded by the bucket count → broadcast
-    tot = x.groupBy(*parts).agg(*aggs)
-    wo = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_b") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_on", F.coalesce(F.sum("_bn").over(wo), F.lit(0)))
-    cols = parts + ["_on"]
-    if measure:
-        zero = F.lit(0).cast("decimal(38,2)") if money else F.lit(0.0)
-        tot = tot.withColumn("_os", F.coalesce(F.sum("_bs").over(wo), zero))
-        cols.append("_os")
-    for e in extra:
-        tot = tot.withColumn(f"_os_{e}", F.coalesce(F.sum(f"_bs_{e}").over(wo), F.lit(0.0)))
-        cols.append(f"_os_{e}")
-    x = x.join(F.broadcast(tot.select(*cols)), parts)
-    x = x.withColumn("rn", (F.col("_on") + F.col("_rl")).cast("bigint"))
-    if measure:
-        x = x.withColumn("cum", (F.col("_os") + F.col("_cl")).cast("double"))
-    for e in extra:
-        x = x.withColumn(f"cum_{e}", F.col(f"_os_{e}") + F.col(f"_cl_{e}"))
+    if single:
+        x = x.withColumn("rn", F.col("_rl").cast("bigint"))
+        if measure:
+            x = x.withColumn("cum", F.col("_cl").cast("double"))
+        for e in extra:
+            x = x.withColumn(f"cum_{e}", F.col(f"_cl_{e}"))
+    else:
+        aggs = [F.count(F.lit(1)).alias("_bn")]
+        if measure:
+            aggs.append(F.sum("_m").alias("_bs"))
+        aggs += [F.sum(F.col(e).cast("double")).alias(f"_bs_{e}") for e in extra]
+        # one row per (group, bucket): bounded by the bucket count → broadcast
+        tot = x.groupBy(*parts).agg(*aggs)
+        wo = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_b") \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        tot = tot.withColumn("_on", F.coalesce(F.sum("_bn").over(wo), F.lit(0)))
+        cols = parts + ["_on"]
+        if measure:
+            zero = F.lit(0).cast("decimal(38,2)") if money else F.lit(0.0)
+            tot = tot.withColumn("_os", F.coalesce(F.sum("_bs").over(wo), zero))
+            cols.append("_os")
+        for e in extra:
+            tot = tot.withColumn(f"_os_{e}", F.coalesce(F.sum(f"_bs_{e}").over(wo), F.lit(0.0)))
+            cols.append(f"_os_{e}")
+        x = x.join(F.broadcast(tot.select(*cols)), parts)
+        x = x.withColumn("rn", (F.col("_on") + F.col("_rl")).cast("bigint"))
+        if measure:
+            x = x.withColumn("cum", (F.col("_os") + F.col("_cl")).cast("double"))
+        for e in extra:
+            x = x.withColumn(f"cum_{e}", F.col(f"_os_{e}") + F.col(f"_cl_{e}"))
     drop = ["_b", "_rl", "_cl", "_on", "_os", "_m"] + [f"_{k}_{e}" for e in extra for k in ("cl", "os")]
     return Ranked(x.drop(*drop), n or 0, counts)
 
