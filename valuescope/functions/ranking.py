@@ -269,3 +269,43 @@ def prefix_sums_at(ranked: Ranked, positions: list[int]) -> DataFrame:
     hits = ranked.df.where(F.col("rn").isin(sorted({p for p in positions if p > 0}) or [-1])) \
         .select(F.col("rn").alias("pos"), "cum")
     return pos.join(F.broadcast(hits), "pos", "left").select("pos", F.coalesce("cum", F.lit(0.0)).alias("cum"))
+
+
+def group_quantiles(df: DataFrame, group: str | None, key: str, qs: dict[str, float],
+                    tiebreak: str = "vopenid", target: int | None = None) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation) as a frame (group, alias…).
+
+    When the largest group has at most ``bucket_rows`` distinct values
+    (checked with a sketch) Spark's exact ``percentile`` aggregate is used —
+    its memory is one counter per distinct value. Otherwise the values are
+    ranked inside each group with the bucketed rank and the interpolation
+    positions of every group (a frame of #groups × #quantiles rows, broadcast)
+    pick the two neighbouring values; no group is ever held in one task.
+    """
+    spark = df.sparkSession
+    target = target or bucket_rows(spark)
+    base = df.where(F.col(key).isNotNull())
+    gcols = [group] if group else []
+    g = base.groupBy(*gcols)
+    mx = g.agg(F.approx_count_distinct(key).alias("d")).agg(F.max("d")).first()[0] or 0
+    if mx <= target:
+        return g.agg(*[F.percentile(F.col(key).cast("double"), q).alias(a) for a, q in qs.items()])
+    if group is None:
+        return quantiles(base, key, qs, tiebreak=tiebreak, target=target)
+    r = global_rank(base.select(group, key, tiebreak), key, desc=False, tiebreak=tiebreak, group=group,
+                    target=target)
+    rows = []
+    for gv, c in (r.counts or {}).items():
+        for a, q in qs.items():
+            pos = (c - 1) * q
+            lo, hi = math.floor(pos), math.ceil(pos)
+            rows.append((gv, a, lo + 1, hi + 1, float(pos - lo)))
+    gtype = base.schema[group].dataType.simpleString()
+    pos = spark.createDataFrame(rows, f"`{group}` {gtype}, alias string, lo bigint, hi bigint, frac double")
+    j = r.df.select(group, "rn", F.col(key).cast("double").alias("v")).join(
+        F.broadcast(pos), [group]).where((F.col("rn") == F.col("lo")) | (F.col("rn") == F.col("hi")))
+    per = j.groupBy(group, "alias", "frac").agg(
+        F.max(F.when(F.col("rn") == F.col("lo"), F.col("v"))).alias("vlo"),
+        F.max(F.when(F.col("rn") == F.col("hi"), F.col("v"))).alias("vhi"))
+    per = per.withColumn("val", F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac"))
+    return per.groupBy(group).agg(*[F.max(F.when(F.col("alias") == a, F.col("val"))).alias(a) for a in qs])

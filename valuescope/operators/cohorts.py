@@ -363,13 +363,15 @@ SELECT '{c}' AS column_name, COUNT({c}) AS n, {_r(f'CAST(SUM(CAST({c} AS DECIMAL
   {_r(f'MAX({c})', 'max')} FROM mart""" for c in PROFILE_COLS)))
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """describe() of the numeric columns in long form (one row per column)."""
-    m = user_mart(spark, sf_dir).select(*PROFILE_COLS)
-    long = m.unpivot([], PROFILE_COLS, "column_name", "x").withColumn("x", F.col("x").cast("double"))
-    from ..functions.ranking import group_percentile
-    pc = group_percentile(long, ["column_name"], "x")
-    return round_doubles(long.groupBy("column_name").agg(
-        F.count("x").alias("n"), F.try_divide(F.sum(F.col("x").cast("decimal(38,6)")).cast("double"), F.count("x").cast("double")).alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), *[pc(q).alias(a) for a, q in PROFILE_QS.items()], F.max("x").alias("max")))
+    from ..functions.ranking import group_quantiles
+    m = user_mart(spark, sf_dir).select("vopenid", *PROFILE_COLS)
+    long = m.unpivot(["vopenid"], PROFILE_COLS, "column_name", "x").withColumn("x", F.col("x").cast("double"))
+    base = long.groupBy("column_name").agg(
+        F.count("x").alias("n"),
+        F.try_divide(F.sum(F.col("x").cast("decimal(38,6)")).cast("double"), F.count("x").cast("double")).alias("mean"),
+        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = group_quantiles(long, "column_name", "x", PROFILE_QS)  # one row per profiled column
+    return round_doubles(base.join(q, "column_name", "left"))
 
 
 # ---------------------------------------------------------------- A30
@@ -380,14 +382,15 @@ SELECT COUNT(*) AS n, {_r(_ma('ltv30'), 'mean')}, {_r('quantile_cont(ltv30, 0.5)
   {_r('quantile_cont(ltv30, 0.5) FILTER (WHERE ltv30 > 0)', 'payer_median')}
 FROM mart"""))
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.ranking import group_percentile
+    from ..functions.ranking import cutoff_values
     m = user_mart(spark, sf_dir)
-    pc = group_percentile(m, [], "ltv30")
+    med = cutoff_values(m, "ltv30", {"m": 0.5})["m"]
+    pmed = cutoff_values(m, "ltv30", {"m": 0.5}, where=F.col("ltv30") > 0)["m"]
     pay = F.when(F.col("ltv30") > 0, F.col("ltv30"))
     return round_doubles(m.withColumn("pay", pay).agg(
-        _n().alias("n"), money_avg("ltv30").alias("mean"), pc(0.5).alias("median"),
+        _n().alias("n"), money_avg("ltv30").alias("mean"), F.lit(med).cast("double").alias("median"),
         F.stddev_samp("ltv30").alias("std"), pct(count_if(F.col("ltv30") == 0), _n()).alias("zero_pct"),
-        money_avg("pay").alias("payer_mean"), pc(0.5, "pay").alias("payer_median")))
+        money_avg("pay").alias("payer_mean"), F.lit(pmed).cast("double").alias("payer_median")))
 
 
 # ---------------------------------------------------------------- A31
@@ -471,13 +474,13 @@ SELECT COUNT(*) AS d7_payers,
 FROM mart WHERE rev_d7 > 0"""))
 def d7_d30_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ltv30 / max(rev_d7, 0.01) over D7 payers: median and spread."""
-    from ..functions.ranking import group_percentile
+    from ..functions.ranking import cutoff_values
     m = user_mart(spark, sf_dir).where(F.col("rev_d7") > 0) \
         .withColumn("mult", F.col("ltv30") / F.greatest(F.col("rev_d7"), F.lit(0.01)))
-    pc = group_percentile(m, [], "mult")
-    return round_doubles(m.agg(_n().alias("d7_payers"), pc(0.5).alias("median_multiplier"),
-                               pc(0.25).alias("p25_multiplier"), pc(0.75).alias("p75_multiplier"),
-                               pc(0.9).alias("p90_multiplier"), F.avg("mult").alias("mean_multiplier")))
+    c = cutoff_values(m, "mult", {"median_multiplier": 0.5, "p25_multiplier": 0.25, "p75_multiplier": 0.75,
+                                  "p90_multiplier": 0.9})
+    return round_doubles(m.agg(_n().alias("d7_payers"), *[F.lit(v).cast("double").alias(k) for k, v in c.items()],
+                               F.avg("mult").alias("mean_multiplier")))
 
 
 # ---------------------------------------------------------------- A38 / K1

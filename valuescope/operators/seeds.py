@@ -158,10 +158,10 @@ def seed_weekly(spark: SparkSession, sf_dir: str, min_users: int = WEEK_MIN) ->
     e = m.withColumn("week", F.date_trunc("week", "install_date").cast("date")).withColumn(
         "eng", (part("games_d7", mx["mg"]) + part("active_days_d7", mx["ma"]) + part("login_rows_d7", mx["ml"])) / 3.0)
     e = e.withColumn("eng_zero", F.when(F.col("rev_d7") == 0, F.col("eng")))
-    from ..functions.ranking import group_percentile
-    pc = group_percentile(e, ["week"], "ltv30")
-    wk = e.groupBy("week").agg(F.count(F.lit(1)).alias("n"), pc(0.9).alias("wt"),
-                               pc(1 - ENG_TOP_PCT / 100, "eng_zero").alias("et")).where(F.col("n") >= min_users)
+    from ..functions.ranking import group_quantiles
+    wk = e.groupBy("week").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_users)
+    wk = wk.join(group_quantiles(e, "week", "ltv30", {"wt": 0.9}), "week", "left") \
+        .join(group_quantiles(e, "week", "eng_zero", {"et": 1 - ENG_TOP_PCT / 100}), "week", "left")
     x = e.join(F.broadcast(wk), "week")  # one row per calendar week: bounded
     whale = (F.col("ltv30") > 0) & (F.col("ltv30") >= F.col("wt"))
     tw = x.groupBy("week").agg(count_if(whale).alias("whales"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import job
 from ..functions.exprs import count_if, ladder, money_avg, money_sum, pct, round_doubles
-from ..functions.ranking import cutoff_values, group_percentile
+from ..functions.ranking import cutoff_values, group_quantiles
 from ..plans.mart import user_mart
 from ..twins import with_mart
 from .cohorts import CHANNEL_MIN_USERS, _ci, _ma, _ms, _pct, _r
@@ -130,11 +130,11 @@ def decision_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tier = (F.when(v <= 0, "Non-Payer").when(v < c["p90"], "Minnow").when(v < c["p99"], "Dolphin")
             .otherwise("Whale"))
     x = m.withColumn("tier", tier)
-    pc = group_percentile(x, ["tier"], "ltv30")
     g = x.groupBy("tier").agg(
         _n().alias("users"), money_sum("ltv30").alias("total_rev"), money_avg("ltv30").alias("avg_ltv"),
-        pc(0.5).alias("median_ltv"), money_avg("rev_d7").alias("avg_rev_d7"),
+        money_avg("rev_d7").alias("avg_rev_d7"),
         F.avg("games_d7").alias("avg_games"), F.avg("active_days_d7").alias("avg_active_days"))
+    g = g.join(group_quantiles(x, "tier", "ltv30", {"median_ltv": 0.5}), "tier", "left")
     return round_doubles(g.withColumn("pct_users", _share("users")).withColumn("pct_revenue", _share("total_rev")))
 
 
@@ -160,10 +160,10 @@ def payer_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = (F.when(v <= c["p50"], PAYER_TIERS[0]).when(v <= c["p90"], PAYER_TIERS[1])
            .when(v <= c["p99"], PAYER_TIERS[2]).otherwise(PAYER_TIERS[3]))
     x = m.withColumn("segment", seg)
-    pc = group_percentile(x, ["segment"], "ltv30")
     g = x.groupBy("segment").agg(
         _n().alias("users"), money_sum("ltv30").alias("total_rev"), money_avg("ltv30").alias("avg_ltv"),
-        pc(0.5).alias("median_ltv"), F.min("ltv30").alias("min_ltv"), F.max("ltv30").alias("max_ltv"))
+        F.min("ltv30").alias("min_ltv"), F.max("ltv30").alias("max_ltv"))
+    g = g.join(group_quantiles(x, "segment", "ltv30", {"median_ltv": 0.5}), "segment", "left")
     return round_doubles(g.withColumn("pct_of_payers", _share("users"))
                          .withColumn("pct_of_revenue", _share("total_rev")))
 
@@ -243,10 +243,10 @@ def ttp_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = user_mart(spark, sf_dir)
     p95 = cutoff_values(m, "ltv30", {"p95": 0.95})["p95"]
     x = m.where(F.col("ltv30") > 0).withColumn("timing_seg", _ttp_seg())
-    pc = group_percentile(x, ["timing_seg"], "ltv30")
     g = x.groupBy("timing_seg").agg(
-        _n().alias("users"), money_avg("ltv30").alias("avg_ltv"), pc(0.5).alias("median_ltv"),
+        _n().alias("users"), money_avg("ltv30").alias("avg_ltv"),
         money_sum("ltv30").alias("total_ltv"), pct(count_if(F.col("ltv30") >= p95), _n()).alias("whale_rate_pct"))
+    g = g.join(group_quantiles(x, "timing_seg", "ltv30", {"median_ltv": 0.5}), "timing_seg", "left")
     return round_doubles(g.withColumn("pct_payers", _share("users")).withColumn("rev_share", _share("total_ltv")))
 
 
@@ -264,10 +264,10 @@ SELECT first_charge_day_offset_d7 AS day, COUNT(*) AS users, {_r(_ma('ltv30'), '
   {_r('quantile_cont(ltv30, 0.5)', 'median_ltv')}
 FROM mart WHERE ltv30 > 0 AND first_charge_day_offset_d7 IS NOT NULL GROUP BY 1"""))
 def ttp_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = user_mart(spark, sf_dir).where((F.col("ltv30") > 0) & F.col("first_charge_day_offset_d7").isNotNull())
-    pc = group_percentile(x, ["first_charge_day_offset_d7"], "ltv30")
-    return round_doubles(x.groupBy(F.col("first_charge_day_offset_d7").alias("day")).agg(
-        _n().alias("users"), money_avg("ltv30").alias("avg_ltv"), pc(0.5).alias("median_ltv")))
+    x = user_mart(spark, sf_dir).where((F.col("ltv30") > 0) & F.col("first_charge_day_offset_d7").isNotNull()) \
+        .withColumnRenamed("first_charge_day_offset_d7", "day")
+    g = x.groupBy("day").agg(_n().alias("users"), money_avg("ltv30").alias("avg_ltv"))
+    return round_doubles(g.join(group_quantiles(x, "day", "ltv30", {"median_ltv": 0.5}), "day", "left"))
 
 
 @job("ttp_survival", sql=with_mart("""
@@ -501,10 +501,10 @@ def ltv_box_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = user_mart(spark, sf_dir).where(F.col("ltv30") > 0)
     cap = cutoff_values(p, "ltv30", {"cap": 0.95})["cap"]
     x = p.where(F.col("ltv30") <= cap)
-    pc = group_percentile(x, ["media_source"], "ltv30")
-    return round_doubles(x.groupBy("media_source").agg(
-        _n().alias("users"), F.min("ltv30").alias("min_ltv"), pc(0.25).alias("q1"), pc(0.5).alias("median_ltv"),
-        pc(0.75).alias("q3"), F.max("ltv30").alias("max_ltv")))
+    g = x.groupBy("media_source").agg(_n().alias("users"), F.min("ltv30").alias("min_ltv"),
+                                      F.max("ltv30").alias("max_ltv"))
+    q = group_quantiles(x, "media_source", "ltv30", {"q1": 0.25, "median_ltv": 0.5, "q3": 0.75})
+    return round_doubles(g.join(q, g.media_source.eqNullSafe(q.media_source), "left").drop(q.media_source))
 
 
 # ---------------------------------------------------------------- P15 / P16

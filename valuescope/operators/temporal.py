@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import job
 from ..functions.exprs import count_if, money_avg, money_sum, pct, round_doubles
-from ..functions.ranking import cutoff_values, group_percentile
+from ..functions.ranking import cutoff_values, group_quantiles
 from ..plans.mart import LABEL_DAYS, user_mart
 from ..sources.tables import read_table
 from ..twins import with_mart
@@ -50,17 +50,18 @@ daily AS (SELECT d0.*, total_ltv30 / users AS arpu_d30, total_rev_d7 / users AS
 def daily_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per install day (A6), before maturity masking."""
     m = user_mart(spark, sf_dir)
-    pc = group_percentile(m, ["install_date"], "ltv30")
     as_of = as_of_date(spark, sf_dir)
     d = m.groupBy("install_date").agg(
         _n().alias("users"),
         (count_if(F.col("is_payer_30") == 1).cast("double") / _n()).alias("payer_rate_d30"),
         (count_if(F.col("rev_d7") > 0).cast("double") / _n()).alias("payer_rate_d7"),
         (count_if((F.col("rev_d7") == 0) & (F.col("ltv30") > 0)).cast("double") / _n()).alias("late_payer_rate"),
-        money_avg("ltv30").alias("mean_ltv30"), pc(0.5).alias("median_ltv30"),
+        money_avg("ltv30").alias("mean_ltv30"),
         money_sum("ltv30").alias("total_ltv30"), money_sum("rev_d7").alias("total_rev_d7"),
         F.avg("games_d7").alias("mean_games"), F.avg("active_days_d7").alias("mean_active_days"),
         F.avg("login_rows_d7").alias("mean_logins"), F.avg("kd_d7").alias("mean_kd"))
+    # exact per-day median, one row per install day, joined on the day
+    d = d.join(group_quantiles(m, "install_date", "ltv30", {"median_ltv30": 0.5}), "install_date", "left")
     return d.select(
         "*", (F.col("total_ltv30") / F.col("users")).alias("arpu_d30"),
         (F.col("total_rev_d7") / F.col("users")).alias("arpu_d7"),
@@ -220,11 +221,11 @@ FROM per GROUP BY period""", PERIOD_SQL))
 def period_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Early vs late half of install dates (split at the median date)."""
     x = _periods(spark, sf_dir)
-    pc = group_percentile(x, ["period"], "ltv30")
-    return round_doubles(x.groupBy("period").agg(
+    g = x.groupBy("period").agg(
         _n().alias("users"), F.min("install_date").alias("first_day"), F.max("install_date").alias("last_day"),
-        money_avg("ltv30").alias("mean_ltv"), pc(0.5).alias("median_ltv"),
-        pct(count_if(F.col("ltv30") > 0), _n()).alias("payer_rate"), money_sum("ltv30").alias("total_revenue")))
+        money_avg("ltv30").alias("mean_ltv"),
+        pct(count_if(F.col("ltv30") > 0), _n()).alias("payer_rate"), money_sum("ltv30").alias("total_revenue"))
+    return round_doubles(g.join(group_quantiles(x, "period", "ltv30", {"median_ltv": 0.5}), "period", "left"))
 
 
 @job("channel_drift", sql=with_mart(f"""
