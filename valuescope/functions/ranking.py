@@ -91,6 +91,65 @@ def _value_buckets(df: DataFrame, key: str, tiebreak: str, desc: bool, target: i
     return b * F.lit(smax) + sub
 
 
+def _grouped_buckets(df: DataFrame, key: str, tiebreak: str, desc: bool, target: int, counts: dict,
+                     group: str):
+    """Bucket expression for every group larger than ``target``, built from two
+    grouped sketch jobs in total (edges per group, then tie-break ranges of
+    heavy values per group), whatever the number of groups."""
+    big = {g: c for g, c in counts.items() if g is not None and c > target}
+    if not big:
+        return None
+    nb = max(math.ceil(c / target) for c in big.values())
+    fr = [i / nb for i in range(1, nb)]
+    acc = max(10000, 20 * nb)
+    kc = F.col(key).cast("double")
+    rows = (df.where(F.col(group).isin(list(big))).groupBy(group)
+            .agg(F.percentile_approx(kc, fr, acc).alias("e")).collect())  # one row per large group
+    plan = {}
+    heavy_pairs = []
+    for r in rows:
+        edges = r["e"] or []
+        cnt: dict[float, int] = {}
+        for e in edges:
+            cnt[e] = cnt.get(e, 0) + 1
+        heavy = sorted(v for v, c in cnt.items() if c >= 2)
+        cuts = set(cnt)
+        for v in heavy:
+            cuts.add(v)
+            cuts.add(math.nextafter(v, math.inf))
+        plan[r[group]] = (sorted(cuts), heavy, cnt)
+        heavy_pairs += [(r[group], v, cnt[v]) for v in heavy]
+    tmap: dict = {}
+    smax = 1
+    if heavy_pairs:
+        s = max(c for _, _, c in heavy_pairs) + 1
+        tfr = [j / s for j in range(1, s)]
+        gtype = df.schema[group].dataType.simpleString()
+        pairs = df.sparkSession.createDataFrame([(g, float(v)) for g, v, _ in heavy_pairs],
+                                                f"`{group}` {gtype}, _hv double")
+        hrows = (df.withColumn("_hv", kc).join(F.broadcast(pairs), [group, "_hv"])  # ≤ #groups × nb pairs
+                 .groupBy(group, "_hv").agg(F.percentile_approx(F.col(tiebreak).cast("double"), tfr, acc).alias("t"))
+                 .collect())
+        for r in hrows:
+            t = sorted(set(r["t"] or []))
+            tmap[(r[group], r["_hv"])] = t
+            smax = max(smax, len(t) + 1)
+    nvb = max(len(c) + 1 for c, _, _ in plan.values())
+    tb = F.col(tiebreak).cast("double")
+    out = None
+    for g, (cuts, heavy, _) in plan.items():
+        gc = F.col(group) == F.lit(g)
+        b_asc = _search(kc, cuts)
+        b = (F.lit(nvb - 1) - b_asc) if desc else b_asc
+        sub = None
+        for v in heavy:
+            br = _search(tb, tmap.get((g, v), []))
+            sub = F.when(kc == F.lit(v), br) if sub is None else sub.when(kc == F.lit(v), br)
+        e = b * F.lit(smax) + (sub.otherwise(F.lit(0)) if sub is not None else F.lit(0))
+        out = F.when(gc, e) if out is None else out.when(gc, e)
+    return out.otherwise(F.lit(0))
+
+
 def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vopenid",
                 measure: str | None = None, target: int | None = None, n: int | None = None,
                 money: bool = True, group: str | None = None, max_rows: int | None = None,
@@ -118,15 +177,8 @@ def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vop
     else:
         counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}  # one row per group
         n = sum(counts.values())
-        bcol = None
-        for g, c in counts.items():
-            gc = F.col(group).isNull() if g is None else (F.col(group) == F.lit(g))
-            e = _value_buckets(df, key, tiebreak, desc, target, c, gc)
-            if e is not None:
-                bcol = F.when(gc, e) if bcol is None else bcol.when(gc, e)
+        bcol = _grouped_buckets(df, key, tiebreak, desc, target, counts, group)
         single = bcol is None  # every group fits one bucket: rank within the group directly
-        if bcol is not None:
-            bcol = bcol.otherwise(F.lit(0))
     x = df if single else df.withColumn("_b", bcol)
     parts = ([group] if group else []) + ([] if single else ["_b"])
     order = [F.col(key).desc() if desc else F.col(key).asc(), F.col(tiebreak).asc()]
