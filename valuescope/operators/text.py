@@ -1,8 +1,8 @@
 """TF-IDF retrieval of document chunks for query texts.
 
 Documents are split into chunks at ``## `` heading lines (whole texts, no
-prefix cut), tokenised with ``RegexTokenizer`` (unicode words of 2+ chars,
-lower case) and ``StopWordsRemover``. Term weights follow the smooth IDF
+prefix cut), tokenised into lower-case unicode words of 2+ chars without
+English stop words. Term weights follow the smooth IDF
 scheme ``tf · (ln((1+n)/(1+df)) + 1)`` over the top-``vocab`` terms, with
 L2-normalised vectors, so the dot product is the cosine.
 
@@ -15,7 +15,7 @@ single task.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +43,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(df: DataFrame, id_cols: list[str]) -> DataFrame:
-    tok = RegexTokenizer(inputCol="text", outputCol="tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True,
-                         minTokenLength=2)
-    sw = StopWordsRemover(inputCol="tok", outputCol="words")
-    x = sw.transform(tok.transform(df.select(*id_cols, "text")))
-    return x.select(*id_cols, F.explode("words").alias("term")).groupBy(*id_cols, "term") \
+    """(ids…, term, tf): lower-case unicode words of 2+ chars minus English stop words.
+
+    Built-in expressions only (``regexp_extract_all`` + a broadcast anti-join
+    with Spark's stop-word list, ~180 rows), so tokenising stays in codegen."""
+    spark = df.sparkSession
+    sw = spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], "term string")
+    tok = df.select(*id_cols, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_PATTERN), 0)).alias("term"))
+    return tok.join(F.broadcast(sw), "term", "left_anti").groupBy(*id_cols, "term") \
         .agg(F.count(F.lit(1)).alias("tf"))
 
 
