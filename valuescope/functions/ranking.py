@@ -27,6 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_ROWS = 2_000_000
+# Upper bound on buckets per ranked population: keeps the edge list (collected
+# once) and the generated search expression small; past ~8 billion rows at the
+# default bucket size the buckets simply grow (window partitions spill to disk).
+MAX_BUCKETS = 4096
 
 
 def bucket_rows(spark) -> int:
@@ -52,7 +56,7 @@ class Ranked:
 def _value_buckets(df: DataFrame, key: str, tiebreak: str, desc: bool, target: int, n: int,
                    gcond: Column | None = None):
     """Bucket expression for one population (a group or everything)."""
-    nb = max(1, math.ceil(n / target))
+    nb = min(MAX_BUCKETS, max(1, math.ceil(n / target)))
     if nb == 1:
         return None  # one bucket: offsets are all zero
     src = df.where(gcond) if gcond is not None else df
@@ -99,7 +103,7 @@ def _grouped_buckets(df: DataFrame, key: str, tiebreak: str, desc: bool, target:
     big = {g: c for g, c in counts.items() if g is not None and c > target}
     if not big:
         return None
-    nb = max(math.ceil(c / target) for c in big.values())
+    nb = min(MAX_BUCKETS, max(math.ceil(c / target) for c in big.values()))
     fr = [i / nb for i in range(1, nb)]
     acc = max(10000, 20 * nb)
     kc = F.col(key).cast("double")
