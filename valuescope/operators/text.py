@@ -60,17 +60,26 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cid, doc_id, chunk_no, heading, text): the split is done once per application and written to the
+    shared folder; later reads prune to the columns they need."""
+    from ..plans.mart import materialized
+    return materialized(spark, "chunks", sf_dir, ("documents",), ("chunks",),
+                        lambda: chunks(spark, sf_dir).withColumn("cid", F.concat_ws(":", "doc_id", "chunk_no")))
+
+
 def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cid, term, tf): tokenised once per application and written to the shared folder."""
     from ..plans.mart import materialized
-    ch = chunks(spark, sf_dir).withColumn("cid", F.concat_ws(":", "doc_id", "chunk_no"))
-    return materialized(spark, "chunk_terms", sf_dir, ("documents",), (TOKEN_PATTERN,), lambda: _terms(ch, ["cid"]))
+    ch = chunk_table(spark, sf_dir)
+    return materialized(spark, "chunk_terms", sf_dir, ("documents",), (TOKEN_PATTERN,),
+                        lambda: _terms(ch.select("cid", "text"), ["cid"]))
 
 
 def tfidf_index(spark: SparkSession, sf_dir: str, vocab: int = VOCAB):
-    ch = chunks(spark, sf_dir).withColumn("cid", F.concat_ws(":", "doc_id", "chunk_no"))
+    ch = chunk_table(spark, sf_dir)
     ct = chunk_terms(spark, sf_dir)
-    n_chunks = ct.select("cid").distinct().count()
+    n_chunks = ch.count()
     stats = ct.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df")) \
         .withColumn("tid", F.xxhash64("term"))
     top = global_rank(stats, "cnt", desc=True, tiebreak="tid").df.where(F.col("rn") <= vocab)  # ≤ vocab rows
@@ -108,7 +117,7 @@ def tfidf_topk(spark: SparkSession, sf_dir: str, k: int = TOP_K, min_score: floa
         .where(F.col("r1") <= k)
     top = first.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))) \
         .where(F.col("rank") <= k)
-    meta = ch.select(F.concat_ws(":", "doc_id", "chunk_no").alias("cid"), "doc_id", "chunk_no", "heading")
+    meta = ch.select("cid", "doc_id", "chunk_no", "heading")
     return round_doubles(top.join(meta, "cid").select("item_id", "rank", "doc_id", "chunk_no", "heading", "score"))
 
 
