@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import job
-from ..functions.exprs import count_if, money_avg, money_sum, pct, r6, ratio, round_doubles
+from ..functions.exprs import count_if, money_avg, money_sum, pct, r6, round_doubles
 from ..plans.mart import MART_COLUMNS, user_mart
 from ..twins import with_mart
 from .core import WHALE_LTV_FIXED

@@ -149,6 +149,13 @@ def _source_fingerprint(sf_dir: str, tables=("orders", "lineitem", "customer", "
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
+def _table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a written table (its _SUCCESS marker) is still present, on any Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def materialized(spark: SparkSession, name: str, sf_dir: str, tables, params: tuple, build,
                  partition_by: str | None = None) -> DataFrame:
     """Write ``build()`` once per application as a Parquet table under the
@@ -160,6 +167,8 @@ def materialized(spark: SparkSession, name: str, sf_dir: str, tables, params: tu
     fp = _source_fingerprint(sf_dir, tables)
     key = (app, name, fp, params)
     path = _MART_CACHE.get(key)
+    if path is not None and not _table_exists(spark, path):
+        path = None  # the shared folder was cleaned: write the table again
     if path is None:
         root = ensure_checkpoint_dir(spark).rstrip("/")
         ph = hashlib.sha1(repr(params).encode()).hexdigest()[:10]
