@@ -105,3 +105,13 @@ def test_entry_on_smoke_data(spark):
     assert df.columns == ["segment", "users", "total_revenue", "avg_ltv", "whale_count"]
     assert df.count() == 3
     assert SMALL.endswith("sf0.001")
+
+
+def test_model_vs_heuristics(spark, registry):
+    rows = _run(registry, spark, "model_vs_heuristics").collect()
+    assert len(rows) == 8 * 4
+    by = {(r["strategy"], r["k_pct"]): r for r in rows}
+    for (s, k), r in by.items():
+        assert r["capture_pct"] <= by[("oracle", k)]["capture_pct"] + 1e-9
+        if s == "model":
+            assert r["model_gain_pct"] == 0.0

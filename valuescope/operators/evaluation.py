@@ -5,8 +5,8 @@ one row per user and strategy, built with ``explode`` (no cross join) — and
 one grouped global rank (per strategy, score desc, user id asc), so every
 strategy is evaluated in the same pass. Strategies: the five single-column
 heuristics of the reference, a seeded random order and the oracle (the
-label itself). A trained model's scores (``ml.pltv_train_score``) can be fed
-through ``evaluate_scores`` the same way.
+label itself). A trained model's scores are appended as one more strategy and
+go through ``evaluate_scores`` the same way (``ml.model_vs_heuristics``).
 """
 
 from __future__ import annotations
@@ -58,13 +58,19 @@ st AS (SELECT strategy, COUNT(*) AS n, CAST(SUM(CAST(actual AS DECIMAL(18,2))) A
        GROUP BY strategy)"""
 
 
+def evaluate_scores(sc: DataFrame):
+    """Grouped rank (per strategy, score desc, user id) with the running label sum, and per-strategy totals."""
+    r = global_rank(sc, "score", desc=True, tiebreak="vopenid", measure="actual", group="strategy")
+    st = sc.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), money_sum("actual").alias("total"))
+    return r, st
+
+
 def ranked_scores(spark: SparkSession, sf_dir: str, where=None):
     m = user_mart(spark, sf_dir)
     if where is not None:
         m = m.where(where)
     sc = score_frame(m)
-    r = global_rank(sc, "score", desc=True, tiebreak="vopenid", measure="actual", group="strategy")
-    st = sc.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), money_sum("actual").alias("total"))
+    r, st = evaluate_scores(sc)
     return sc, r, st
 
 
