@@ -61,30 +61,47 @@ def _rows(cols, rows):
     return names, out
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
 def spark_rows(df):
     rows = df.collect()
     return _rows(df.columns, [tuple(r) for r in rows])
 
 
-def duck_rows(con, sql):
+def spark_types(df) -> dict:
+    return {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+            for f in df.schema.fields}
+
+
+def duck_rows(con, sql, types: dict | None = None):
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
+    if types is not None:
+        types.update({d[0]: str(d[1]) for d in cur.description})
     return _rows(cols, cur.fetchall())
 
 
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
-    s_names, s_rows = spark_rows(fn(spark, sf_dir))
+    sdf = fn(spark, sf_dir)
+    s_names, s_rows = spark_rows(sdf)
     t1 = time.time()
     res = {"name": name, "spark_rows": len(s_rows), "spark_sec": round(t1 - t0, 3)}
     if sql is None:
         res["status"] = "rows-only"
         return res
-    d_names, d_rows = duck_rows(con, sql)
+    d_types: dict = {}
+    d_names, d_rows = duck_rows(con, sql, d_types)
+    s_types = spark_types(sdf)
     res["duck_rows"] = len(d_rows)
     if s_names != d_names:
         res["status"] = "schema-mismatch"
         res["detail"] = f"spark={s_names} duck={d_names}"
+    elif s_types != d_types:
+        res["status"] = "type-mismatch"
+        res["detail"] = str({k: (s_types.get(k), d_types.get(k)) for k in s_types if s_types.get(k) != d_types.get(k)})
     elif len(s_rows) != len(d_rows):
         res["status"] = "rowcount-mismatch"
     elif s_rows != d_rows:
