@@ -38,3 +38,12 @@ def test_late_rows_dropped_and_counted(spark):
     assert dropped == 1
     got = spark.read.parquet(f"{out}/data")
     assert got.where(F.col("window.start").cast("date") == "2024-01-01").count() == 0
+
+
+def test_stream_score_scores_every_purchase_once(spark):
+    from .conftest import SMALL
+    out = S.stream_score(spark, SMALL)
+    ev = spark.read.parquet(f"{SMALL}/events.parquet").where("event_type = 'purchase'")
+    assert out.count() == ev.count()
+    assert out.select("event_id").distinct().count() == ev.count()
+    assert out.where("predicted_ltv30 < 0").count() == 0
