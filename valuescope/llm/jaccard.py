@@ -6,17 +6,18 @@ texts, are joined. Two sets link when their Jaccard similarity is at least LEAST
 
 1. Size decides the side. Small sets (at most the boundary) are light: all
    their shingles are posted, and every PAIR-size subset of the rare end of the
-   shared ones becomes a signature. Large sets are heavy: they post the smallest
-   hashes (a quarter of the set and a tenth more), and the inverted lists of the
-   rare end of the shared ones are scanned. Sets up to 4/3 of the boundary take
+   shared ones becomes a signature. Large sets are heavy: the inverted lists of
+   the rare end of their shared shingles are scanned (sets beyond FULL post their
+   smallest hashes only, a quarter of the set and a tenth more). Sets up to 4/3 of the boundary take
    part on both sides, so a pair always meets on one. The boundary is the one
    with the least estimated cost over the measured sizes.
 2. Shingles that only one class posts are of no use; a class with too few shared
    shingles for any link leaves (exact bounds, see ``needed``).
-3. Candidates that share a signature first meet one pivot of it, not each other;
-   verified links give components. Then only members of different components
-   meet. So a group of copies costs its size, not its square, and no link that
-   would join two components is lost.
+3. In each of ROUNDS rounds a class meets one pivot of its signatures, not all
+   their members; verified links give components, and signatures inside one
+   component are closed. Then the members of open signatures that lie in
+   different components all meet. So a group of copies costs its size, not its
+   square, and no link that would join two components is lost.
 4. Every candidate is verified on the whole sets.
 
 Shingles are compared by 64-bit hashes and classes by 64-bit set digests.
@@ -40,9 +41,13 @@ from valuescope.llm.bpe import mix
 from valuescope.llm.common import components, saved
 
 WORDS, PAIR = 5, 2
+#: Sets up to this size (and their partners, up to 4/3 of it) post all their shingles, larger ones a part.
+FULL = 512
 #: Estimates for the cost of a boundary: share of classes that survive, mean length of a scanned list.
 SURVIVE, LIST = 0.15, 3.0
 BOUNDARIES = (8, 12, 16, 24, 32, 48, 64, 96)
+#: Rounds in which each class meets one pivot, before what is still open is compared in full.
+ROUNDS = 4
 CACHE = 500_000
 
 
@@ -57,12 +62,12 @@ def spare(n: int) -> int:
 
 def posted(n: int, boundary: int) -> int:
     """How many of its smallest hashes a set posts. The first ``spare`` shared hashes of a pair are always among them."""
-    return n if 3 * n <= 4 * boundary else n - overlap(n) + spare(n)
+    return n if 3 * n <= 4 * max(boundary, FULL) else n - overlap(n) + spare(n)
 
 
 def needed(n: int, boundary: int, light: bool) -> int:
     """Least number of posted shingles that a set has in common with any partner on this side."""
-    return overlap(n) if light else spare(overlap(n))
+    return overlap(n) if light or n <= FULL else spare(overlap(n))
 
 
 def best_boundary(sizes: list[tuple[int, int]]) -> int:
@@ -155,12 +160,13 @@ def postings_of(src: DataFrame, boundary: int) -> DataFrame:
 
 
 def signatures_of(shared: DataFrame, boundary: int) -> DataFrame:
-    """sig, sid, n of the classes that keep enough shared shingles; ``shared`` has sid, n, parts (df, token)."""
+    """sig, sid, n, hub of the classes that keep enough shared shingles; ``shared`` has sid, n, parts (df, token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, sids, ns = [], [], []
+            sigs, sids, ns, hubs = [], [], [], []
             for sid, n, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                hub = sum(math.log(p["df"]) for p in parts) / posted(n, boundary)
                 t = np.array([p["token"] for p in sorted(parts, key=lambda p: (p["df"], p["token"]))], np.int64).view(np.uint64)
                 got = []
                 if n > boundary and len(t) >= (c := needed(n, boundary, False)):
@@ -173,10 +179,11 @@ def signatures_of(shared: DataFrame, boundary: int) -> DataFrame:
                     sigs.append(signed(g))
                     sids.append(np.full(len(g), sid))
                     ns.append(np.full(len(g), n))
+                    hubs.append(np.full(len(g), hub))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()) for a in (sigs, sids, ns)], names=["sig", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (sigs, sids, ns, hubs)], names=["sig", "sid", "n", "hub"])
 
-    return shared.mapInArrow(run, "sig long, sid long, n long")
+    return shared.mapInArrow(run, "sig long, sid long, n long, hub double")
 
 
 def sets_of(src: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -234,26 +241,40 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     p = p.where("lo <> hi").groupBy("sid").agg(F.collect_set(F.struct("df", "token")).alias("parts"))
     shared = p.join(classes.select("sid", "n"), "sid").select("sid", "n", "parts")
     sig = saved(signatures_of(shared, boundary))
-    live = sig.groupBy("sig").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min_by("sid", F.xxhash64("sid")).alias("pivot")).where("lo <> hi")
-    sig = saved(sig.join(live, "sig").select("sig", "sid", "n", "pivot"))
-    few = sig.select("sid").distinct()
-    sets = saved(sets_of(src, classes.select("doc_id", "sid").join(few, "sid", "left_semi")))
-
-    at = classes.select(F.col("sid").alias("pivot"), F.col("n").alias("m"))
-    star = sig.where("sid <> pivot").groupBy("sid", "pivot").agg(F.first("n").alias("n")).join(at, "pivot").where(fits("n", "m"))
-    star = saved(star.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct())
-    links = saved(verified(star, sets))
-
-    comp = components(links)
-    sig = sig.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    open_ = sig.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    rest = saved(sig.join(open_, "sig"))
-    one = rest.select("sig", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = rest.select("sig", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    sig = saved(open_of(sig.withColumn("root", F.col("sid"))))
+    sets = saved(sets_of(src, classes.select("doc_id", "sid").join(sig.select("sid").distinct(), "sid", "left_semi")))
+
+    spark = docs.sparkSession
+    done = links = spark.createDataFrame([], "a long, b long")
+    comp = spark.createDataFrame([], "node long, root long")
+    for k in range(ROUNDS):
+        # the pivot with the commonest shingles is the likeliest original of a group of near copies; then others by hash
+        key = F.struct(F.when(F.lit(k < 2), -F.col("hub")), F.xxhash64(F.lit(k), "sid"))
+        pivot = sig.groupBy("sig").agg(F.min_by(F.struct(F.col("sid").alias("p"), F.col("n").alias("m"), F.col("root").alias("q"), F.col("hub").alias("h")), key).alias("c"))
+        met = sig.join(pivot.select("sig", "c.*"), "sig").where("root <> q").where(fits("n", "m"))
+        met = met.select("sid", "p", "h").distinct().withColumns({"a": F.least("sid", "p"), "b": F.greatest("sid", "p")}).join(done, ["a", "b"], "left_anti")
+        pairs = saved(met.groupBy("sid").agg(F.min_by(F.struct("a", "b"), F.struct(F.when(F.lit(k < 2), -F.col("h")), F.xxhash64(F.lit(k), "p"))).alias("c")).select("c.*").distinct())
+        if pairs.isEmpty():
+            break
+        links = saved(links.unionByName(verified(pairs, sets)))
+        done = saved(done.unionByName(pairs))
+        comp = components(links)
+        sig = sig.drop("root").join(comp.withColumnRenamed("node", "sid"), "sid", "left")
+        sig = saved(open_of(sig.select("sig", "sid", "n", "hub", F.coalesce("root", "sid").alias("root"))))
+
+    one = sig.select("sig", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    two = sig.select("sig", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     cross = one.join(two, "sig").where("a < b and ra <> rb").where(fits("na", "nb")).select("a", "b").distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti")
-    more = saved(verified(saved(cross), sets))
-    return sizes, components(links.unionByName(more)).select(F.col("node").alias("sid"), "root")
+    cross = saved(cross.join(done, ["a", "b"], "left_anti"))
+    if not cross.isEmpty():
+        comp = components(links.unionByName(verified(cross, sets)))
+    return sizes, comp.select(F.col("node").alias("sid"), "root")
+
+
+def open_of(sig: DataFrame) -> DataFrame:
+    """Rows (sig, sid, n, hub, root) of the signatures whose members lie in more than one component."""
+    live = sig.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    return sig.join(live, "sig")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
