@@ -36,11 +36,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the deployment and is only read here.
-    Only when it is unset (local runs, tests) a scratch folder is created.
+    Where it is unset, a local run or test gets a scratch folder; on a cluster
+    this raises, since a machine's own folder is not shared.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="valuescope-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
