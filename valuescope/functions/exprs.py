@@ -28,11 +28,6 @@ def money_avg(c) -> Column:
     return F.try_divide(money_sum(c), F.count(col(c)).cast("double"))
 
 
-def dsum(c) -> Column:
-    """sum() of a flag/int as double (no decimal promotion)."""
-    return F.sum(col(c)).cast("double")
-
-
 def ratio(num: Column, den: Column) -> Column:
     """num / den in double, null when den is 0 or null (ANSI-safe)."""
     return F.try_divide(num.cast("double"), F.nullif(den.cast("double"), F.lit(0.0)))
@@ -98,8 +93,3 @@ def ladder(value: Column, edges, labels, right_closed: bool = True, include_lowe
             cond = (value >= F.lit(lo)) & (value < F.lit(hi))
         out = F.when(cond, F.lit(lab)) if out is None else out.when(cond, F.lit(lab))
     return out.otherwise(F.lit(default))
-
-
-def one_row_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a frame that is one row by construction (global aggregate)."""
-    return F.broadcast(df)

@@ -5,14 +5,14 @@ A plain ``Window.orderBy(x)`` moves every row into one task. Instead:
 1. count the rows; if the population fits one task (``bucket_rows``,
    session conf ``valuescope.rank.bucketRows``) a single ordered window is
    used — the size of that group is proven by the count;
-2. otherwise bucket edges come from ``approx_percentile`` (at most
-   n / bucket_rows numbers are collected); a value that covers more than one
-   bucket (ties such as ltv = 0) becomes its own bucket and is split again
-   by ranges of the tie-break key (user id), so no bucket exceeds about
-   ``bucket_rows`` rows whatever the skew;
+2. otherwise bucket edges come from ``approx_percentile``; every edge value is a
+   bucket of its own, and a value that covers more than one bucket (ties such
+   as ltv = 0) is split again by ranges of the tie-break key (user id), so no
+   bucket exceeds about ``bucket_rows`` rows whatever the skew. Rows find their
+   bucket by binary search in the edge list;
 3. ``row_number`` / running sum inside each bucket, plus the offsets of the
-   preceding buckets from a bucket-total frame whose size is bounded by the
-   bucket count (so it is broadcast).
+   preceding buckets from a frame of bucket totals. Edges and totals exist only
+   for populations beyond one bucket, and are broadcast up to a stated size.
 
 The order is total (value, then tie-break), so ranks are deterministic and
 the same on recomputation after an executor loss.
@@ -21,170 +21,156 @@ the same on recomputation after an executor loss.
 from __future__ import annotations
 
 import math
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..session import ensure_checkpoint_dir
 
 DEFAULT_BUCKET_ROWS = 2_000_000
-# Upper bound on buckets per ranked population: keeps the edge list (collected
-# once) and the generated search expression small; past ~8 billion rows at the
-# default bucket size the buckets simply grow (window partitions spill to disk).
-MAX_BUCKETS = 4096
+#: Edge lists and bucket totals up to this many entries (8 bytes each and a key) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ENTRIES = 1_000_000
 
 
 def bucket_rows(spark) -> int:
     return int(spark.conf.get("valuescope.rank.bucketRows", str(DEFAULT_BUCKET_ROWS)))
 
 
-def _search(expr: Column, edges: list, base: int = 0) -> Column:
-    """Number of edges <= expr as a balanced CASE tree (O(log n) per row)."""
-    if not edges:
-        return F.lit(base)
-    mid = len(edges) // 2
-    return F.when(expr >= F.lit(edges[mid]), _search(expr, edges[mid + 1:], base + mid + 1)) \
-        .otherwise(_search(expr, edges[:mid], base))
-
-
 @dataclass
 class Ranked:
     df: DataFrame      # input columns + rn (1-based) [+ cum]
     n: int             # number of ranked rows (all groups)
-    counts: dict | None = None  # rows per group when grouped
+    counts: DataFrame | None = None  # (group, c): rows per group when grouped
+
+
+def _doubles(values: list[float]) -> Column:
+    """Array literal in one expression, however long the list."""
+    if not values:
+        return F.array().cast("array<double>")
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _count_le(edges: Column, x: Column, most: int) -> Column:
+    """How many of the sorted ``edges`` (at most ``most``) are <= x: binary search by halving steps."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, most.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(edges)) & (F.get(edges, at + step - 1) <= x), at + step).otherwise(at))
+
+
+def _position(edges: Column, x: Column, most: int) -> Column:
+    """2i between two edges and 2i + 1 on an edge, so every edge value has a bucket of its own."""
+    le = _count_le(edges, x, most)
+    return F.lit(2) * le - F.when(F.get(edges, le - 1) == x, 1).otherwise(0)
+
+
+def _order_number(df: DataFrame, tiebreak: str) -> Column:
+    """A number that never decreases in the order of the tie-break key.
+
+    Strings compare by their bytes, so six bytes after the prefix that all values share order them (values
+    that agree there stay in one bucket and are ordered inside it).
+    """
+    c = F.col(tiebreak)
+    if not isinstance(df.schema[tiebreak].dataType, StringType):
+        return c.cast("double")
+    lo, hi = df.agg(F.min(F.encode(c, "utf-8")), F.max(F.encode(c, "utf-8"))).first()
+    shared = len(os.path.commonprefix([bytes(lo or b""), bytes(hi or b"")]))
+    head = F.hex(F.substring(F.encode(c, "utf-8"), shared + 1, 6))
+    return F.coalesce(F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+
+
+def _fixed(df: DataFrame) -> DataFrame:
+    """Sketch results written to the shared folder: a second evaluation would give other edges."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
-def _value_buckets(df: DataFrame, key: str, tiebreak: str, desc: bool, target: int, n: int,
-                   gcond: Column | None = None):
-    """Bucket expression for one population (a group or everything)."""
-    nb = min(MAX_BUCKETS, max(1, math.ceil(n / target)))
-    if nb == 1:
-        return None  # one bucket: offsets are all zero
-    src = df.where(gcond) if gcond is not None else df
-    fr = [i / nb for i in range(1, nb)]
+def _edges(df: DataFrame, group: list[str], key: str, tiebreak: str, nb: int) -> DataFrame:
+    """(group…, e, heavy): sorted distinct edges, and per value that covers more than one bucket its tie-break edges."""
     acc = max(10000, 20 * nb)
-    edges = src.agg(F.percentile_approx(F.col(key).cast("double"), fr, acc).alias("e")).first()["e"] or []
-    counts: dict[float, int] = {}
-    for e in edges:
-        counts[e] = counts.get(e, 0) + 1
-    heavy = sorted(v for v, c in counts.items() if c >= 2)
-    cuts = set(counts)
-    for v in heavy:  # [v, nextafter(v)) holds v alone
-        cuts.add(v)
-        cuts.add(math.nextafter(v, math.inf))
-    cuts = sorted(cuts)
     kc = F.col(key).cast("double")
-    b_asc = _search(kc, cuts)
-    n_value_buckets = len(cuts) + 1
-    smax = 1
-    sub = F.lit(0)
-    if heavy:
-        s = max(counts[v] for v in heavy) + 1
-        tfr = [j / s for j in range(1, s)]
-        rows = (src.where(kc.isin(heavy)).groupBy(kc.alias("v"))
-                .agg(F.percentile_approx(F.col(tiebreak).cast("double"), tfr, acc).alias("t")).collect())
-        tmap = {r["v"]: sorted(set(r["t"] or [])) for r in rows}
-        smax = max([len(t) + 1 for t in tmap.values()] + [1])
-        tb = F.col(tiebreak).cast("double")
-        sub_expr = None
-        for v, t in tmap.items():
-            branch = _search(tb, t)
-            sub_expr = F.when(kc == F.lit(v), branch) if sub_expr is None else sub_expr.when(kc == F.lit(v), branch)
-        if sub_expr is not None:
-            sub = sub_expr.otherwise(F.lit(0))
-    b = (F.lit(n_value_buckets - 1) - b_asc) if desc else b_asc
-    return b * F.lit(smax) + sub
-
-
-def _grouped_buckets(df: DataFrame, key: str, tiebreak: str, desc: bool, target: int, counts: dict,
-                     group: str):
-    """Bucket expression for every group larger than ``target``, built from two
-    grouped sketch jobs in total (edges per group, then tie-break ranges of
-    heavy values per group), whatever the number of groups."""
-    big = {g: c for g, c in counts.items() if g is not None and c > target}
-    if not big:
-        return None
-    nb = min(MAX_BUCKETS, max(math.ceil(c / target) for c in big.values()))
-    fr = [i / nb for i in range(1, nb)]
-    acc = max(10000, 20 * nb)
+    raw = df.groupBy(*group).agg(F.percentile_approx(kc, [i / nb for i in range(1, nb)], acc).alias("q"))
+    raw = raw.select(*group, F.explode("q").alias("v")).groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c"))
+    raw = _fixed(raw)
+    edges = raw.groupBy(*group).agg(F.sort_array(F.collect_list("v")).alias("e"))
+    most = raw.agg(F.max("c")).first()[0] or 1
+    if most < 2:
+        return edges.withColumn("heavy", F.lit(None).cast("map<double,array<double>>"))
+    ties = raw.where("c > 1").select(*[F.col(g).alias(f"_{g}") for g in group], F.col("v").alias("_v"))
+    on = (kc == F.col("_v"))
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    cuts = [j / (most + 1) for j in range(1, most + 1)]
+    # at most one tie per two buckets
+    inside = df.join(F.broadcast(ties), on).groupBy(*group, "_v").agg(
+        F.array_distinct(F.percentile_approx(_order_number(df, tiebreak), cuts, acc)).alias("t"))
+    heavy = inside.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(
+        F.map_from_entries(F.collect_list(F.struct("_v", "t"))).alias("heavy"))
+    if not group:  # one row
+        return edges.withColumn("heavy", heavy.scalar())
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return edges.join(heavy, on, "left").select(*group, "e", "heavy")
+
+
+def _bucketed(df: DataFrame, key: str, tiebreak: str, desc: bool, target: int, group: str | None, n: int,
+              sizes: DataFrame | None) -> tuple[DataFrame, bool]:
+    """``df`` with _b, _s (bucket and its part, both in rank order), null in groups that fit one bucket; and
+    whether the totals per bucket are few enough to broadcast."""
     kc = F.col(key).cast("double")
-    rows = (df.where(F.col(group).isin(list(big))).groupBy(group)
-            .agg(F.percentile_approx(kc, fr, acc).alias("e")).collect())  # one row per large group
-    plan = {}
-    heavy_pairs = []
-    for r in rows:
-        edges = r["e"] or []
-        cnt: dict[float, int] = {}
-        for e in edges:
-            cnt[e] = cnt.get(e, 0) + 1
-        heavy = sorted(v for v, c in cnt.items() if c >= 2)
-        cuts = set(cnt)
-        for v in heavy:
-            cuts.add(v)
-            cuts.add(math.nextafter(v, math.inf))
-        plan[r[group]] = (sorted(cuts), heavy, cnt)
-        heavy_pairs += [(r[group], v, cnt[v]) for v in heavy]
-    tmap: dict = {}
-    smax = 1
-    if heavy_pairs:
-        s = max(c for _, _, c in heavy_pairs) + 1
-        tfr = [j / s for j in range(1, s)]
-        gtype = df.schema[group].dataType.simpleString()
-        pairs = df.sparkSession.createDataFrame([(g, float(v)) for g, v, _ in heavy_pairs],
-                                                f"`{group}` {gtype}, _hv double")
-        hrows = (df.withColumn("_hv", kc).join(F.broadcast(pairs), [group, "_hv"])  # ≤ #groups × nb pairs
-                 .groupBy(group, "_hv").agg(F.percentile_approx(F.col(tiebreak).cast("double"), tfr, acc).alias("t"))
-                 .collect())
-        for r in hrows:
-            t = sorted(set(r["t"] or []))
-            tmap[(r[group], r["_hv"])] = t
-            smax = max(smax, len(t) + 1)
-    nvb = max(len(c) + 1 for c, _, _ in plan.values())
-    tb = F.col(tiebreak).cast("double")
-    out = None
-    for g, (cuts, heavy, _) in plan.items():
-        gc = F.col(group) == F.lit(g)
-        b_asc = _search(kc, cuts)
-        b = (F.lit(nvb - 1) - b_asc) if desc else b_asc
-        sub = None
-        for v in heavy:
-            br = _search(tb, tmap.get((g, v), []))
-            sub = F.when(kc == F.lit(v), br) if sub is None else sub.when(kc == F.lit(v), br)
-        e = b * F.lit(smax) + (sub.otherwise(F.lit(0)) if sub is not None else F.lit(0))
-        out = F.when(gc, e) if out is None else out.when(gc, e)
-    return out.otherwise(F.lit(0))
+    if group is None:
+        nb = math.ceil(n / target)
+        row = _edges(df, [], key, tiebreak, nb).first()
+        e = sorted(float(v) for v in row["e"])
+        b = _position(_doubles(e), kc, nb)
+        ties = {float(v): sorted(float(x) for x in t) for v, t in (row["heavy"] or {}).items()}
+        part = F.lit(0)
+        if ties:
+            pairs = [c for v, t in ties.items() for c in (F.lit(v), _doubles(t))]
+            cuts = F.try_element_at(F.create_map(*pairs), kc)
+            part = F.coalesce(_count_le(cuts, _order_number(df, tiebreak), max(map(len, ties.values()))), F.lit(0))
+        return df.withColumns({"_b": -b if desc else b, "_s": part}), 4 * nb <= BROADCAST_ENTRIES
+    big = sizes.where(F.col("c") > target).select(F.col(group).alias("_g"))  # at most n / target rows
+    big_n, top = sizes.where(F.col("c") > target).agg(F.count(F.lit(1)), F.max("c")).first()
+    nb = math.ceil(top / target)
+    few = big_n * nb * 4 <= BROADCAST_ENTRIES
+    held = df.join(F.broadcast(big) if few else big, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+    plan = _fixed(_edges(held, [group], key, tiebreak, nb)).withColumnRenamed(group, "_g")
+    x = df.join(F.broadcast(plan) if few else plan, F.col(group).eqNullSafe(F.col("_g")), "left")
+    b = _position(F.col("e"), kc, nb)
+    part = F.coalesce(_count_le(F.try_element_at(F.col("heavy"), kc), _order_number(df, tiebreak), nb), F.lit(0))
+    held = F.col("e").isNotNull()
+    x = x.withColumns({"_b": F.when(held, -b if desc else b), "_s": F.when(held, part)})
+    return x.drop("_g", "e", "heavy"), few
 
 
 def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vopenid",
                 measure: str | None = None, target: int | None = None, n: int | None = None,
-                money: bool = True, group: str | None = None, max_rows: int | None = None,
-                extra: list[str] | None = None) -> Ranked:
+                money: bool = True, group: str | None = None, extra: list[str] | None = None) -> Ranked:
     """Add ``rn`` (1-based position in the order key, tiebreak) and, with
     ``measure``, ``cum`` (running sum of the measure up to the row).
 
-    With ``group`` the order restarts in every group (one pass for all
-    groups, e.g. one rank per strategy or per feature). Rows with a null key
-    are dropped. ``money`` sums the measure as DECIMAL(18,2) (exact).
-    ``max_rows``: a known upper bound on the row count; when it fits one
-    bucket the count job is skipped (``n`` is then reported as 0).
-    ``extra``: more columns to accumulate (as double) into ``cum_<name>``.
+    With ``group`` the order restarts in every group, the null group included
+    (one pass for all groups, e.g. one rank per strategy or per feature). Rows
+    with a null key are dropped. ``money`` sums the measure as DECIMAL(18,2)
+    (exact). ``extra``: more columns to accumulate (as double) into ``cum_<name>``.
     """
     extra = extra or []
-    spark = df.sparkSession
-    target = target or bucket_rows(spark)
+    target = target or bucket_rows(df.sparkSession)
     df = df.where(F.col(key).isNotNull())
-    counts = None
+    sizes = None
     if group is None:
-        if n is None and not (max_rows is not None and max_rows <= target):
-            n = df.count()
-        bcol = _value_buckets(df, key, tiebreak, desc, target, n or 0)
-        single = bcol is None
+        n = df.count() if n is None else n
+        single = n <= target
     else:
-        counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}  # one row per group
-        n = sum(counts.values())
-        bcol = _grouped_buckets(df, key, tiebreak, desc, target, counts, group)
-        single = bcol is None  # every group fits one bucket: rank within the group directly
-    x = df if single else df.withColumn("_b", bcol)
-    parts = ([group] if group else []) + ([] if single else ["_b"])
+        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("c"))
+        top, n = sizes.agg(F.max("c"), F.sum("c")).first()
+        single = (top or 0) <= target
+    x, few = (df, True) if single else _bucketed(df, key, tiebreak, desc, target, group, n, sizes)
+    parts = ([group] if group else []) + ([] if single else ["_b", "_s"])
     order = [F.col(key).desc() if desc else F.col(key).asc(), F.col(tiebreak).asc()]
     # the population fits one bucket (size proven by the count): a plain ordered window
     w = (Window.partitionBy(*parts) if parts else Window.partitionBy()).orderBy(*order)
@@ -204,31 +190,28 @@ def global_rank(df: DataFrame, key: str, desc: bool = True, tiebreak: str = "vop
         for e in extra:
             x = x.withColumn(f"cum_{e}", F.col(f"_cl_{e}"))
     else:
-        aggs = [F.count(F.lit(1)).alias("_bn")]
+        aggs = [F.count(F.lit(1)).alias("_on")]
         if measure:
-            aggs.append(F.sum("_m").alias("_bs"))
-        aggs += [F.sum(F.col(e).cast("double")).alias(f"_bs_{e}") for e in extra]
-        # one row per (group, bucket): bounded by the bucket count → broadcast
-        tot = x.groupBy(*parts).agg(*aggs)
-        wo = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_b") \
+            aggs.append(F.sum("_m").alias("_os"))
+        aggs += [F.sum(F.col(e).cast("double")).alias(f"_os_{e}") for e in extra]
+        # one row per bucket of the groups beyond one bucket; groups that fit one have no offset
+        tot = x.where(F.col("_b").isNotNull()).groupBy(*parts).agg(*aggs)
+        wo = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_b", "_s") \
             .rowsBetween(Window.unboundedPreceding, -1)
-        tot = tot.withColumn("_on", F.coalesce(F.sum("_bn").over(wo), F.lit(0)))
-        cols = parts + ["_on"]
+        sums = ["_on"] + (["_os"] if measure else []) + [f"_os_{e}" for e in extra]
+        tot = tot.select(*[F.col(c).alias(f"_t{c}") for c in parts], *[F.sum(c).over(wo).alias(c) for c in sums])
+        on = (F.col("_b") == F.col("_t_b")) & (F.col("_s") == F.col("_t_s"))
+        if group:
+            on = on & F.col(group).eqNullSafe(F.col(f"_t{group}"))
+        x = x.join(F.broadcast(tot) if few else tot, on, "left").drop(*[f"_t{c}" for c in parts])
+        x = x.withColumn("rn", (F.coalesce("_on", F.lit(0)) + F.col("_rl")).cast("bigint"))
         if measure:
             zero = F.lit(0).cast("decimal(38,2)") if money else F.lit(0.0)
-            tot = tot.withColumn("_os", F.coalesce(F.sum("_bs").over(wo), zero))
-            cols.append("_os")
+            x = x.withColumn("cum", (F.coalesce("_os", zero) + F.col("_cl")).cast("double"))
         for e in extra:
-            tot = tot.withColumn(f"_os_{e}", F.coalesce(F.sum(f"_bs_{e}").over(wo), F.lit(0.0)))
-            cols.append(f"_os_{e}")
-        x = x.join(F.broadcast(tot.select(*cols)), parts)
-        x = x.withColumn("rn", (F.col("_on") + F.col("_rl")).cast("bigint"))
-        if measure:
-            x = x.withColumn("cum", (F.col("_os") + F.col("_cl")).cast("double"))
-        for e in extra:
-            x = x.withColumn(f"cum_{e}", F.col(f"_os_{e}") + F.col(f"_cl_{e}"))
-    drop = ["_b", "_rl", "_cl", "_on", "_os", "_m"] + [f"_{k}_{e}" for e in extra for k in ("cl", "os")]
-    return Ranked(x.drop(*drop), n or 0, counts)
+            x = x.withColumn(f"cum_{e}", F.coalesce(F.col(f"_os_{e}"), F.lit(0.0)) + F.col(f"_cl_{e}"))
+    drop = ["_b", "_s", "_rl", "_cl", "_on", "_os", "_m"] + [f"_{k}_{e}" for e in extra for k in ("cl", "os")]
+    return Ranked(x.drop(*drop), n or 0, sizes)
 
 
 def quantiles(df: DataFrame, key: str, qs: dict[str, float], tiebreak: str = "vopenid",
@@ -273,33 +256,7 @@ def cutoff_values(df: DataFrame, key: str, qs: dict[str, float], where: Column |
     return {a: (None if row is None else row[a]) for a in qs}
 
 
-def group_percentile(df: DataFrame, groups: list[str], key: str, spark=None):
-    """Factory for per-group percentile columns with a bounded-memory guard.
-
-    Spark's exact ``percentile`` keeps one counter per distinct value of the
-    group. If the largest group has more distinct values than
-    ``bucket_rows`` (checked once with a sketch) the sketch-based
-    ``percentile_approx`` is used instead, so memory stays bounded.
-    """
-    spark = spark or df.sparkSession
-    limit = bucket_rows(spark)
-    g = df.groupBy(*groups) if groups else df.groupBy()
-    mx = g.agg(F.approx_count_distinct(key).alias("d")).agg(F.max("d")).first()[0] or 0
-    exact = mx <= limit
-
-    def pc(q: float, col: str | None = None) -> Column:
-        c = F.col(col or key).cast("double")
-        return F.percentile(c, q) if exact else F.percentile_approx(c, q, 100000).cast("double")
-    return pc
-
-
-def percent_rank_bucket(rn: Column, n: int, buckets: int) -> Column:
-    """0-based bucket from a 1-based global rank: floor((rn-1)*buckets/n)."""
-    return F.floor((rn - F.lit(1)) * F.lit(buckets) / F.lit(n)).cast("int")
-
-
-def mid_ranks(df: DataFrame, key: str, out: str, group: str | None = None,
-              max_rows: int | None = None) -> DataFrame:
+def mid_ranks(df: DataFrame, key: str, out: str, group: str | None = None) -> DataFrame:
     """Attach the 1-based mid-rank of ``key`` (ties share the mean rank).
 
     Distinct values are counted first (partial aggregation collapses hot
@@ -309,9 +266,12 @@ def mid_ranks(df: DataFrame, key: str, out: str, group: str | None = None,
     """
     g = [group] if group else []
     d = df.where(F.col(key).isNotNull()).groupBy(*g, key).agg(F.count(F.lit(1)).alias("_c"))
-    r = global_rank(d, key, desc=False, tiebreak=key, measure="_c", money=False, group=group, max_rows=max_rows)
-    rk = r.df.select(*g, key, (F.col("cum") - F.col("_c") + (F.col("_c") + F.lit(1.0)) / F.lit(2.0)).alias(out))
-    return df.join(rk, g + [key], "left")
+    r = global_rank(d, key, desc=False, tiebreak=key, measure="_c", money=False, group=group)
+    rk = r.df.select(*[F.col(c).alias(f"_r{c}") for c in g], F.col(key).alias("_rk"), (F.col("cum") - F.col("_c") + (F.col("_c") + F.lit(1.0)) / F.lit(2.0)).alias(out))
+    on = F.col(key) == F.col("_rk")
+    for c in g:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+    return df.join(rk, on, "left").drop("_rk", *[f"_r{c}" for c in g])
 
 
 def prefix_sums_at(ranked: Ranked, positions: list[int]) -> DataFrame:
@@ -350,16 +310,14 @@ def group_quantiles(df: DataFrame, group: str | None, key: str, qs: dict[str, fl
         return quantiles(base, key, qs, tiebreak=tiebreak, target=target)
     r = global_rank(base.select(group, key, tiebreak), key, desc=False, tiebreak=tiebreak, group=group,
                     target=target)
-    rows = []
-    for gv, c in (r.counts or {}).items():
-        for a, q in qs.items():
-            pos = (c - 1) * q
-            lo, hi = math.floor(pos), math.ceil(pos)
-            rows.append((gv, a, lo + 1, hi + 1, float(pos - lo)))
-    gtype = base.schema[group].dataType.simpleString()
-    pos = spark.createDataFrame(rows, f"`{group}` {gtype}, alias string, lo bigint, hi bigint, frac double")
-    j = r.df.select(group, "rn", F.col(key).cast("double").alias("v")).join(
-        F.broadcast(pos), [group]).where((F.col("rn") == F.col("lo")) | (F.col("rn") == F.col("hi")))
+    asked = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(float(q)).alias("q")) for a, q in qs.items()])
+    at = (F.col("c") - 1) * F.col("w.q")
+    pos = r.counts.select(F.col(group).alias("_g"), "c", F.explode(asked).alias("w")).select(
+        "_g", "w.alias", (F.floor(at) + 1).alias("lo"), (F.ceil(at) + 1).alias("hi"), (at - F.floor(at)).alias("frac"))
+    if r.counts.count() * len(qs) <= BROADCAST_ENTRIES:
+        pos = F.broadcast(pos)
+    j = r.df.select(group, "rn", F.col(key).cast("double").alias("v")).join(pos, F.col(group).eqNullSafe(F.col("_g"))) \
+        .where((F.col("rn") == F.col("lo")) | (F.col("rn") == F.col("hi")))
     per = j.groupBy(group, "alias", "frac").agg(
         F.max(F.when(F.col("rn") == F.col("lo"), F.col("v"))).alias("vlo"),
         F.max(F.when(F.col("rn") == F.col("hi"), F.col("v"))).alias("vhi"))

@@ -148,10 +148,12 @@ def churn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job("churn_by_txn", sql=with_mart(f"""
 SELECT txn_cnt_d7, COUNT(*) AS users, {_r(_ma('ltv30'), 'avg_ltv')}, {_r('AVG(low_growth) * 100.0', 'low_growth_rate_pct')}
-FROM p WHERE txn_cnt_d7 <= 10 GROUP BY txn_cnt_d7""", CHURN_SQL))
-def churn_by_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Low-growth rate of D7 payers by number of D7 transactions (≤ 10)."""
-    p = _churn_frame(spark, sf_dir).where(F.col("txn_cnt_d7") <= 10)
+FROM p GROUP BY txn_cnt_d7""", CHURN_SQL))
+def churn_by_txn(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """Low-growth rate of D7 payers by number of D7 transactions (up to ``most`` where given)."""
+    p = _churn_frame(spark, sf_dir)
+    if most is not None:
+        p = p.where(F.col("txn_cnt_d7") <= most)
     return round_doubles(p.groupBy("txn_cnt_d7").agg(
         F.count(F.lit(1)).alias("users"), money_avg("ltv30").alias("avg_ltv"),
         (F.avg("low_growth") * 100.0).alias("low_growth_rate_pct")))

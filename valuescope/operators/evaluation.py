@@ -11,7 +11,7 @@ go through ``evaluate_scores`` the same way (``ml.model_vs_heuristics``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import job
@@ -21,18 +21,17 @@ from ..plans.mart import user_mart
 from ..twins import pearson as sql_pearson
 from ..twins import with_mart
 from .cohorts import _r
+from .splits import _hash_sql, user_hash
 
 # The reference's baseline heuristics (single-column scores).
 HEURISTICS = ["rev_d7", "login_rows_d7", "active_days_d7", "games_d7", "kd_d7"]
-RANDOM_MULT = 2654435761      # multiplicative hash of the user id (seeded random order)
-RANDOM_MOD = 4294967296
 STRATEGIES = HEURISTICS + ["random", "oracle"]
 
 
 def score_frame(m: DataFrame, label: str = "ltv30", keep: list[str] | None = None) -> DataFrame:
     """Long frame (strategy, vopenid, score, actual[, keep…]) from the mart columns."""
     keep = keep or []
-    rnd = F.pmod(F.col("vopenid") * F.lit(RANDOM_MULT), F.lit(RANDOM_MOD)).cast("double")
+    rnd = user_hash("vopenid").cast("double")  # seeded random order
     items = [F.struct(F.lit(h).alias("strategy"), F.coalesce(F.col(h).cast("double"), F.lit(0.0)).alias("score"))
              for h in HEURISTICS]
     items += [F.struct(F.lit("random").alias("strategy"), rnd.alias("score")),
@@ -47,7 +46,7 @@ def _sql_scores(where: str = "") -> str:
     cases = " ".join(f"WHEN '{h}' THEN COALESCE(CAST(m.{h} AS DOUBLE), 0.0)" for h in HEURISTICS)
     return f"""
 sc AS (SELECT s.strategy, m.vopenid, m.ltv30 AS actual,
-  CASE s.strategy {cases} WHEN 'random' THEN CAST((m.vopenid * {RANDOM_MULT}) % {RANDOM_MOD} AS DOUBLE)
+  CASE s.strategy {cases} WHEN 'random' THEN CAST({_hash_sql('m.vopenid')} AS DOUBLE)
   ELSE CAST(m.ltv30 AS DOUBLE) END AS score
   FROM (SELECT * FROM mart{w}) m, (SELECT unnest({STRATEGIES}) AS strategy) s),
 rk AS (SELECT strategy, vopenid, actual, score,
@@ -88,7 +87,7 @@ def _at_positions(r, st, k10s: list[int]):
     ks = st.select("strategy", "n", "total", F.explode(F.array(*[F.lit(k) for k in k10s])).alias("k10"))
     ks = ks.withColumn("pos", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("k10") / F.lit(1000))).cast("bigint"))
     hits = r.df.select("strategy", F.col("rn").alias("pos"), "cum")
-    return ks.join(hits, ["strategy", "pos"], "left")  # ks is tiny; AQE broadcasts it
+    return hits.join(F.broadcast(ks), ["strategy", "pos"])  # strategies x K values; every position exists
 
 
 # ---------------------------------------------------------------- E1
@@ -363,6 +362,9 @@ def ranking_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E13
+CURVE_BLOCK = 1_000_000
+
+
 @job("ranking_checks", sql=with_mart("""
 , mono AS (SELECT strategy, MIN(cum - COALESCE(prev, 0.0)) AS min_step FROM
              (SELECT strategy, cum, LAG(cum) OVER (PARTITION BY strategy ORDER BY rn) AS prev FROM rk) t GROUP BY strategy),
@@ -376,10 +378,14 @@ def ranking_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = user_mart(spark, sf_dir)
     _, r, st = ranked_scores(spark, sf_dir)
     x = r.df.join(F.broadcast(st), "strategy")
-    # non-negative actuals ⇒ running sum monotone; checked per row against the row's own value
-    g = x.groupBy("strategy").agg(
+    # steps inside blocks of the curve, then from block to block
+    x = x.withColumn("block", F.floor(F.col("rn") / CURVE_BLOCK))
+    x = x.withColumn("step", F.col("cum") - F.lag("cum").over(Window.partitionBy("strategy", "block").orderBy("rn")))
+    g = x.groupBy("strategy", "block").agg(
         F.max(F.when(F.col("rn") == F.col("n"), F.col("cum"))).alias("c"), F.first("total").alias("total"),
-        F.min(F.col("actual")).alias("min_step"))
+        F.min("step").alias("step"), F.min_by("cum", "rn").alias("lo"), F.max_by("cum", "rn").alias("hi"))
+    g = g.withColumn("jump", F.col("lo") - F.lag("hi", 1, 0.0).over(Window.partitionBy("strategy").orderBy("block")))
+    g = g.groupBy("strategy").agg(F.max("c").alias("c"), F.first("total").alias("total"), F.min(F.least("step", "jump")).alias("min_step"))
     zv = m.where(F.col("rev_d7") == 0).agg(F.coalesce(F.var_pop("rev_d7"), F.lit(0.0)).alias("v")).first()["v"]
     return g.select("strategy", (F.col("c") == F.col("total")).cast("int").alias("capture_at_100_is_full"),
                     (F.col("min_step") >= 0).cast("int").alias("curve_monotone"),

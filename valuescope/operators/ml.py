@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import job
-from ..functions.exprs import count_if, money_avg, money_sum, pearson, round_doubles
-from ..functions.ranking import cutoff_values, mid_ranks
+from ..functions.exprs import count_if, money_avg, money_sum, round_doubles
+from ..functions.ranking import cutoff_values
 from ..plans.mart import user_mart
 from ..plans.windows import WINDOW_FEATURES, WINDOWS, window_mart
 from ..session import ensure_checkpoint_dir
@@ -39,12 +39,13 @@ LOGIN = ["login_rows_d7", "active_days_d7", "loginchannel_variety_d7"]
 ATTRIBUTION = ["media_source", "first_country_code", "first_os"]
 NUMERIC = PAYMENT + GAMEPLAY + LOGIN
 
-# Model size: the reference trains 200 trees of depth 6 at learning rate 0.05;
-# Spark's GBT is iteration-bound, so the default here is fewer, larger steps.
-GBT_TREES = 40
-GBT_DEPTH = 6
-GBT_STEP = 0.1
+# Model sizes of the reference.
+GBT_TREES, GBT_DEPTH, GBT_STEP = 200, 6, 0.05
+CHURN_TREES, CHURN_DEPTH, CHURN_STEP = 100, 4, 0.1
+WINDOW_TREES, WINDOW_DEPTH, WINDOW_STEP = 150, 5, 0.08
+SUBSAMPLE = 0.8  # of the churn and window models
 SEED = 42
+BINS = 32        # of a continuous feature; more where a categorical column has more labels
 
 
 def _prepared(m: DataFrame) -> DataFrame:
@@ -53,12 +54,13 @@ def _prepared(m: DataFrame) -> DataFrame:
         .withColumn("label", F.log1p(F.greatest(F.col("ltv30"), F.lit(0.0))))
 
 
-def pltv_pipeline(trees: int = GBT_TREES, depth: int = GBT_DEPTH, step: float = GBT_STEP) -> Pipeline:
+def pltv_pipeline(trees: int = GBT_TREES, depth: int = GBT_DEPTH, step: float = GBT_STEP,
+                  bins: int = BINS) -> Pipeline:
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in ATTRIBUTION]
     vec = VectorAssembler(inputCols=NUMERIC + [f"{c}_idx" for c in ATTRIBUTION], outputCol="features",
                           handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=step,
-                       seed=SEED, checkpointInterval=10, maxBins=64)
+                       seed=SEED, checkpointInterval=10, maxBins=bins)
     return Pipeline(stages=idx + [vec, gbt])
 
 
@@ -76,7 +78,8 @@ def _train(spark, sf_dir, maturity_days=MATURITY_DAYS):
             # no cohort is older than the maturity window (tiny inputs): fall back to an
             # 80 % user-hash split of all labelled users so the model can still be fitted
             train = x.where(F.pmod(user_hash(), F.lit(100)) < 80)
-        _MODELS[key] = pltv_pipeline().fit(train)
+        labels = train.agg(*[F.count_distinct(c) for c in ATTRIBUTION]).first()
+        _MODELS[key] = pltv_pipeline(bins=max(BINS, *labels) + 1).fit(train)  # one more for unseen labels
     return x, _MODELS[key]
 
 
@@ -147,9 +150,6 @@ def _regression_metrics(s: DataFrame, pred: str, actual: str, group: str | None
 
 
 # ---------------------------------------------------------------- L4 / A24
-CHURN_TREES = 30
-CHURN_DEPTH = 4
-
 
 def _churn_model(spark, sf_dir):
     m = user_mart(spark, sf_dir).where(F.col("rev_d7") > 0)
@@ -160,7 +160,7 @@ def _churn_model(spark, sf_dir):
     feats = [c for c in NUMERIC if c not in ("rev_d7",)] + ["rev_d7"]
     vec = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
     clf = GBTClassifier(featuresCol="features", labelCol="low_growth", maxIter=CHURN_TREES, maxDepth=CHURN_DEPTH,
-                        seed=SEED, checkpointInterval=10)
+                        stepSize=CHURN_STEP, subsamplingRate=SUBSAMPLE, seed=SEED, checkpointInterval=10)
     model = Pipeline(stages=[vec, clf]).fit(x.where(~F.col("is_test")))
     scored = model.transform(x).withColumn("churn_score", vector_to_array("probability")[1])
     return scored
@@ -193,9 +193,6 @@ def churn_revenue_at_risk(spark: SparkSession, sf_dir: str, bins: int = 10) -> D
 
 
 # ---------------------------------------------------------------- L5 / E14
-WINDOW_TREES = 30
-WINDOW_DEPTH = 5
-
 
 @job("window_scores", sql=None)
 def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +204,7 @@ def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = w.where(F.col("window_days") == d)
         vec = VectorAssembler(inputCols=WINDOW_FEATURES, outputCol="features")
         gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=WINDOW_TREES, maxDepth=WINDOW_DEPTH,
-                           seed=SEED, checkpointInterval=10)
+                           stepSize=WINDOW_STEP, subsamplingRate=SUBSAMPLE, seed=SEED, checkpointInterval=10)
         model = Pipeline(stages=[vec, gbt]).fit(part.where(~F.col("is_test")))
         return model.transform(part.where(F.col("is_test"))).select(
             F.col("window_days").cast("string").alias("grp"), F.col("user_id").alias("vopenid"),
@@ -284,12 +281,6 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.lit(float(ev[1])).alias("explained_var_pc2"), "ltv30"))
 
 
-def spearman_of(df: DataFrame, x: str, y: str) -> float:
-    """Helper for tests: Spearman of two columns via distributed mid-ranks."""
-    r = mid_ranks(mid_ranks(df.select(x, y), x, "_rx"), y, "_ry")
-    return r.agg(pearson("_rx", "_ry")).first()[0]
-
-
 MODEL_K10 = [10, 30, 50, 100]  # 1 %, 3 %, 5 %, 10 %
 
 

@@ -188,7 +188,7 @@ def _roi_frame(spark, sf_dir):
     ks = st.select("strategy", "n", "total", F.explode(F.array(*[F.lit(k) for k in ROI_KS])).alias("k_pct"))
     ks = ks.withColumn("pos", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("k_pct") / F.lit(100))).cast("bigint"))
     hits = r.df.select("strategy", F.col("rn").alias("pos"), F.col("cum").alias("revenue"))
-    return ks.join(hits, ["strategy", "pos"], "left")
+    return hits.join(F.broadcast(ks), ["strategy", "pos"])  # strategies x K values; every position exists
 
 
 @job("topk_roi", sql=with_mart(f"""

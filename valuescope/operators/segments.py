@@ -423,7 +423,7 @@ def skill_segment_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- P8 / A17
 # Games-played bins of the reference (right-closed, lowest included).
-GAMES_EDGES = [0, 1, 5, 10, 20, 50, 100, 9999]
+GAMES_EDGES = [0, 1, 5, 10, 20, 50, 100, float("inf")]
 GAMES_LABELS = ["0-1", "2-5", "6-10", "11-20", "21-50", "51-100", "100+"]
 
 
@@ -432,7 +432,8 @@ def _games_bucket_sql():
     for i, lab in enumerate(GAMES_LABELS):
         lo, hi = GAMES_EDGES[i], GAMES_EDGES[i + 1]
         left = f"games_d7 >= {lo}" if i == 0 else f"games_d7 > {lo}"
-        parts.append(f"WHEN {left} AND games_d7 <= {hi} THEN '{lab}'")
+        right = "" if hi == float("inf") else f" AND games_d7 <= {hi}"
+        parts.append(f"WHEN {left}{right} THEN '{lab}'")
     return "CASE " + " ".join(parts) + " END"
 
 

@@ -30,11 +30,13 @@ MATURITY_DAYS = 1460
 
 
 def user_hash(c: str = "vopenid"):
-    return F.pmod(F.col(c) * F.lit(HASH_MULT), F.lit(HASH_MOD))
+    """Multiplicative hash in [0, 2^32); exact for any id, and ids that are not numbers go by their crc32."""
+    number = F.coalesce(F.col(c).try_cast("decimal(20,0)"), F.crc32(F.col(c).cast("string")).cast("decimal(20,0)"))
+    return F.pmod(number * F.lit(HASH_MULT).cast("decimal(10,0)"), F.lit(HASH_MOD).cast("decimal(10,0)")).cast("bigint")
 
 
 def _hash_sql(c: str = "vopenid") -> str:
-    return f"(({c} * {HASH_MULT}) % {HASH_MOD})"
+    return f"CAST((CAST({c} AS HUGEINT) * {HASH_MULT}) % {HASH_MOD} AS BIGINT)"
 
 
 def assign_roles(m: DataFrame, dump_date, maturity_days: int = MATURITY_DAYS,
@@ -233,12 +235,11 @@ smp AS (SELECT * FROM hr WHERE hrn <= (dn * {round(SAMPLE_RATE * 1000)}) // 1000
 def stratified_sample(spark: SparkSession, sf_dir: str, rate: float = SAMPLE_RATE) -> DataFrame:
     """V5: exact `rate` share of every ltv decile, members chosen by user hash."""
     m = user_mart(spark, sf_dir)
-    r = global_rank(m.select("vopenid", "ltv30"), "ltv30", desc=False)
-    dec = r.df.select("vopenid", _ntile(F.col("rn"), r.n).alias("ltv_decile"))
-    x = m.join(dec, "vopenid").withColumn("h", user_hash().cast("double"))
+    r = global_rank(m, "ltv30", desc=False)
+    x = r.df.withColumn("ltv_decile", _ntile(F.col("rn"), r.n)).drop("rn").withColumn("h", user_hash().cast("double"))
     hr = global_rank(x, "h", desc=False, group="ltv_decile")
     permille = round(rate * 1000)
-    keep = {g: (c * permille) // 1000 for g, c in (hr.counts or {}).items()}
+    keep = {r[0]: (r[1] * permille) // 1000 for r in hr.counts.collect()}  # ten deciles
     cond = F.lit(False)
     for g, k in keep.items():
         cond = cond | ((F.col("ltv_decile") == g) & (F.col("rn") <= k))
@@ -297,6 +298,6 @@ def sample_payer_stratified(spark: SparkSession, sf_dir: str, rate: float = SAMP
     hr = global_rank(m, "h", desc=False, group="is_payer_30")
     permille = round(rate * 1000)
     cond = F.lit(False)
-    for g, c in (hr.counts or {}).items():
+    for g, c in hr.counts.collect():  # two flags
         cond = cond | ((F.col("is_payer_30") == g) & (F.col("rn") <= (c * permille) // 1000))
     return round_doubles(hr.df.where(cond).select("vopenid", "is_payer_30", "ltv30"))

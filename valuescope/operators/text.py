@@ -3,12 +3,11 @@
 Documents are split into chunks at ``## `` heading lines (whole texts, no
 prefix cut), tokenised into lower-case unicode words of 2+ chars without
 English stop words. Term weights follow the smooth IDF
-scheme ``tf · (ln((1+n)/(1+df)) + 1)`` over the top-``vocab`` terms, with
+scheme ``tf · (ln((1+n)/(1+df)) + 1)`` over all terms (or the ``vocab`` commonest), with
 L2-normalised vectors, so the dot product is the cosine.
 
-Scoring is a sparse product: chunk terms join query terms on the term. The
-query side is broadcast only when its row count is under a checked bound;
-otherwise the same join shuffles. Top-k per query is two-phase (per salt
+Scoring is a sparse product: chunk terms join query terms on the term, and
+Spark's own size check decides on a broadcast. Top-k per query is two-phase (per salt
 bucket, then overall), so one query never pulls all its candidates into a
 single task.
 """
@@ -24,11 +23,9 @@ from ..functions.exprs import round_doubles
 from ..functions.ranking import global_rank
 from ..sources.tables import read_table
 
-VOCAB = 5000
 TOP_K = 3
 MIN_SCORE = 0.05
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
-BROADCAST_MAX_ROWS = 2_000_000
 SALT_BUCKETS = 16
 
 
@@ -54,12 +51,6 @@ def _terms(df: DataFrame, id_cols: list[str]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("tf"))
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast only when the row count is proven small (limit+count stops early)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cid, doc_id, chunk_no, heading, text): the split is done once per application and written to the
     shared folder; later reads prune to the columns they need."""
@@ -76,19 +67,19 @@ def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
                         lambda: _terms(ch.select("cid", "text"), ["cid"]))
 
 
-def tfidf_index(spark: SparkSession, sf_dir: str, vocab: int = VOCAB):
+def tfidf_index(spark: SparkSession, sf_dir: str, vocab: int | None = None):
     ch = chunk_table(spark, sf_dir)
     ct = chunk_terms(spark, sf_dir)
     n_chunks = ch.count()
     stats = ct.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df")) \
         .withColumn("tid", F.xxhash64("term"))
-    top = global_rank(stats, "cnt", desc=True, tiebreak="tid").df.where(F.col("rn") <= vocab)  # ≤ vocab rows
-    idf = top.select("term", (F.log((F.lit(1.0) + n_chunks) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    idf_b = F.broadcast(idf)  # bounded by the vocabulary size
-    w = ct.join(idf_b, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    if vocab is not None:
+        stats = global_rank(stats, "cnt", desc=True, tiebreak="tid").df.where(F.col("rn") <= vocab)
+    idf = stats.select("term", (F.log((F.lit(1.0) + n_chunks) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    w = ct.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = w.groupBy("cid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
     wd = w.join(norm, "cid").select("cid", "term", (F.col("w") / F.col("nrm")).alias("wd"))
-    return ch, idf_b, wd
+    return ch, idf, wd
 
 
 def query_vectors(spark: SparkSession, sf_dir: str, idf: DataFrame) -> DataFrame:
@@ -102,7 +93,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, cid, score) for every query–chunk pair sharing at least one term."""
     ch, idf, wd = tfidf_index(spark, sf_dir)
     wq = query_vectors(spark, sf_dir, idf)
-    s = wd.join(sized_broadcast(wq, BROADCAST_MAX_ROWS), "term") \
+    s = wd.join(wq, "term") \
         .groupBy("item_id", "cid").agg(F.sum(F.col("wd") * F.col("wq")).alias("score"))
     return s, ch
 

@@ -52,11 +52,6 @@ def require_columns(df: DataFrame, cols) -> None:
         raise ValueError(f"missing required columns: {missing}")
 
 
-def optional_columns(df: DataFrame, cols) -> list[str]:
-    """Columns used only if present (the reference's 'if col in df')."""
-    return [c for c in cols if c in df.columns]
-
-
 def shard_union(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
     """Union shards by name; columns missing in a shard become null."""
     frames = [spark.read.format(fmt).option("header", "true").load(p) for p in paths]

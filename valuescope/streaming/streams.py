@@ -31,17 +31,18 @@ from ..catalog import job
 from ..functions.exprs import MONEY, round_doubles
 from ..plans.windows import WINDOW_MART_SQL, WINDOWS
 from ..session import ensure_checkpoint_dir
-from ..sources.tables import SCHEMAS
+from ..sources.tables import SCHEMAS, table_path
 
 WATERMARK = "1 day"
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """The event log as a file stream (only the events file of the folder)."""
-    r = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet")
+    """The event log as a file stream: one file or a folder of part files."""
+    r = spark.readStream.schema(SCHEMAS["events"])
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    path = table_path(sf_dir, "events")
+    return r.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may match a file; a plain path has to be a folder
 
 
 def with_event_time(df: DataFrame) -> DataFrame:
