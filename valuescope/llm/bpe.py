@@ -39,6 +39,10 @@ class Model:
         for i in range(size):
             if sp.is_byte(i):
                 self.byte[int(self.pieces[i][3:-1], 16)] = i
+        self.chars = -1 - np.arange(0x110000, dtype=np.int64)  # as symbols(), for arrays of code points
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = i
         crossing = [p for p in self.ids if re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p]
         if crossing:
             raise ValueError(f"pieces cross word starts: {crossing[:5]}")
@@ -126,13 +130,65 @@ def dropped(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.where(np.arange(x.shape[1] - 1) < p[:, None], x[:, :-1], x[:, 1:])
 
 
-def merge_rows(m: Model, rows: list[list[int]], keys=None, seed: int = 0, rate: float = 0.0) -> list[list[int]]:
-    """Rank-synchronous merging: in each round every row applies its lowest-rank (leftmost) pair.
+def merge_block(m: Model, sym: np.ndarray, key=None, seed: int = 0, rate: float = 0.0):
+    """Rank-synchronous merging of rows of equal length: (positions, symbols) of the rows as they end.
 
-    Rows are held as arrays of equal length (grouped by length) that shrink by
-    one symbol a round; a row without a live candidate leaves. With ``rate`` a
+    In each round every row applies its lowest-rank (leftmost) pair and shrinks
+    by one symbol; a row without a live candidate leaves. With ``rate`` a
     candidate enters the agenda as dead where its keyed hash says so.
     """
+    n = sym.shape[1]
+    at = np.arange(len(sym))
+    start = np.broadcast_to(np.arange(n + 1), (len(at), n + 1)).copy() if rate else None
+
+    def ranked(a, b, where):
+        r = m.rank(a, b)
+        return np.where(skipped(seed, *where, rate), NONE << 22, r) if rate else r
+
+    if n > 1:
+        rank = ranked(sym[:, :-1], sym[:, 1:], rate and (key[:, None], start[:, :-2], start[:, 1:-1], start[:, 2:]))
+    while len(at) and (width := sym.shape[1]) > 1:
+        p = rank.argmin(1)
+        best = rank[np.arange(len(at)), p]
+        live = best < (NONE << 22)
+        if not live.all():
+            yield at[~live], sym[~live]
+            at, sym, rank, p, best = at[live], sym[live], rank[live], p[live], best[live]
+            if rate:
+                start, key = start[live], key[live]
+        row = np.arange(len(at))
+        sym[row, p] = best & 0xFFFFFFFF
+        sym, rank = dropped(sym, p + 1), dropped(rank, p)
+        start = dropped(start, p + 1) if rate else None
+        for side in (-1, 0):  # the pairs left and right of the new symbol
+            q = p + side
+            ok = (q >= 0) & (q + 1 < width - 1)
+            if ok.any():
+                r, c = row[ok], q[ok]
+                rank[r, c] = ranked(sym[r, c], sym[r, c + 1], rate and (key[ok], start[r, c], start[r, c + 1], start[r, c + 2]))
+    if len(at):
+        yield at, sym
+
+
+def merge_units(m: Model, new: list[str], keys=None, seed: int = 0, rate: float = 0.0):
+    """(places in ``new``, their symbols as a matrix) for all units, grouped by length; long ones go one by one."""
+    by: dict[int, list[int]] = {}
+    for k, u in enumerate(new):
+        by.setdefault(len(u), []).append(k)
+    for n, which in by.items():
+        if n > LONG:
+            for k in which:
+                yield np.array([k]), np.array([merge_one(m, m.symbols(new[k]), None if keys is None else keys[k], seed, rate)], np.int64)
+            continue
+        at = np.array(which)
+        chars = np.frombuffer("".join([new[k] for k in which]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        key = np.array([keys[k] for k in which], np.uint64) if rate else None
+        for where, sym in merge_block(m, m.chars[chars].reshape(-1, n), key, seed, rate):
+            yield at[where], sym
+
+
+def merge_rows(m: Model, rows: list[list[int]], keys=None, seed: int = 0, rate: float = 0.0) -> list[list[int]]:
+    """The merged symbols of ragged rows; rows of equal length are merged as one block, long ones one by one."""
     out: list = [None] * len(rows)
     by: dict[int, list[int]] = {}
     for k, r in enumerate(rows):
@@ -140,43 +196,11 @@ def merge_rows(m: Model, rows: list[list[int]], keys=None, seed: int = 0, rate:
             out[k] = merge_one(m, r, None if keys is None else keys[k], seed, rate)
         else:
             by.setdefault(len(r), []).append(k)
-    for n, which in by.items():
-        at = np.array(which)
-        sym = np.array([rows[k] for k in which], np.int64)
-        start = np.broadcast_to(np.arange(n + 1), (len(at), n + 1)).copy() if rate else None
+    for which in by.values():
         key = np.array([keys[k] for k in which], np.uint64) if rate else None
-
-        def ranked(a, b, where):
-            r = m.rank(a, b)
-            return np.where(skipped(seed, *where, rate), NONE << 22, r) if rate else r
-
-        if n > 1:
-            rank = ranked(sym[:, :-1], sym[:, 1:], rate and (key[:, None], start[:, :-2], start[:, 1:-1], start[:, 2:]))
-        while n > 1 and len(at):
-            width = sym.shape[1]
-            if width == 1:
-                break
-            p = rank.argmin(1)
-            best = rank[np.arange(len(at)), p]
-            live = best < (NONE << 22)
-            if not live.all():
-                for k, s in zip(at[~live].tolist(), sym[~live].tolist(), strict=True):
-                    out[k] = s
-                at, sym, rank, p, best = at[live], sym[live], rank[live], p[live], best[live]
-                if rate:
-                    start, key = start[live], key[live]
-            row = np.arange(len(at))
-            sym[row, p] = best & 0xFFFFFFFF
-            sym, rank = dropped(sym, p + 1), dropped(rank, p)
-            start = dropped(start, p + 1) if rate else None
-            for side in (-1, 0):  # the pairs left and right of the new symbol
-                q = p + side
-                ok = (q >= 0) & (q + 1 < width - 1)
-                if ok.any():
-                    r, c = row[ok], q[ok]
-                    rank[r, c] = ranked(sym[r, c], sym[r, c + 1], rate and (key[ok], start[r, c], start[r, c + 1], start[r, c + 2]))
-        for k, s in zip(at.tolist(), sym.tolist(), strict=True):
-            out[k] = s
+        for where, sym in merge_block(m, np.array([rows[k] for k in which], np.int64), key, seed, rate):
+            for k, s in zip(where.tolist(), sym.tolist(), strict=True):
+                out[which[k]] = s
     return out
 
 

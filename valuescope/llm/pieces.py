@@ -18,6 +18,7 @@ rows get equal ids. Other columns are not looked at. No shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,21 +39,26 @@ def cut(text: str) -> list[str]:
 
 def ids_of(m: bpe.Model, new: list[str], variant: int, seed: int, rate: float) -> list[bytes]:
     keys = [xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), variant) for u in new]
-    out = []
-    for r in bpe.merge_rows(m, [m.symbols(u) for u in new], keys, seed, rate):
-        if min(r) < 0:
-            flat = []
-            for s in r:
-                flat += m.byte[list(bpe.SPACE.encode())].tolist() if s == -1 - ord(MARK) else m.spelled([s])
-            r = flat
-        out.append(np.array(r, np.int32).tobytes())
+    out = [b""] * len(new)
+    for at, sym in bpe.merge_units(m, new, keys, seed, rate):
+        flat, width, odd = sym.astype(np.int32).tobytes(), 4 * sym.shape[1], (sym < 0).any(1)
+        for j, (k, o) in enumerate(zip(at.tolist(), odd.tolist(), strict=True)):
+            out[k] = spelled(m, sym[j].tolist()) if o else flat[j * width:(j + 1) * width]
     return out
 
 
-def variants_of(doc_id: int | None, n: int, seed: int, variants: int) -> list[int]:
+def spelled(m: bpe.Model, syms: list[int]) -> bytes:
+    """Ids of a row with unknown characters, which are spelled in bytes."""
+    flat = []
+    for s in syms:
+        flat += m.byte[list(bpe.SPACE.encode())].tolist() if s == -1 - ord(MARK) else m.spelled([s])
+    return np.array(flat, np.int32).tobytes()
+
+
+def variants_of(doc_id: int | None, n: int, seed: int, variants: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = bpe.mix(np.arange(n, dtype=np.uint64) + np.uint64((doc_id or 0) & (2**64 - 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-    return (x % np.uint64(variants)).astype(int).tolist()
+    return x % np.uint64(variants)
 
 
 def decode(m: bpe.Model, ids) -> str:
@@ -77,9 +83,9 @@ def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = RATE, var
                     for v, have in enumerate(seen):
                         if len(have) > CACHE:
                             have.clear()
-                        new = list({u for us, vs in zip(units, which, strict=True) for u, x in zip(us, vs, strict=True) if x == v and u not in have})
+                        new = list(set().union(*[compress(us, (vs == v).tolist()) for us, vs in zip(units, which, strict=True)]).difference(have))
                         have.update(zip(new, ids_of(m, new, v, seed, rate), strict=True))
-                    got = [b"".join([seen[x][u] for u, x in zip(us, vs, strict=True)]) for us, vs in zip(units, which, strict=True)]
+                    got = [b"".join([seen[x][u] for u, x in zip(us, vs.tolist(), strict=True)]) for us, vs in zip(units, which, strict=True)]
                     ids = [np.frombuffer(g, np.int32) for g in got]
                     raw = [t.encode() for _, t in part]
                     same = [b"".join(map(m.raw.__getitem__, x.tolist()))[1:] == r for x, r in zip(ids, raw, strict=True)]
