@@ -227,3 +227,19 @@ def test_exact_groups(docs):
             assert r["keep_id"] == min(same) and r["kept"] == (r["doc_id"] == min(same))
             assert r["text_sha256"] == hashlib.sha256(norm[r["doc_id"]].encode()).hexdigest()
             assert r["group_size"] == len(same) + (3 in same)
+
+
+def test_sketch_bound_keeps_every_similar_pair(spark):
+    rng, rows = np.random.default_rng(5), []
+    for k in range(60):
+        base = rng.integers(0, 2**63, int(rng.integers(3, 400)), dtype=np.int64).view(np.uint64) * np.uint64(2)
+        near = base[: max(3, int(len(base) * rng.uniform(0.5, 1)))]
+        rows += [(2 * k, np.unique(base)), (2 * k + 1, np.unique(near))]
+    words = [[int(w) for w in jaccard.sketch(x)] for _, x in rows]
+    sets = spark.createDataFrame([(i, len(x), *w) for (i, x), w in zip(rows, words, strict=True)],
+                                 "sid long, n long, " + ", ".join(f"{w} long" for w in jaccard.SKETCH))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows))]
+    got = {(r["a"], r["b"]) for r in jaccard.plausible(spark.createDataFrame(pairs, "a long, b long"), sets).collect()}
+    similar = {(i, j) for i, j in pairs if 100 * (both := len(np.intersect1d(rows[i][1], rows[j][1]))) >= 75 * (len(rows[i][1]) + len(rows[j][1]) - both)}
+    assert similar and similar <= got
+    assert len(got) < len(pairs) // 4

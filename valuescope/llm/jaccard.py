@@ -18,7 +18,9 @@ texts, are joined. Two sets link when their Jaccard similarity is at least LEAST
    component are closed. Then the members of open signatures that lie in
    different components all meet. So a group of copies costs its size, not its
    square, and no link that would join two components is lost.
-4. Every candidate is verified on the whole sets.
+4. What the last step compares first passes an exact bound on bit sketches (see
+   ``plausible``), so whole sets are moved for few pairs only.
+5. Every candidate is verified on the whole sets.
 
 Shingles are compared by 64-bit hashes and classes by 64-bit set digests.
 Null and empty texts have an empty set and link with nothing. Rows without id
@@ -48,6 +50,8 @@ SURVIVE, LIST = 0.15, 3.0
 BOUNDARIES = (8, 12, 16, 24, 32, 48, 64, 96)
 #: Rounds in which each class meets one pivot, before what is still open is compared in full.
 ROUNDS = 4
+#: 64-bit words of a set's bit sketch.
+SKETCH = [f"w{k}" for k in range(8)]
 CACHE = 500_000
 
 
@@ -186,26 +190,50 @@ def signatures_of(shared: DataFrame, boundary: int) -> DataFrame:
     return shared.mapInArrow(run, "sig long, sid long, n long, hub double")
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """512 bits, one set for the first nine bits of each hash, as eight 64-bit words."""
+    bits = np.zeros(64 * len(SKETCH), np.uint8)
+    bits[x >> np.uint64(55)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def sets_of(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, toks (sorted hashes, 8 bytes each) of the wanted (doc_id, sid)."""
+    """sid, n, toks (sorted hashes, 8 bytes each) and sketch words of the wanted (doc_id, sid)."""
 
     def run(batches):
         seen = Hashes()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                sid, toks = [], []
+                sid, n, toks, words = [], [], [], []
                 for t, want in zip(b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256).to_pylist(), strict=True):
                     x = shingles(t, seen)
                     if len(x) and digest(x) == want:
                         sid.append(want)
+                        n.append(len(x))
                         toks.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(toks, pa.binary())], names=["sid", "toks"])
+                        words.append(sketch(x))
+                if sid:
+                    yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(toks, pa.binary()),
+                                                      *map(pa.array, np.array(words).T)], names=["sid", "n", "toks", *SKETCH])
+
+    schema = "sid long, n long, toks binary, " + ", ".join(f"{w} long" for w in SKETCH)
+    return src.join(wanted, "doc_id").select("text", "sid").mapInArrow(run, schema)
+
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be similar enough, by their sketches.
 
-    return src.join(wanted, "doc_id").select("text", "sid").mapInArrow(run, "sid long, toks binary")
+    Every bit in which two sketches differ stands for at least one hash that
+    only one of the sets has, and similar sets differ in at most a seventh of
+    the sum of their sizes. So no similar pair is lost.
+    """
+    one, two = (sets.select("sid", "n", *SKETCH).toDF(k, f"n{k}", *(k + w for w in SKETCH)) for k in "ab")
+    apart = sum((F.bit_count(F.col("a" + w).bitwiseXOR(F.col("b" + w))) for w in SKETCH), F.lit(0))
+    return pairs.join(one, "a").join(two, "b").where(7 * apart <= F.col("na") + F.col("nb")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough; only the sets of the pairs are moved."""
 
     def run(batches):
         for b in batches:
@@ -218,6 +246,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(m) + len(k) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    sets = sets.select("sid", "toks").join(ends, "sid", "left_semi")
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -265,7 +295,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one = sig.select("sig", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     two = sig.select("sig", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     cross = one.join(two, "sig").where("a < b and ra <> rb").where(fits("na", "nb")).select("a", "b").distinct()
-    cross = saved(cross.join(done, ["a", "b"], "left_anti"))
+    cross = saved(plausible(cross.join(done, ["a", "b"], "left_anti"), sets))
     if not cross.isEmpty():
         comp = components(links.unionByName(verified(cross, sets)))
     return sizes, comp.select(F.col("node").alias("sid"), "root")
