@@ -217,6 +217,20 @@ def test_toxicity(spark):
     assert all(by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(600))
 
 
+@pytest.mark.parametrize("toxic", [3, 6, 10])
+def test_toxicity_with_few_toxic_rows(spark, toxic):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:toxic + 60]
+    labels = spark.createDataFrame([(i, 1, int(k < toxic)) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    plain = {i: f"quiet word{i} river" for i in ids}
+    marked = {i: f"quiet word{i} {'idiot' if k < toxic else 'river'}" for k, i in enumerate(ids)}
+    for texts, bad in ((plain, 0), (marked, toxic)):  # nothing to learn: every row is clean
+        docs = spark.createDataFrame([*texts.items(), (900, None), (901, "")], "doc_id long, text string")
+        model = toxicity.learn(docs, labels)
+        assert bool(model["lexicon"]) == bool(bad) and model["curve"][0] < 0
+        assert {r["doc_id"] for r in toxicity.score(docs, model).where("predicted = 1").collect()} == set(ids[:bad])
+        assert toxicity.clean(docs, model).count() == len(ids) + 2 - bad
+
+
 def test_exact_groups(docs):
     got = exact.exact_groups(docs).collect()
     norm = [re.sub("[\x20\x09-\x0d]+", " ", t or "") for t in TEXTS]

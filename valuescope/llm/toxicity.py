@@ -6,14 +6,17 @@
 2. The lexicon is learned from a bounded sample of labelled rows (per label the
    FIT rows with the smallest hash of their id; never a held-out row): words and
    word beginnings whose document frequency in toxic rows is far above that in
-   clean rows. Its weights are smoothed log odds.
+   clean rows. Its weights are smoothed log odds. The evidence asked for grows
+   with the log of the number of terms tried, so few rows give a short lexicon
+   of their clearest terms, not none.
 3. Two-word phrases around a lexicon word that clean rows use and toxic rows do
    not are exceptions: they cancel the match.
 4. A text's weight is normalised by its length; a logistic curve fitted on the
    same sample turns weight and density into a score.
 
-Null and empty texts get a score below 0.5 (the curve at weight 0). Without
-labels of both kinds every score is 0. A null id is never held out and never in
+Texts without a match, null and empty ones too, get a score below 0.5 (the curve
+at weight 0). Without labels of both kinds, or where no term has the evidence,
+every score is 0 and every row is clean. A null id is never held out and never in
 the sample. Rows are scored one by one, so repeated rows get equal scores;
 labels are joined by id with the worst label of repeated ones. Other columns
 are not looked at.
@@ -33,9 +36,11 @@ from pyspark.sql import functions as F
 
 #: Bounds: labelled rows (clean, toxic) that are fitted on; entries of the lexicon and of the exceptions.
 FIT, TERMS, PHRASES = (9000, 3000), 2000, 500
-#: Least evidence (nats) that a term is commoner in toxic rows: above the log of the number of terms tried.
-EVIDENCE = 15.0
+#: Least evidence (nats) beyond the log of the number of terms tried that a term is commoner in toxic rows.
+EVIDENCE = 1.0
 LEAST_DOCS, BEGINNINGS = 3, range(4, 9)
+#: Curve of a model without a lexicon, and the highest intercept of any other: a text without a match is never toxic.
+NO_CURVE, MOST_INTERCEPT = (-20.0, 0.0, 0.0), -0.1
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_matches long"
 
 #: Look-alikes and the letters they stand for.
@@ -145,15 +150,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
 
     sample = saved(sample_of(docs, labels))
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    model = {"lexicon": {}, "exceptions": set(), "curve": (-20.0, 0.0, 0.0)}
+    model = {"lexicon": {}, "exceptions": set(), "curve": NO_CURVE}
     if len(n) < 2:
         return model
     rate = F.log((F.col("bad") + 0.1) / (n[1] + 0.2)) - F.log((F.col("good") + 0.1) / (n[0] + 0.2))
     share, p = F.col("bad") / (F.col("bad") + F.col("good")), n[1] / (n[0] + n[1])
     nats = (F.col("bad") + F.col("good")) * (share * F.log(share / p) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0))
-    found = frequencies(sample, terms).where(F.col("bad") >= LEAST_DOCS).withColumn("w", rate).where((F.col("w") > 2.0) & (nats > EVIDENCE))
+    tried = saved(frequencies(sample, terms).where(F.col("bad") >= LEAST_DOCS))
+    least = math.log(max(1, tried.count())) + EVIDENCE
+    found = tried.withColumn("w", rate).where((F.col("w") > 2.0) & (nats > least))
     rows = found.orderBy(F.desc(F.col("w") * F.sqrt(F.col("bad"))), "term").limit(TERMS).collect()
     lexicon = {r["term"]: float(r["w"]) for r in rows}
+    if not lexicon:
+        return model
     auto = matcher(lexicon, set())
 
     def pairs(folded: str) -> set[str]:
@@ -175,6 +184,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     return model
 
 
+def newton(x: np.ndarray, y: np.ndarray, side: np.ndarray, w: np.ndarray, free: list[int]) -> np.ndarray:
+    """Weighted logistic fit of the coefficients ``free``; the others stay as in ``w``."""
+    ridge = np.array([0.0, 0.01, 0.01])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (side * (p - y)) + ridge * w
+        h = (x * (side * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.01, 0.01])
+        step = np.linalg.solve(h[np.ix_(free, free)], g[free])
+        w[free] -= np.clip(step, -5, 5)
+        if abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def curve(sample: DataFrame, lexicon: dict[str, float], exceptions: set[str]) -> tuple[float, float, float]:
     """Logistic regression (Newton steps, small ridge) of the label on the two features of the sampled rows."""
 
@@ -190,15 +213,8 @@ def curve(sample: DataFrame, lexicon: dict[str, float], exceptions: set[str]) ->
     x = np.array([(1.0, r["a"], r["b"]) for r in got])
     y = np.array([r["y"] for r in got], float)
     side = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    w = np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (side * (p - y)) + 0.01 * w * [0, 1, 1]
-        h = (x * (side * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.01, 0.01])
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -5, 5)
-        if abs(step).max() < 1e-8:
-            break
+    free = newton(x, y, side, np.zeros(3), [0, 1, 2])
+    w = free if free[0] <= MOST_INTERCEPT else newton(x, y, side, np.array([MOST_INTERCEPT, 0.0, 0.0]), [1, 2])
     return float(w[0]), float(w[1]), float(w[2])
 
 
