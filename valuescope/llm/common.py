@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuescope.session import ensure_checkpoint_dir
@@ -22,6 +22,11 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(docs: DataFrame, *columns: str) -> Column:
+    """64-bit hash of what these columns hold; with the id it stands for a row."""
+    return F.xxhash64(*[c for k in columns for c in (docs[k].cast("string"), docs[k].isNull())])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b) as (node, root): root is the smallest node reachable.
 

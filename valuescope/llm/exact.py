@@ -18,7 +18,7 @@ are not looked at; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuescope.llm.common import saved
@@ -32,10 +32,14 @@ def chunks(norm):
     return F.regexp_extract_all(norm, F.lit(rf"(?s).{{{LEAST},{MOST}}}?(?:(?<={CUTS})|$)|(?s).{{{MOST}}}|(?s).+"), F.lit(0))
 
 
+def normal(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACES, " ")
+
+
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, norm, parts) of every row, and the chunk table (id, verified)."""
     d = docs.select(docs[id_col].cast("long").alias("doc_id"),
-                    F.regexp_replace(F.coalesce(docs[text_col].cast("string"), F.lit("")), SPACES, " ").alias("norm"))
+                    normal(docs[text_col]).alias("norm"))
     d = d.withColumn("parts", chunks(F.col("norm")))
     occ = d.select(F.explode("parts").alias("chunk")).select(F.unhex(F.sha2("chunk", 256)).alias("id"), "chunk")
     table = occ.groupBy("id").agg((F.min("chunk") == F.max("chunk")).alias("verified"))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valuescope.llm.bpe import mix
-from valuescope.llm.common import components, saved
+from valuescope.llm.common import components, row_key, saved
 
 WORDS, PAIR = 5, 2
 #: Sets up to this size (and their partners, up to 4/3 of it) post all their shingles, larger ones a part.
@@ -124,7 +124,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sizes_of(src: DataFrame) -> DataFrame:
-    """doc_id, n, sid (digest of the set; null where it is empty)."""
+    """doc_id, n, sid (digest of the set; null where it is empty), and key where ``src`` has it."""
+    more = src.columns[2:]
 
     def run(batches):
         seen = Hashes()
@@ -133,9 +134,10 @@ def sizes_of(src: DataFrame) -> DataFrame:
                 s = b.slice(lo, 256)
                 sets = [shingles(t, seen) for t in s.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array([len(x) for x in sets], pa.int64()),
-                                                  pa.array([digest(x) if len(x) else None for x in sets], pa.int64())], names=["doc_id", "n", "sid"])
+                                                  pa.array([digest(x) if len(x) else None for x in sets], pa.int64()), *s.columns[2:]],
+                                                 names=["doc_id", "n", "sid", *more])
 
-    return src.mapInArrow(run, "doc_id long, n long, sid long")
+    return src.mapInArrow(run, "doc_id long, n long, sid long" + "".join(f", {c} long" for c in more))
 
 
 def postings_of(src: DataFrame, boundary: int) -> DataFrame:
@@ -256,10 +258,10 @@ def fits(a: str, b: str):
     return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
 
 
-def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sid) of every row, and (sid, root): classes that link directly or through others."""
+def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sid; key of the text if ``keyed``) of every row, and (sid, root): classes that link directly or through others."""
     src = _texts(docs, id_col, text_col)
-    sizes = saved(sizes_of(src))
+    sizes = saved(sizes_of(src.withColumn("key", row_key(src, "text")) if keyed else src))
     top = max(BOUNDARIES) * 4 // 3
     hist = sizes.where("n > 2").groupBy(F.least("n", F.lit(top + 1)).alias("n")).agg(F.count("*").alias("k")).collect()
     boundary = best_boundary([(r["n"], r["k"]) for r in hist])
@@ -307,13 +309,24 @@ def open_of(sig: DataFrame) -> DataFrame:
     return sig.join(live, "sig")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row."""
-    sizes, comp = join_classes(docs, id_col, text_col)
+def named(sizes: DataFrame, comp: DataFrame) -> DataFrame:
+    """``sizes`` with component_id, the least id of the component, and first, the class that has it (of several, the least sid)."""
     least = sizes.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low")).join(comp, "sid", "left")
     least = least.withColumn("root", F.coalesce("root", "sid"))
-    low = least.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = least.join(low, "root").select("sid", "component_id")
-    out = sizes.join(named, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    low = least.groupBy("root").agg(F.min("low").alias("component_id"), F.min_by("sid", F.struct("low", "sid")).alias("first"))
+    return sizes.join(least.join(low, "root").select("sid", "component_id", "first"), "sid", "left")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row."""
+    return named(*join_classes(docs, id_col, text_col)).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key of the text) of the rows that stay: per component the class with the least id, and there the rows with that id.
+
+    Rows that link with nothing stay: those without words and those without id.
+    """
+    out = named(*join_classes(docs, id_col, text_col, keyed=True))
+    return out.where("doc_id is null or sid is null or (doc_id = component_id and sid = first)").select("doc_id", "key")

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valuescope.llm.common import saved
+from valuescope.llm.common import row_key, saved
 
 REST = "*"
 #: Shares of tokens wanted; "*" pools every category that is not named.
@@ -32,6 +32,8 @@ LANGS = {"en": 0.60, "de": 0.16, "fr": 0.15, "es": 0.09}
 TOPICS = {"licensed": 0.03, "tabular": 0.07, "noisy": 0.05, "brief": 0.10, "prose": 0.75}
 #: Share of all tokens that the sample should hold.
 BUDGET = 0.7
+#: What decides about a row besides its id.
+KEY = ("text", "source", "lang")
 
 
 @dataclass
@@ -83,15 +85,16 @@ def rake(cells: dict[tuple, float], targets: dict[str, dict], budget: float = BU
     return w
 
 
-def mix(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET, seed: int = 17) -> DataFrame:
-    """Rows (doc_id, source, lang, topic, n_tokens, weight, probability, sampled)."""
+def mix(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET, seed: int = 17, keyed: bool = False) -> DataFrame:
+    """Rows (doc_id, source, lang, topic, n_tokens, weight, probability, sampled; key of KEY if ``keyed``)."""
+    key = [row_key(docs, *KEY).alias("key")] if keyed else []
     dims = (targets or Targets()).dims()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"),
-                       docs["lang"].cast("string").alias("lang"), text.alias("text"))
+                       docs["lang"].cast("string").alias("lang"), text.alias("text"), *key)
     base = base.withColumn("n_tokens", F.regexp_count("text", F.lit(r"[^\s\x21-\x2F\x3A-\x40]+|[\x21-\x2F\x3A-\x40]+")).cast("long"))
     base = saved(base.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens",
-                             F.length("text").alias("len")))
+                             F.length("text").alias("len"), *(["key"] if keyed else [])))
     cats = [category(F.col(k), v).alias(f"cell_{k}") for k, v in dims.items()]
     sums = base.select(*cats, "n_tokens").groupBy(*[f"cell_{k}" for k in dims]).agg(F.sum("n_tokens").alias("t")).collect()
     cells = {tuple(r)[:-1]: float(r["t"] or 0) for r in sums}
@@ -103,4 +106,4 @@ def mix(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET,
     p = F.coalesce("probability", F.lit(1.0))
     unit = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0)), F.when(F.col("doc_id").isNull(), F.col("len"))), F.lit(1 << 53)) / float(1 << 53)
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.coalesce("weight", F.lit(1.0)).alias("weight"),
-                      p.alias("probability"), ((unit < p) | (F.col("n_tokens") == 0)).alias("sampled"))
+                      p.alias("probability"), ((unit < p) | (F.col("n_tokens") == 0)).alias("sampled"), *(["key"] if keyed else []))
