@@ -80,6 +80,23 @@ def test_pieces_decode_losslessly_and_vary(docs):
     assert plain[5] == m.sp.encode(LONG) and plain[5] != by_id(pieces.encode(docs, PATH))[5]["ids"]
 
 
+def test_pieces_draw_skips_for_each_occurrence(spark):
+    m, n, long = bpe.model(PATH), 400, "xyz" * bpe.LONG
+    text = "the river " * n + long + " ünïcode ▁ \U0001f642 " + long
+    rows = [(1, text), (2, text), (None, text)]
+    got = by_id(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH))
+    for i, _ in rows:  # brute force: each occurrence by the heap agenda with its own key
+        us = pieces.cut(text)
+        own = [pieces.spelled(m, bpe.merge_one(m, m.symbols(u), k, pieces.SEED, pieces.RATE)) for u, k in zip(us, pieces.keys_of(i, len(us), pieces.SEED), strict=True)]
+        assert np.frombuffer(b"".join(own), np.int32).tolist() == got[i]["ids"] and got[i]["lossless"]
+        word = bpe.units("a river")[1]
+        plain = np.array(bpe.merge_one(m, m.symbols(word)), np.int32).tobytes()
+        forms = [x for u, x in zip(us, own, strict=True) if u == word]
+        merges = len(word) - len(plain) // 4
+        assert len(set(forms)) > 4 and 0.8 * 0.9**merges < forms.count(plain) / n < 1  # other merges may lead to the plain form, too
+    assert got[1]["ids"] != got[2]["ids"]
+
+
 def test_token_counts(docs):
     sp = bpe.model(PATH).sp
     for r in token_counts.count_tokens(docs, PATH).collect():

@@ -117,29 +117,39 @@ def units(text: str, keep_mark: bool = False) -> list[str]:
     return UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def skipped(seed: int, key, start, mid, end, rate: float):
-    """Keyed hash decision for a candidate merge [start, mid) + [mid, end) of a unit."""
+def span(start, mid, end) -> np.ndarray:
+    """A candidate merge [start, mid) + [mid, end) of a unit in one number."""
+    return (np.asarray(start, np.uint64) << np.uint64(42)) ^ (np.asarray(mid, np.uint64) << np.uint64(21)) ^ np.asarray(end, np.uint64)
+
+
+def skips(seed: int, key, spans: np.ndarray, rate: float):
+    """Keyed hash decision for candidate merges."""
     with np.errstate(over="ignore"):
-        x = np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(key, np.uint64)
-        x = mix(x) ^ (np.asarray(start, np.uint64) << np.uint64(42)) ^ (np.asarray(mid, np.uint64) << np.uint64(21)) ^ np.asarray(end, np.uint64)
+        x = mix(np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(key, np.uint64)) ^ spans
     return mix(x) < np.uint64(int(rate * (2**64 - 1)))
 
 
+def skipped(seed: int, key, start, mid, end, rate: float):
+    return skips(seed, key, span(start, mid, end), rate)
+
+
 def dropped(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     """``x`` without column ``p[i]`` of each row i."""
     return np.where(np.arange(x.shape[1] - 1) < p[:, None], x[:, :-1], x[:, 1:])
 
 
-def merge_block(m: Model, sym: np.ndarray, key=None, seed: int = 0, rate: float = 0.0):
+def merge_block(m: Model, sym: np.ndarray, key=None, seed: int = 0, rate: float = 0.0, log: list | None = None):
     """Rank-synchronous merging of rows of equal length: (positions, symbols) of the rows as they end.
 
     In each round every row applies its lowest-rank (leftmost) pair and shrinks
     by one symbol; a row without a live candidate leaves. With ``rate`` a
-    candidate enters the agenda as dead where its keyed hash says so.
+    candidate enters the agenda as dead where its keyed hash says so. ``log``
+    gets (rows, packed spans) of the merges of each round.
     """
+    places = rate or log is not None
     n = sym.shape[1]
     at = np.arange(len(sym))
-    start = np.broadcast_to(np.arange(n + 1), (len(at), n + 1)).copy() if rate else None
+    start = np.broadcast_to(np.arange(n + 1), (len(at), n + 1)).copy() if places else None
 
     def ranked(a, b, where):
         r = m.rank(a, b)
@@ -154,12 +164,14 @@ def merge_block(m: Model, sym: np.ndarray, key=None, seed: int = 0, rate: float
         if not live.all():
             yield at[~live], sym[~live]
             at, sym, rank, p, best = at[live], sym[live], rank[live], p[live], best[live]
-            if rate:
-                start, key = start[live], key[live]
+            start = start[live] if places else None
+            key = key[live] if rate else None
         row = np.arange(len(at))
+        if log is not None and len(at):
+            log.append((at, span(start[row, p], start[row, p + 1], start[row, p + 2])))
         sym[row, p] = best & 0xFFFFFFFF
         sym, rank = dropped(sym, p + 1), dropped(rank, p)
-        start = dropped(start, p + 1) if rate else None
+        start = dropped(start, p + 1) if places else None
         for side in (-1, 0):  # the pairs left and right of the new symbol
             q = p + side
             ok = (q >= 0) & (q + 1 < width - 1)
@@ -170,8 +182,11 @@ def merge_block(m: Model, sym: np.ndarray, key=None, seed: int = 0, rate: float
         yield at, sym
 
 
-def merge_units(m: Model, new: list[str], keys=None, seed: int = 0, rate: float = 0.0):
-    """(places in ``new``, their symbols as a matrix) for all units, grouped by length; long ones go one by one."""
+def merge_units(m: Model, new: list[str], keys=None, seed: int = 0, rate: float = 0.0, log: list | None = None):
+    """(places in ``new``, their symbols as a matrix) for all units, grouped by length; long ones go one by one.
+
+    ``log`` gets (places, packed spans) of the merges, but for the long ones.
+    """
     by: dict[int, list[int]] = {}
     for k, u in enumerate(new):
         by.setdefault(len(u), []).append(k)
@@ -183,8 +198,11 @@ def merge_units(m: Model, new: list[str], keys=None, seed: int = 0, rate: float
         at = np.array(which)
         chars = np.frombuffer("".join([new[k] for k in which]).encode("utf-32-le", "surrogatepass"), np.uint32)
         key = np.array([keys[k] for k in which], np.uint64) if rate else None
-        for where, sym in merge_block(m, m.chars[chars].reshape(-1, n), key, seed, rate):
+        done = None if log is None else []
+        for where, sym in merge_block(m, m.chars[chars].reshape(-1, n), key, seed, rate, done):
             yield at[where], sym
+        if log is not None:
+            log += [(at[where], spans) for where, spans in done]
 
 
 def merge_rows(m: Model, rows: list[list[int]], keys=None, seed: int = 0, rate: float = 0.0) -> list[list[int]]:
