@@ -144,6 +144,19 @@ def test_html_text(spark):
     assert [r["text"] for r in got if r["page_id"] in (2, 3)] == ["", ""]
 
 
+def test_html_text_names_do_not_decide_alone():
+    long = " ".join(f"Word{k}" for k in range(29)) + " end."
+    para = f"<p>{long}</p>"
+    for page in (f"<div class='content has-sidebar'>{para}{para}</div>", f"<div class=no-sidebar>{para}</div>", f"<div id=page-with-header>{para}</div>",
+                 f"<article class='post comment-open'>{para}</article>", f"<div class=widget><article>{para}{para}</article></div>",
+                 f"<div class=widget><main>{para}</main></div>", f"<div class='modal'><p>{long * 6}</p></div>",
+                 f"<html><head><title>t</title><meta charset=utf-8><body>{para}", f"<head><title>t</title>{para}", f"<head><link href=x> {long}"):
+        assert long in html_text.main_text(page)[0], page
+    for page in (f"<div class=sidebar>{para}</div>", f"<section id=comments>{para}</section>", f"<div class='has-footer comments'>{para}</div>",
+                 f"<nav><article>{para}</article></nav>", "<head><title>no text</title><style>p</style></head>", f"<div hidden><main>{para}</main></div>"):
+        assert html_text.main_text(page)[0] == "", page
+
+
 def test_min_cut_against_all_labellings():
     rng = np.random.default_rng(3)
     for _ in range(30):

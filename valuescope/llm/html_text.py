@@ -49,50 +49,79 @@ WORDS = {"nav": 6.0, "navbar": 6.0, "navigation": 6.0, "menu": 6.0, "breadcrumb"
          "comments": 6.0, "reply": 6.0, "replies": 6.0, "respond": 6.0, "disqus": 6.0, "reviews": 5.0, "pagination": 6.0, "pager": 6.0,
          "toolbar": 5.0, "copyright": 6.0, "legal": 5.0, "disclaimer": 5.0, "hidden": 5.0, "contentinfo": 6.0, "complementary": 6.0,
          "article": -2.0, "content": -1.5, "main": -1.5, "post": -1.0, "entry": -1.5, "story": -1.5, "body": -0.5}
-STICKY = 4.0  # weights at least this high also hold for everything below the element, whatever else is there
+STICKY = 4.0  # weights at least this high also hold for everything below the element
+#: Inherited from a name: at most UNDER below an article or main element, and less by PER_WORD for each word of a block beyond FREE.
+UNDER, FREE, PER_WORD = 2.5, 40, 0.04
+#: What follows one of BEFORE in a name, and all of a name that ends with one of AFTER, is a state of the page and no evidence.
+BEFORE, AFTER = {"has", "no", "not", "with", "without", "open", "show"}, {"open", "closed", "enabled", "disabled"}
+#: Elements that leave an open head open.
+IN_HEAD = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SMOOTH, SIBLING = 0.8, 0.4
 
 
 class Block:
-    __slots__ = ("text", "linked", "weight", "parent", "tags_before")
+    __slots__ = ("text", "linked", "weight", "parent", "tags_before", "named")
 
-    def __init__(self, text, linked, weight, parent, tags_before):
-        self.text, self.linked, self.weight, self.parent, self.tags_before = text, linked, weight, parent, tags_before
+    def __init__(self, text, linked, weight, parent, tags_before, named=(0.0, 0.0)):
+        self.text, self.linked, self.weight, self.parent, self.tags_before, self.named = text, linked, weight, parent, tags_before, named
 
 
-def weight_of(tag: str, attrs: str) -> float:
-    w = TAGS.get(tag, 0.0)
+def evidence(value: str) -> list[float]:
+    """Weights of the words of class, id and role names."""
+    found = []
+    for name in value.split():
+        words = [x for x in re.split(r"[^a-z]+", name) if x]
+        if len(words) > 1 and words[-1] in AFTER:
+            continue
+        cut = next((k for k, x in enumerate(words) if x in BEFORE), len(words))
+        found += [WORDS[x] for x in words[:cut] if x in WORDS]
+    return found
+
+
+def weight_of(tag: str, attrs: str) -> tuple[float, float]:
+    """(weight of the element itself, weight by a telling name)."""
+    w, by_name = TAGS.get(tag, 0.0), 0.0
     if attrs and tag not in ("html", "body"):
         for name, value in NAMED.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 w = max(w, 6.0)
             elif name in ("class", "id", "role"):
-                found = [WORDS[x] for x in re.split(r"[^a-z]+", value) if x in WORDS]
-                if found:
-                    w = max(w, *found) if max(found) >= STICKY else w + min(found)
-    return w
+                found = evidence(value)
+                if found and max(found) >= STICKY:
+                    by_name = max(by_name, *found)
+                elif found:
+                    w += min(found)
+    return w, by_name
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order. Unclosed and stray tags are tolerated; depth is not bounded."""
     out: list[Block] = []
-    stack: list[tuple[str, float, float, int]] = []  # tag, sum of weights, sticky weight, node
+    stack: list[tuple[str, float, float, int, float]] = []  # tag, sum of weights, sticky weight, node, sticky weight by name
     text: list[str] = []
-    state = {"linked": 0, "links": 0, "tags": 0, "node": 0}
+    state = {"linked": 0, "links": 0, "tags": 0, "node": 0, "head": 0}
 
     def flush() -> None:
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
-            top = stack[-1] if stack else ("", 0.0, 0.0, 0)
-            out.append(Block(joined, min(1.0, state["linked"] / len(joined)), top[1] + top[2], top[3], state["tags"]))
+            top = stack[-1] if stack else ("", 0.0, 0.0, 0, 0.0)
+            out.append(Block(joined, min(1.0, state["linked"] / len(joined)), top[1], top[3], state["tags"], (top[2], top[4])))
             state["tags"] = 0
         text.clear()
         state["linked"] = 0
 
+    def leave_head() -> None:
+        if state["head"]:
+            flush()
+            del stack[state["head"] - 1:]
+            state["head"] = 0
+
     def said(s: str) -> None:
+        if state["head"] and s.strip():
+            leave_head()
         text.append(s)
         if state["links"]:
             state["linked"] += len(s)
@@ -109,13 +138,15 @@ def blocks_of(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if not m[1] and tag not in IN_HEAD:
+            leave_head()
         if tag == "br" or tag in ("img", "wbr"):
             said(" ")
             continue
         if tag in INLINE:
             if tag == "a":
                 state["links"] = 0 if m[1] else 1
-            if not m[1] and m[3] and weight_of("", m[3]) >= STICKY or m[1] and any(t == tag and s for t, _, s, _ in stack[-1:]):
+            if not m[1] and m[3] and max(weight_of("", m[3])) >= STICKY or m[1] and any(t == tag and max(s, k) for t, _, s, _, k in stack[-1:]):
                 pass  # an inline element with a telling name counts as a block
             else:
                 continue
@@ -136,13 +167,23 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             elif tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
-            w = weight_of(tag, m[3])
-            _, total, sticky, _ = stack[-1] if stack else ("", 0.0, 0.0, 0)
+            w, by_name = weight_of(tag, m[3])
+            _, total, sticky, _, named = stack[-1] if stack else ("", 0.0, 0.0, 0, 0.0)
+            if tag in ("article", "main"):
+                named = min(named, UNDER)
             state["node"] += 1
-            stack.append((tag, total, max(sticky, w), state["node"]) if w >= STICKY else (tag, max(-5.0, min(3.0, total + w)), sticky, state["node"]))
+            if w >= STICKY:
+                sticky = max(sticky, w)
+            elif by_name < STICKY:
+                total = max(-5.0, min(3.0, total + w))
+            stack.append((tag, total, sticky, state["node"], max(named, by_name)))
+            if tag == "head" and not state["head"]:
+                state["head"] = len(stack)
         elif any(t[0] == tag for t in reversed(stack)):
             while stack.pop()[0] != tag:
                 pass
+            if len(stack) < state["head"]:
+                state["head"] = 0
     flush()
     return out
 
@@ -150,7 +191,8 @@ def blocks_of(page: str) -> list[Block]:
 def odds(b: Block) -> float:
     """Log odds of boilerplate."""
     words = b.text.count(" ") + 1
-    z = 0.6 + b.weight + 3.0 * b.linked - 0.45 * math.log1p(words)
+    inherited = max(b.named[0], b.named[1] - PER_WORD * max(0, words - FREE))
+    z = 0.6 + b.weight + inherited + 3.0 * b.linked - 0.45 * math.log1p(words)
     if b.text[-1:] in ".!?:;\"'”»":
         z -= 0.4
     if words < 40 and re.search(r"©|\(c\) ?\d{4}|all rights reserved|privacy policy|terms of (?:use|service)|cookies", b.text, re.I):
