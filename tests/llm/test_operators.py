@@ -69,6 +69,48 @@ def test_mixing(docs):
     assert abs(fit["a", "x"] + fit["a", "y"] - 0.5) < 1e-6 and abs(fit["a", "x"] + fit["b", "x"] - 0.6) < 1e-6
 
 
+@pytest.mark.parametrize("named", [2000, 3])
+def test_mixing_meets_the_margins_of_every_source(spark, monkeypatch, named):
+    monkeypatch.setattr(mixing, "NAMED", named)
+    n = {"a": 350, "hot": 1200, "b": 420, "c": 500, "d": 330, None: 350}
+    rows = [(k, "lorem ipsum " * (60 + k % 3), ["en", "en", "en", "de", "fr", "es", "xx"][k % 7], s) for s, m in n.items() for k in range(m)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)] + [(None, None, None, None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    total = sum(r["n_tokens"] for r in got)
+    cells, goal = {}, {}
+    for r in got:
+        if r["n_tokens"]:
+            goal[r["source"]] = goal.get(r["source"], 0) + r["n_tokens"] / total
+    pool = {s: s for s in goal}
+    if named == 3:  # a and d are of nearly one size
+        pool |= {s: math.floor(4 * math.log2(goal[s] * total)) for s in ("a", "b", "d") if s not in sorted((s for s in goal if s), key=lambda s: -goal[s])[:3]}
+    goal = {s: v**mixing.TEMPER for s, v in goal.items()}
+    goals = [{}, dict(mixing.LANGS), dict(mixing.TOPICS)]
+    for s, v in goal.items():
+        goals[0][pool[s]] = goals[0].get(pool[s], 0) + v
+    where = lambda r: (pool[r["source"]], r["lang"] if r["lang"] in mixing.LANGS else "*", r["topic"])
+    for r in got:
+        if r["n_tokens"]:
+            cells[where(r)] = cells.get(where(r), 0) + r["n_tokens"]
+    goals[1]["*"] = sum(v for c, v in cells.items() if c[1] == "*") / total
+    fit = {c: v / total for c, v in cells.items()}
+    for k, g in enumerate(goals):
+        seen = {c[k] for c in cells}
+        every = sum(v for x, v in g.items() if x in seen)
+        goals[k] = {x: v / every for x, v in g.items() if x in seen}
+    for _ in range(500):  # brute force
+        for k, g in enumerate(goals):
+            now = {x: sum(v for c, v in fit.items() if c[k] == x) for x in g}
+            fit = {c: min(cells[c] / total / mixing.BUDGET, v * g[c[k]] / now[c[k]]) for c, v in fit.items()}
+    for r in got:
+        want = fit[where(r)] * mixing.BUDGET * total / cells[where(r)] if r["n_tokens"] else 1
+        assert abs(r["probability"] - want) < 1e-6
+    for x, v in goals[0].items():
+        have = sum(r["probability"] * r["n_tokens"] for r in got if r["n_tokens"] and pool[r["source"]] == x) / mixing.BUDGET / total
+        assert abs(have - v) < 1e-3
+    assert goals[0]["hot"] < 0.8 * 1200 / 3150
+
+
 def test_pieces_decode_losslessly_and_vary(docs):
     got = pieces.encode(docs, PATH).collect()
     assert len(got) == docs.count() and all(r["lossless"] for r in got)

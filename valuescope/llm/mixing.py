@@ -1,10 +1,14 @@
 """Mixing sources to target weights by raking (DataFrame functions).
 
 1. Every row gets its token weight (words and marks of the whole text), and its
-   source, language and topic as categories: those that a target names, "*" for
-   all others (nulls too). Topics come from ordered rules on the whole text.
-2. Token weights are summed per cell. The number of cells is bounded by the
-   target lists, not by the data, so the table may come to the driver.
+   language and topic as categories: those that a target names, "*" for all
+   others (nulls too). Topics come from ordered rules on the whole text.
+   Every source is a category; its target is its share of tokens to the power
+   TEMPER, rescaled. Only beyond NAMED sources those with the fewest tokens share
+   a category with others of nearly their size (a quarter of a power of two),
+   whose target is the sum of theirs. Null is a source, too.
+2. Token weights are summed per cell, in a frame. What comes to the driver is
+   bounded by NAMED, the number of sizes and the other target lists.
 3. Iterative proportional fitting scales the cells to each margin in turn.
    Each fitted cell is bounded by the tokens it has within the budget, so that no
    document is needed twice; margins are met as far as these bounds allow.
@@ -20,15 +24,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuescope.llm.common import row_key, saved
 
 REST = "*"
+#: A source's target is its share to this power; so many sources have a category of their own.
+TEMPER, NAMED = 0.5, 2000
 #: Shares of tokens wanted; "*" pools every category that is not named.
-SOURCES = {"src0": 0.30, REST: 0.70}
-LANGS = {"en": 0.60, "de": 0.16, "fr": 0.15, "es": 0.09}
+LANGS = {"en": 0.52, "de": 0.18, "fr": 0.18, "es": 0.12}
 TOPICS = {"licensed": 0.03, "tabular": 0.07, "noisy": 0.05, "brief": 0.10, "prose": 0.75}
 #: Share of all tokens that the sample should hold.
 BUDGET = 0.7
@@ -38,11 +44,11 @@ KEY = ("text", "source", "lang")
 
 @dataclass
 class Targets:
-    source: dict = field(default_factory=lambda: dict(SOURCES))
+    source: dict | None = None  # None: tempered shares of the table's sources
     lang: dict = field(default_factory=lambda: dict(LANGS))
     topic: dict = field(default_factory=lambda: dict(TOPICS))
 
-    def dims(self) -> dict[str, dict]:
+    def dims(self) -> dict[str, dict | None]:
         return {"source": self.source, "lang": self.lang, "topic": self.topic}
 
 
@@ -62,27 +68,51 @@ def category(col: Column, wanted: dict) -> Column:
 def rake(cells: dict[tuple, float], targets: dict[str, dict], budget: float = BUDGET, rounds: int = 500, tol: float = 1e-9) -> dict[tuple, float]:
     """Fitted share of each cell; starts at its share of tokens."""
     total = sum(cells.values())
-    w = {c: v / total for c, v in cells.items() if v > 0} if total else {}
-    most = {c: v / budget for c, v in w.items()}
-    goals = []
+    keys = sorted(c for c, v in cells.items() if v > 0)
+    if not keys:
+        return {}
+    w = np.array([cells[c] / total for c in keys])
+    most, sides = w / budget, []
     for k, wanted in enumerate(targets.values()):
-        seen = {c[k] for c in w}
-        have = {x: wanted.get(x, 0.0) for x in seen}
-        if REST in seen and REST not in wanted:
-            have[REST] = sum(v for c, v in w.items() if c[k] == REST)
-        s = sum(have.values())
-        goals.append({x: v / s for x, v in have.items()} if s else {x: 1 / len(seen) for x in seen})
+        place = {x: j for j, x in enumerate(sorted({c[k] for c in keys}))}
+        at = np.array([place[c[k]] for c in keys])
+        goal = np.array([wanted.get(x, 0.0) for x in place])
+        if REST in place and REST not in wanted:
+            goal[place[REST]] = w[at == place[REST]].sum()
+        sides.append((at, goal / goal.sum() if goal.sum() else np.full(len(place), 1 / len(place))))
     for _ in range(rounds):
         worst = 0.0
-        for k, goal in enumerate(goals):
-            now: dict = {}
-            for c, v in w.items():
-                now[c[k]] = now.get(c[k], 0.0) + v
-            worst = max([worst, *(abs(now[x] - goal[x]) for x in now)])
-            w = {c: min(most[c], v * goal[c[k]] / now[c[k]]) if now[c[k]] else 0.0 for c, v in w.items()}
+        for at, goal in sides:
+            now = np.bincount(at, w, len(goal))
+            worst = max(worst, abs(now - goal).max())
+            w = np.minimum(most, w * np.divide(goal, now, out=np.zeros(len(goal)), where=now > 0)[at])
         if worst < tol:
             break
-    return w
+    return dict(zip(keys, w.tolist(), strict=True))
+
+
+def source_cells(cells: DataFrame, wanted: dict | None) -> tuple[DataFrame, dict[str, float], DataFrame | None]:
+    """``cells`` with cell_source, the targets of its values, and the (source, pooled) of sources without a category of their own."""
+    if wanted is not None:
+        return cells.withColumn("cell_source", category(F.col("source"), wanted)), wanted, None
+    sums = cells.where("source is not null").groupBy("source").agg(F.sum("t").alias("t")).where("t > 0")
+    pooled = None
+    own = F.concat(F.lit("="), "source")
+    if sums.count() > NAMED:
+        last = sums.orderBy(F.desc("t"), "source").limit(NAMED).orderBy("t", F.desc("source")).first()
+        tail = sums.where((F.col("t") < last["t"]) | ((F.col("t") == last["t"]) & (F.col("source") > last["source"])))
+        pooled = saved(tail.select("source", F.concat(F.lit("~"), F.floor(4 * F.log2("t")).cast("string")).alias("pooled")))
+        sums = sums.join(pooled, "source", "left")
+        cells = cells.join(pooled, "source", "left")
+        own = F.coalesce("pooled", own)
+    label = F.coalesce(own, F.lit(REST))
+    null = cells.where("source is null").groupBy(F.lit(REST).alias("cell_source")).agg(F.sum("t").alias("t"))
+    total = float(cells.agg(F.sum("t")).first()[0] or 0) or 1.0
+    goal = F.pow(F.col("t") / total, F.lit(TEMPER))
+    goals = sums.groupBy(label.alias("cell_source")).agg(F.sum(goal).alias("g")).collect()
+    goals += null.where("t > 0").select("cell_source", goal.alias("g")).collect()
+    every = sum(r["g"] for r in goals)
+    return cells.withColumn("cell_source", label), {r["cell_source"]: r["g"] / every for r in sorted(goals)}, pooled
 
 
 def mix(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET, seed: int = 17, keyed: bool = False) -> DataFrame:
@@ -95,14 +125,23 @@ def mix(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET,
     base = base.withColumn("n_tokens", F.regexp_count("text", F.lit(r"[^\s\x21-\x2F\x3A-\x40]+|[\x21-\x2F\x3A-\x40]+")).cast("long"))
     base = saved(base.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens",
                              F.length("text").alias("len"), *(["key"] if keyed else [])))
-    cats = [category(F.col(k), v).alias(f"cell_{k}") for k, v in dims.items()]
-    sums = base.select(*cats, "n_tokens").groupBy(*[f"cell_{k}" for k in dims]).agg(F.sum("n_tokens").alias("t")).collect()
+    cats = [category(F.col(k), v).alias(f"cell_{k}") for k, v in dims.items() if k != "source"]
+    names = [f"cell_{k}" for k in dims]
+    table = saved(base.select("source", *cats, "n_tokens").groupBy("source", *names[1:]).agg(F.sum("n_tokens").alias("t")))
+    asked = dims["source"]
+    table, dims["source"], pooled = source_cells(table, asked)
+    sums = table.groupBy(*names).agg(F.sum("t").alias("t")).collect()
     cells = {tuple(r)[:-1]: float(r["t"] or 0) for r in sums}
     share, total = rake(cells, dims, budget), sum(cells.values())
     rows = [(*c, v * total / cells[c], min(1.0, v * budget * total / cells[c])) for c, v in share.items()]
-    names = [f"cell_{k}" for k in dims]
     fitted = docs.sparkSession.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", weight double, probability double")
-    out = base.select("*", *cats).join(F.broadcast(fitted), names, "left")
+    if asked is not None:
+        own = category(F.col("source"), asked)
+    else:
+        own = F.coalesce(F.concat(F.lit("="), "source"), F.lit(REST))
+        if pooled is not None:
+            base, own = base.join(pooled, "source", "left"), F.coalesce("pooled", own)
+    out = base.select("*", own.alias("cell_source"), *cats).join(F.broadcast(fitted), names, "left")
     p = F.coalesce("probability", F.lit(1.0))
     unit = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0)), F.when(F.col("doc_id").isNull(), F.col("len"))), F.lit(1 << 53)) / float(1 << 53)
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.coalesce("weight", F.lit(1.0)).alias("weight"),
