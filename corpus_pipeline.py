@@ -55,7 +55,7 @@ def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 STAGES = [("toxicity", stage_toxicity), ("exact_dedup", stage_exact_dedup), ("ngram_jaccard", stage_near_dedup),
           ("mixing", stage_mixing), ("sentencepiece", stage_sentencepiece)]
-ORACLE_SQL = None  # learning, near copies and dropout have no SQL form; tested against brute force
+ORACLE_SQL = None  # learning, near copies and dropout have no SQL form; tests/llm/test_pipeline.py runs it against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
