@@ -71,11 +71,22 @@ FAMILIES = [
 FORMS = [
     ("notice", 1, "licen", r"(?:licensed|released|distributed|available|provided|published) (?:under|with|by) (?:the )?(?:terms of )?(?:the )?(?:N) (?:public )?licen[cs]e(?: v(?:ersion)? ?V| V)?"),
     ("named", 2, "licen", r"(?:N) (?:public )?licen[cs]e(?: v(?:ersion)? ?V| V)"),
+    ("short", 2, "licen", r"licensed under (?:the )?(?:terms of )?(?:the )?(?:N)(?: v(?:ersion)? ?V| V)?"),
     ("plain", 3, "licen", r"(?:N) licen[cs]e"),
     ("spdx", 1, "spdx", r"spdx licen[cs]e identifier (?:N)(?: V)?(?: only| or later)?"),
     ("field", 2, "licen", r"licen[cs]e (?:type )?(?:is )?(?:the )?(?:N)(?: V)?"),
 ]
 CC = ["cc by", "cc by sa", "cc by nd", "cc by nc", "cc by nc sa", "cc by nc nd"]
+UNDER, LATER = r"(?:licensed|released|distributed|available|provided|published) under", r"(?: (?:only|or later|or any later version))?"
+#: (label, priority, keyword, regex): short names without the word licence.
+SHORT = [
+    *[rule for k, v in (("gpl", "[123] 0|[123]"), ("lgpl", "2 1|[23] 0|[23]"), ("agpl", "[13] 0|[13]"))
+      for rule in ((k, 2, k, rf"(?:{UNDER} (?:the )?)?(?:gnu )?{k} ?(?:version )?v? ?(?:{v}){LATER}"), (k, 2, k, rf"{UNDER} (?:the )?(?:gnu )?{k}"))],
+    ("cc0", 2, "cc0", r"cc0(?: 1 0)?(?: universal)?"),
+    ("apache", 2, "apache", r"apache 2 0|(?:(?<=mit )|(?<=mit or ))apache|apache(?= (?:or )?mit(?![^ ]))"),
+    ("mit", 2, "apache", r"mit(?= (?:or )?apache(?![^ ]))|(?:(?<=apache )|(?<=apache or )|(?<=apache 2 0 )|(?<=apache 2 0 or ))mit"),
+    *[(label, 2, f"under {the}{name}", rf"{UNDER} {the}{name}(?: 2 0)?") for label, name in (("mit", "mit"), ("apache", "apache"), ("mpl", "mpl")) for the in ("the ", "")],
+]
 #: (label, priority, keyword, regex): rules written one by one.
 SINGLE = [
     *[(c.replace(" ", "-"), 2, "cc", rf"{c}(?: (?:1 0|2 0|2 5|3 0|4 0))?") for c in CC],
@@ -114,7 +125,7 @@ def rules() -> list[Rule]:
         for _, priority, keyword, form in FORMS:
             v = "|".join(versions) or r"[0-9](?: [0-9])?"
             out.append(Rule(label, priority, keyword, form.replace("N", name).replace("V", f"(?:{v})")))
-    return out + [Rule(*r) for r in SINGLE]
+    return out + [Rule(*r) for r in SHORT + SINGLE]
 
 
 CONFIDENCE = {0: 0.9, 1: 0.95, 2: 0.9, 3: 0.7, 4: 0.4, 5: 0.2}
