@@ -47,7 +47,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, n_chunks: one row per row."""
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row."""
     d, table = recipes(docs, id_col, text_col)
     sound = table.where(~F.col("verified")).isEmpty()
     keys = F.transform("parts", lambda c: F.unhex(F.sha2(c, 256)))
@@ -58,7 +58,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return r.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
-        "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
+        "text_sha256")
 
 
 SQL = """
