@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,17 +61,15 @@ def collapsed(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), df (rows): each text is cut into terms once."""
+    """lang, source, term, n (occurrences), df (rows), to be summed: each text is cut into terms once."""
 
-    def flush(held: dict) -> pa.RecordBatch:
-        cols: tuple[list, ...] = ([], [], [], [], [])
+    def flush(held: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, df) in held.items():
-            for c, v in zip(cols, ([lang] * len(n), [source] * len(n), n, n.values(), map(df.__getitem__, n)), strict=True):
-                c.extend(v)
+            some = [pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays(
+                [*some, pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()),
+                 pa.array([df[t] for t in n], pa.int64())], names=["lang", "source", "term", "n", "df"])
         held.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()).cast(pa.string()),
-             pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["lang", "source", "term", "n", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
@@ -93,12 +92,18 @@ def term_counts(texts: DataFrame) -> DataFrame:
                             n[term] += k * s["n"]
                             df[term] += s["n"]
                 if sum(len(n) for n, _ in held.values()) > HELD:
-                    yield flush(held)
-        if held:
-            yield flush(held)
+                    yield from flush(held)
+        yield from flush(held)
 
-    part = texts.mapInArrow(run, "lang string, source string, term string, n long, df long")
-    return part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return texts.mapInArrow(run, "lang string, source string, term string, n long, df long")
+
+
+def kept_terms(part: DataFrame, least: int) -> DataFrame:
+    """lang, source, term, n, lang_n of the kept terms. One shuffle: sums by source and by language share the deal by term."""
+    n = part.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    term = Window.partitionBy("lang", "term")
+    n = n.withColumns({"lang_n": F.sum("n").over(term), "df": F.sum("df").over(term)})
+    return n.where(F.col("df") >= least).drop("df")
 
 
 def weight(n: Column, total: Column, kinds: Column) -> Column:
@@ -118,12 +123,10 @@ def shared_sums(kept: DataFrame) -> DataFrame:
         return (p - q) ** 2 // q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[tuple[str, str], int] = {}
+        names: dict[tuple[str, str], int] = {}  # the number of a lang and source
         sums: dict[int, int] = defaultdict(int)
 
-        def add(groups: list[tuple[np.ndarray, ...]]) -> None:
-            size = np.array([len(g[0]) for g in groups])
-            own, p, p0 = (np.concatenate(x) for x in zip(*groups, strict=True))
+        def add(size: np.ndarray, own: np.ndarray, p: np.ndarray, p0: np.ndarray) -> None:
             first, size = np.repeat(np.cumsum(size) - size, size), np.repeat(size, size)  # of each row: where its term begins, its sources
             ends = np.flatnonzero(np.diff(np.cumsum(size) // BLOCK)) + 1  # rows in runs of about BLOCK pairs
             for rows in np.split(np.arange(len(own)), ends):
@@ -147,19 +150,16 @@ def shared_sums(kept: DataFrame) -> DataFrame:
             sums.clear()
             return out
 
-        held, pairs = [], 0
         for b in batches:
-            for lang, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.array([names.setdefault((lang, s["source"]), len(names)) for s in some], np.int64)
-                held.append((own, *(np.array([s[k] for s in some], np.int64) for k in ("p", "p0"))))
-                pairs += len(some) ** 2
-                if pairs > BLOCK:
-                    add(held)
-                    held, pairs = [], 0
-                if len(sums) > HELD:
-                    yield flush()
-        if held:
-            add(held)
+            some = b.column(1)
+            rows, size = some.flatten(), pc.list_value_length(some).to_numpy().astype(np.int64)
+            lang, source = b.column(0).dictionary_encode(), rows.field("source").dictionary_encode()
+            langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+            codes, at = np.unique(np.repeat(lang.indices.to_numpy().astype(np.int64), size) << 32 | source.indices.to_numpy(), return_inverse=True)
+            number = [names.setdefault((langs[c >> 32], sources[c & 0xFFFFFFFF]), len(names)) for c in codes.tolist()]
+            add(size, np.array(number, np.int64)[at], rows.field("p").to_numpy(), rows.field("p0").to_numpy())
+            if len(sums) > HELD:
+                yield flush()
         if sums:
             yield flush()
 
@@ -170,13 +170,10 @@ def shared_sums(kept: DataFrame) -> DataFrame:
 def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col: str = "text", lang_col: str = "lang",
                source_col: str = "source") -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
-    found = saved(term_counts(collapsed(docs, text_col, lang_col, source_col)))
-    vocabulary = found.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("lang_n")).where(F.col("df") >= least).drop("df")
-    kept = saved(found.drop("df").join(vocabulary, ["lang", "term"]))
-
+    kept = saved(kept_terms(term_counts(collapsed(docs, text_col, lang_col, source_col)), least))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
-    of_lang = kept.groupBy("lang").agg(F.sum("n").alias("lang_total")).join(
-        vocabulary.groupBy("lang").agg(F.count("*").alias("kinds")), "lang")
+    vocabulary = kept.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    of_lang = vocabulary.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count("*").alias("kinds"))
     groups = docs.select(*(F.coalesce(docs[c].cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"))))
     groups = groups.distinct().join(own, ["lang", "source"], "left").join(of_lang, "lang", "left").na.fill(0)
     groups = saved(groups.withColumn("p0", weight(F.lit(0).cast("long"), F.col("total"), F.col("kinds"))))
