@@ -18,7 +18,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @given(st.lists(st.integers(1, 20), max_size=9), st.integers(1, 40))
 def test_closest_is_the_best_subset_sum(lengths, free):
     counts = {n: lengths.count(n) for n in lengths}
-    used = bin_slack.closest(counts, free)
+    used = bin_slack.closest(sorted(counts), counts.get, free)
     assert all(0 < c <= counts[n] for n, c in used.items())
     best = max(sum(s) for k in range(len(lengths) + 1) for s in itertools.combinations(lengths, k) if sum(s) <= free)
     assert sum(n * c for n, c in used.items()) == best
@@ -47,6 +47,25 @@ TEXTS = ["", None, "a", "  two   words\n", "the quick brown fox " * 1500, "the q
          "x " * 2047, "x " * 2046, "word " * 700, "word " * 701, "word " * 900]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abZ É\u0301é'sS.7 \t\n\x0b\x0c\r\x1c\x85\u00a0\u2000Σσ日🙂<|endoftext|>İ¶"), max_size=40), max_size=6))
+def test_ids_of_words_are_those_of_the_text(texts):
+    model = IDS
+    assert model.apart and model.latin
+    texts = [*texts, "<|endoftext|> <|startoftext|>x H\u0331 " + "".join(texts), "A <|ENDOFTEXT|> Bc", "x" * 99]
+    for _ in range(2):
+        assert [np.frombuffer(x, model.kind).tolist() for x in model.of(texts)] == [model.plain(t) for t in texts]
+
+
+IDS = bin_slack.Ids(PATH)
+
+
+def test_other_models_encode_whole_texts():
+    model = bin_slack.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not model.apart
+    assert [np.frombuffer(x, model.kind).tolist() for x in model.of(["a b  c", ""])] == [model.plain("a b  c"), []]
+
+
 @pytest.mark.parametrize("size,group", [(2048, 2048), (64, 4)])
 def test_pack_round_trip(spark, size, group):
     rows = [(i, t, i, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 0, "y"), (None, "no id here", 0, "z")]
