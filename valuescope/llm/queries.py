@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from valuescope.llm import (bin_slack, divergence, exact, html_text, jaccard, licenses, mixing, packing, pieces, token_counts, toxicity,
-                            vectors)
+from valuescope.llm import (bin_slack, conversations, divergence, exact, html_text, jaccard, licenses, mixing, packing, pieces,
+                            token_counts, toxicity, vectors)
 from valuescope.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -57,10 +57,15 @@ def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mixing, op3_sentencepiece, op4_html_text, op5_token_counts, op6_packing,
-                                  op7_near_vectors, op8_ngram_jaccard, op9_toxicity, op10_exact_dedup, op11_bin_slack, op13_divergence)}
+                                  op7_near_vectors, op8_ngram_jaccard, op9_toxicity, op10_exact_dedup, op11_bin_slack, op12_conversation_repair,
+                                  op13_divergence)}
 SQL = {"op10_exact_dedup": exact.SQL, "op13_divergence": divergence.SQL}
