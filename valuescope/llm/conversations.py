@@ -185,7 +185,7 @@ def repaired(audit: str, rows: list[tuple[str, str]], state: int) -> tuple[list[
 
 
 def damaged(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, copies, digest, blank, cut: equal rows of a conversation and turn once."""
+    """conv_id, turn, role, text, n (2 where the row is repeated), digest, blank, cut."""
     space = lambda c: F.coalesce(rows[c].cast("string"), F.lit(" "))
     d = rows.select(rows["conv_id"].cast("long").alias("conv_id"), rows["turn"].cast("long").alias("turn"), space("role").alias("role"),
                     space("text").alias("text"), F.pmod(F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))), F.lit(20)).alias("kind"))
@@ -193,18 +193,18 @@ def damaged(rows: DataFrame) -> DataFrame:
     text = F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
     d = d.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
                                   F.when(kind == 3, 2).otherwise(1).alias("n"))
-    d = d.groupBy("conv_id", "turn", "role", "text").agg(F.sum("n").alias("copies"))
     own = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.length("role"), "role", "text")
     return d.withColumns({"digest": F.unhex(F.sha2(own, 256)), "blank": ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")),
                           "cut": ~F.rlike("text", F.lit(r"[.!?][\x20\x09-\x0D]*\z"))})
 
 
 def marked(d: DataFrame) -> DataFrame:
-    """With ``again``: an earlier turn of the conversation has this role and text."""
+    """Equal rows of a conversation and turn once, with ``copies``, and ``again``: an earlier turn of the conversation has this role and text."""
     at = F.struct(F.col("turn").isNotNull(), "turn")
-    first = d.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("turns")).where("turns > 1").drop("turns")
+    first = d.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    rows = d.groupBy("conv_id", "turn", "role", "text", "digest", "blank", "cut").agg(F.sum("n").alias("copies"))
     again: Column = F.coalesce(~at.eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
-    return d.join(first, "digest", "left").withColumn("again", again)
+    return rows.join(first.drop("last"), "digest", "left").withColumn("again", again)
 
 
 STATS = ("blank", "duplicate", "truncated", "illegal")
