@@ -1,13 +1,16 @@
 """TF-IDF retrieval against a brute-force cosine on the same tokens (sf0.001)."""
 
 import math
+import random
+import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from valuescope.operators import text as T
 
-from .conftest import SMALL
+from .conftest import MEDIUM, SMALL
 
 
 def test_tfidf_topk_matches_brute_force(spark):
@@ -28,7 +31,7 @@ def test_tfidf_topk_matches_brute_force(spark):
         for c, dv in docs.items():
             s = sum(w * dv.get(t, 0.0) for t, w in qv.items())
             if s > T.MIN_SCORE:
-                sc.append((-s, c))
+                sc.append((-round(s, T.DECIMALS), c))
         expect[q] = [c for _, c in sorted(sc)[:T.TOP_K]]
     got = defaultdict(list)
     for r in T.tfidf_topk(spark, SMALL).orderBy("item_id", "rank").collect():
@@ -36,6 +39,41 @@ def test_tfidf_topk_matches_brute_force(spark):
     assert {q: v for q, v in expect.items() if v} == dict(got)
 
 
+@pytest.mark.parametrize("k,low", [(3, 0.05), (1, 0.0), (50, 0.2)])
+def test_pruned_retrieval_equals_the_full_product(spark, k, low):
+    """Made vectors with ties, repeats and a term that every chunk has."""
+    rng = random.Random(7)
+    rows = []
+    for c in range(300):
+        words = {f"t{min(int(rng.paretovariate(0.7)), 400)}" for _ in range(12)} | {"all"}
+        ws = {t: rng.choice([1.0, 1.0, 2.0, 5.0]) * (0.2 if t == "all" else 1.0) for t in words}
+        norm = math.sqrt(sum(w * w for w in ws.values()))
+        rows += [(f"{c // 2 if c % 7 == 0 else c}:{c}", t, w / norm) for t, w in ws.items()]
+    wd = spark.createDataFrame(rows, "cid string, term string, wd double")
+    lists = T.lists_of(wd)
+    wq = wd.where("cast(split(cid, ':')[1] as int) % 10 = 0").select(F.col("cid").alias("item_id"), "term", F.col("wd").alias("wq"))
+    got = T.retrieval(lists, wq, k, low)
+    full = T.product(wq, lists)
+    want = {(r["item_id"], r["rank"]): (r["cid"], round(r["score"], 6)) for r in T.best(full.where(F.col("score") > low), k).collect()}
+    mine = {(r["item_id"], r["rank"]): (r["cid"], round(r["score"], 6)) for r in T.best(got["scored"].where(F.col("score") > low), k).collect()}
+    assert mine == want
+    assert T.best(full, 2).count() == 2 * wq.select("item_id").distinct().count()
+
+
+def test_pruning_reads_a_part_of_the_lists(spark):
+    ch, idf, _ = T.tfidf_index(spark, MEDIUM)
+    lists, wq = T.inverted_lists(spark, MEDIUM), T.query_vectors(spark, MEDIUM, idf)
+    got = T.retrieval(lists, wq, T.TOP_K, T.MIN_SCORE, T._saver(spark))
+    every = wq.join(lists, "term").count()
+    read, pairs = T.reads(got["terms"], lists).count(), got["candidates"].count()
+    assert 5 * read < 2 * every and 6 * pairs < every, (read, pairs, every)
+
+
+def test_stop_words_are_those_of_the_library(spark):
+    from pyspark.ml.feature import StopWordsRemover
+    assert {w for w in StopWordsRemover.loadDefaultStopWords("english") if re.fullmatch(r"\w\w+", w)} == set(T.STOP_WORDS)
+
+
 def test_chunks_keep_whole_text(spark):
     ch = T.chunks(spark, SMALL)
     d = spark.read.parquet(f"{SMALL}/documents.parquet")

@@ -6,27 +6,55 @@ English stop words. Term weights follow the smooth IDF
 scheme ``tf · (ln((1+n)/(1+df)) + 1)`` over all terms (or the ``vocab`` commonest), with
 L2-normalised vectors, so the dot product is the cosine.
 
-Scoring is a sparse product: chunk terms join query terms on the term, and
-Spark's own size check decides on a broadcast. Top-k per query is two-phase (per salt
-bucket, then overall), so one query never pulls all its candidates into a
-single task.
+Retrieval does not score every pair that shares a term. All terms have one order,
+rarest first, and every vector keeps at each of its terms the length of its tail,
+the part behind it. If t is the first term that a query and a chunk share, their
+score is at most the product of their weights of t and the product of both tails
+behind t; and it is at most the sum of query weight times largest weight of any
+chunk over the query's terms from t on.
+
+1. Seeds: the SEEDED chunks with the most weight on a query's SEEDS rarest terms are
+   scored in full; the k-th best of them is a floor under the k-th best score.
+2. A query reads the inverted lists of its terms until the second bound is below
+   the floor, and of a list only chunks that keep the first bound at the floor. A
+   chunk outside what is read cannot be among the k best.
+3. What is read gives candidates; their scores are summed over all terms, so
+   scores and ranks are exact.
+
+Top-k per query is two-phase (per salt bucket, then overall), so one query never
+pulls all its candidates into a single task. Ranks go by the score at 9 decimals,
+then the chunk id.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import job
 from ..functions.exprs import round_doubles
 from ..functions.ranking import global_rank
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
 
 TOP_K = 3
 MIN_SCORE = 0.05
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 SALT_BUCKETS = 16
+SEEDS, SEEDED = 8, 32
+#: Room for rounding where a bound meets a floor, and the decimals by which scores rank.
+SLACK, DECIMALS = 1e-7, 9
+# The words of 2+ letters of the English stop-word list of Spark ML.
+STOP_WORDS = """
+about above after again against all am an and any are as at be because been before being below between both but by can
+cannot could did do does doing don down during each few for from further had has have having he her here hers herself him
+himself his how if in into is it its itself just me more most my myself no nor not now of off on once only or other ought
+our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these
+they this those through to too under until up very was we were what when where which while who whom why will with would
+you your yours yourself yourselves
+""".split()
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +70,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _terms(df: DataFrame, id_cols: list[str]) -> DataFrame:
     """(ids…, term, tf): lower-case unicode words of 2+ chars minus English stop words.
 
-    Built-in expressions only (``regexp_extract_all`` + a broadcast anti-join
-    with Spark's stop-word list, ~180 rows), so tokenising stays in codegen."""
-    spark = df.sparkSession
-    sw = spark.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], "term string")
+    Built-in expressions only, so tokenising stays in codegen."""
     tok = df.select(*id_cols, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_PATTERN), 0)).alias("term"))
-    return tok.join(F.broadcast(sw), "term", "left_anti").groupBy(*id_cols, "term") \
+    return tok.where(~F.col("term").isin(STOP_WORDS)).groupBy(*id_cols, "term") \
         .agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -82,6 +107,24 @@ def tfidf_index(spark: SparkSession, sf_dir: str, vocab: int | None = None):
     return ch, idf, wd
 
 
+def with_tails(vectors: DataFrame, of: str, w: str, df: DataFrame) -> DataFrame:
+    """With df of the terms and ``tail``: the length of the vector behind this term, rarest terms first. A window is one vector."""
+    behind = Window.partitionBy(of).orderBy(F.asc("df"), F.asc("term")).rowsBetween(1, Window.unboundedFollowing)
+    return vectors.join(df, "term").withColumn("tail", F.sqrt(F.coalesce(F.sum(F.col(w) * F.col(w)).over(behind), F.lit(0.0))))
+
+
+def lists_of(wd: DataFrame) -> DataFrame:
+    """(term, cid, wd, df, tail) of chunk vectors (cid, term, wd)."""
+    return with_tails(wd, "cid", "wd", wd.groupBy("term").agg(F.count(F.lit(1)).alias("df"))).select("term", "cid", "wd", "df", "tail")
+
+
+def inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lists_of`` the index, written once per application."""
+    from ..plans.mart import materialized
+    return materialized(spark, "tfidf_lists", sf_dir, ("documents",), (TOKEN_PATTERN, "behind"),
+                        lambda: lists_of(tfidf_index(spark, sf_dir)[2]))
+
+
 def query_vectors(spark: SparkSession, sf_dir: str, idf: DataFrame) -> DataFrame:
     q = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     qt = _terms(q, ["item_id"]).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
@@ -90,7 +133,7 @@ def query_vectors(spark: SparkSession, sf_dir: str, idf: DataFrame) -> DataFrame
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, cid, score) for every query–chunk pair sharing at least one term."""
+    """(item_id, cid, score) for every query–chunk pair sharing at least one term: the full product, for tests."""
     ch, idf, wd = tfidf_index(spark, sf_dir)
     wq = query_vectors(spark, sf_dir, idf)
     s = wd.join(wq, "term") \
@@ -98,21 +141,109 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s, ch
 
 
-@job("tfidf_topk", sql=None)
+def bounded_terms(wq: DataFrame, lists: DataFrame) -> DataFrame:
+    """(item_id, term, wq, tail, place, rest): a query's terms rarest first; ``rest`` bounds what this and all commoner terms add."""
+    size = lists.groupBy("term").agg(F.first("df").alias("df"), F.max("wd").alias("most"))
+    t = with_tails(wq, "item_id", "wq", size)
+    rare = Window.partitionBy("item_id").orderBy(F.asc("df"), F.asc("term"))  # the words of one query
+    onward = rare.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return t.select("item_id", "term", "wq", "tail", F.row_number().over(rare).alias("place"),
+                    F.sum(F.col("wq") * F.col("most")).over(onward).alias("rest"))
+
+
+def best(s: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each item by score and cid, with their rank; no item's rows are all in one task."""
+    order = [F.round("score", DECIMALS).desc(), F.col("cid").asc()]
+    s = s.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALT_BUCKETS)))
+    first = s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "salt").orderBy(*order))).where(F.col("rank") <= k)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))) \
+        .where(F.col("rank") <= k).drop("salt")
+
+
+def product(terms: DataFrame, lists: DataFrame) -> DataFrame:
+    """(item_id, cid, score): the sum over the given terms of each item."""
+    return terms.select("item_id", "term", "wq").join(lists.select("term", "cid", "wd"), "term").groupBy("item_id", "cid") \
+        .agg(F.sum(F.col("wd") * F.col("wq")).alias("score"))
+
+
+def scored(pairs: DataFrame, terms: DataFrame, lists: DataFrame) -> DataFrame:
+    """(item_id, cid, score) of the given pairs, over all terms."""
+    both = pairs.join(terms.select("item_id", "term", "wq"), "item_id").join(lists.select("term", "cid", "wd"), ["term", "cid"])
+    return both.groupBy("item_id", "cid").agg(F.sum(F.col("wd") * F.col("wq")).alias("score"))
+
+
+def reads(terms: DataFrame, lists: DataFrame) -> DataFrame:
+    """(item_id, cid): the entries of the lists that are read, by ``terms`` with ``floor``."""
+    least = F.col("floor") - SLACK
+    q = terms.where(F.col("rest") >= least).select("item_id", "term", "wq", F.col("tail").alias("own"), "floor")
+    most = F.col("wq") * F.col("wd") + F.col("own") * F.col("tail")
+    return q.join(lists.select("term", "cid", "wd", "tail"), "term").where(most >= least).select("item_id", "cid")
+
+
+def retrieval(lists: DataFrame, wq: DataFrame, k: int, min_score: float, save=lambda df: df) -> dict[str, DataFrame]:
+    """Frames of the pruned retrieval: terms (with floor), candidates, scored."""
+    terms = save(bounded_terms(wq, lists))
+    seeds = best(product(terms.where(F.col("place") <= SEEDS), lists), max(k, SEEDED)).select("item_id", "cid")
+    seeded = best(scored(seeds, terms, lists), k)
+    floor = seeded.groupBy("item_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
+    floor = floor.select("item_id", F.greatest(F.lit(min_score), F.when(F.col("n") == k, F.col("low"))).alias("floor"))
+    terms = save(terms.join(floor, "item_id"))  # every query term is in some chunk, so every item has seeds
+    candidates = save(reads(terms, lists).distinct())
+    return {"terms": terms, "candidates": candidates, "scored": scored(candidates, terms, lists)}
+
+
+def _saver(spark: SparkSession):
+    """Writes a frame to the shared folder and reads it back: it is read by several later steps."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+
+    def save(df: DataFrame) -> DataFrame:
+        path = f"{root}/tfidf-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    return save
+
+
+def _sql(tail: str) -> str:
+    """DuckDB twin: the full product (every pair that shares a term), no pruning."""
+    words = ", ".join(f"('{w}')" for w in STOP_WORDS)
+    token = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]{2,}"
+    return rf"""
+WITH stop(term) AS (VALUES {words}),
+cut AS (SELECT doc_id, string_split(regexp_replace(text, '(^|\n)## ', '\1' || chr(1) || '## ', 'g'), chr(1)) AS parts FROM documents),
+numbered AS (SELECT doc_id, unnest(range(len(parts))) AS k, unnest(parts) AS body, parts[1] = '' AND len(parts) > 1 AS led FROM cut),
+ch AS (SELECT doc_id, CAST(CASE WHEN led THEN k - 1 ELSE k END AS INTEGER) AS chunk_no, body,
+         doc_id || ':' || CASE WHEN led THEN k - 1 ELSE k END AS cid,
+         CASE WHEN regexp_extract(body, '^## +([^\n]*)', 1) <> '' THEN trim(regexp_extract(body, '^## +([^\n]*)', 1))
+              ELSE 'Introduction' END AS heading
+       FROM numbered WHERE NOT (led AND k = 0) AND trim(body, ' ') <> ''),
+ct AS (SELECT cid, term, COUNT(*) AS tf FROM (SELECT cid, unnest(regexp_extract_all(lower(body), '{token}')) AS term FROM ch) x
+       WHERE term NOT IN (SELECT term FROM stop) GROUP BY 1, 2),
+n AS (SELECT COUNT(*) AS n FROM ch),
+idf AS (SELECT term, LN((1.0 + (SELECT n FROM n)) / (1.0 + COUNT(*))) + 1.0 AS idf FROM ct GROUP BY 1),
+w AS (SELECT cid, ct.term, tf * idf AS w FROM ct JOIN idf ON ct.term = idf.term),
+wd AS (SELECT cid, term, w / SQRT(SUM(w * w) OVER (PARTITION BY cid)) AS wd FROM w),
+qt AS (SELECT item_id, term, COUNT(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{token}')) AS term FROM benchmark) x
+       WHERE term NOT IN (SELECT term FROM stop) GROUP BY 1, 2),
+qw AS (SELECT item_id, qt.term, tf * idf AS w FROM qt JOIN idf ON qt.term = idf.term),
+wq AS (SELECT item_id, term, w / SQRT(SUM(w * w) OVER (PARTITION BY item_id)) AS wq FROM qw),
+s AS (SELECT item_id, cid, SUM(wd * wq) AS score FROM wd JOIN wq ON wd.term = wq.term GROUP BY 1, 2),
+top AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY ROUND(score, {DECIMALS}) DESC, cid) AS INTEGER) AS rank
+        FROM s WHERE score > {MIN_SCORE})
+{tail}"""
+
+
+@job("tfidf_topk", sql=_sql(f"""SELECT item_id, rank, doc_id, chunk_no, heading, ROUND(score, 6) AS score
+FROM top JOIN ch ON top.cid = ch.cid WHERE rank <= {TOP_K}"""))
 def tfidf_topk(spark: SparkSession, sf_dir: str, k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
     """Top-k chunks per benchmark query by TF-IDF cosine, score above min_score (the top-k is the feature)."""
-    s, ch = scores(spark, sf_dir)
-    s = s.where(F.col("score") > min_score).withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALT_BUCKETS)))
-    order = [F.col("score").desc(), F.col("cid").asc()]
-    first = s.withColumn("r1", F.row_number().over(Window.partitionBy("item_id", "salt").orderBy(*order))) \
-        .where(F.col("r1") <= k)
-    top = first.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))) \
-        .where(F.col("rank") <= k)
+    ch, idf, _ = tfidf_index(spark, sf_dir)
+    got = retrieval(inverted_lists(spark, sf_dir), query_vectors(spark, sf_dir, idf), k, min_score, _saver(spark))
+    top = best(got["scored"].where(F.col("score") > min_score), k)
     meta = ch.select("cid", "doc_id", "chunk_no", "heading")
     return round_doubles(top.join(meta, "cid").select("item_id", "rank", "doc_id", "chunk_no", "heading", "score"))
 
 
-@job("tfidf_vocabulary", sql=None)
+@job("tfidf_vocabulary", sql=_sql("SELECT term, ROUND(idf, 6) AS idf FROM idf"))
 def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted vocabulary with document frequency based IDF weights."""
     _, idf, _ = tfidf_index(spark, sf_dir)
