@@ -47,3 +47,99 @@ def test_stream_score_scores_every_purchase_once(spark):
     assert out.count() == ev.count()
     assert out.select("event_id").distinct().count() == ev.count()
     assert out.where("predicted_ltv30 < 0").count() == 0
+
+
+def _replay(spark, job, batches):
+    """Run ``job(spark, events, paths)`` once for each batch, as restarts of one stream."""
+    src = tempfile.mkdtemp(prefix="vs-replay-", dir="/tmp")
+    paths = S._paths(spark, "replay")
+    out = None
+    for k, rows in enumerate(batches):
+        _write(spark, src, f"b{k}", rows)
+        out = job(spark, spark.readStream.schema(SCHEMAS["events"]).parquet(f"{src}/*"), paths)
+    return out, paths
+
+
+BATCHES = [
+    [(1, "2024-01-10 10:00:00", 1, "purchase", 5.10, "{}"), (2, "2024-01-10 10:20:00", 1, "click", 7.0, "{}"),
+     (3, "2024-01-10 11:10:00", 1, "purchase", 0.20, "{}"), (4, "2024-01-10 09:00:00", 2, "signup", 1.0, "{}"),
+     (5, "2024-01-12 23:00:00", 2, "purchase", 3.0, "{}"), (5, "2024-01-12 23:00:00", 2, "purchase", 3.0, "{}")],
+    # late but within the watermark: it bridges two sessions of user 3, and one row is far too late
+    [(6, "2024-01-12 22:00:00", 3, "click", 1.0, "{}"), (7, "2024-01-12 22:50:00", 3, "purchase", 9.99, "{}"),
+     (8, "2024-01-01 08:00:00", 1, "purchase", 100.0, "{}"), (9, "2024-01-13 04:00:00", None, "purchase", 2.0, "{}")],
+    [(10, "2024-01-12 22:25:00", 3, "click", 1.0, "{}"), (11, "2024-01-12 21:45:00", 3, "error", 1.0, "{}"),
+     (12, "2024-01-25 01:00:00", 2, "purchase", 4.0, "{}")],
+]
+KEPT = [r for b in BATCHES for r in b if r[0] != 8]
+
+
+def _static(spark, rows):
+    folder = tempfile.mkdtemp(prefix="vs-kept-", dir="/tmp")
+    _write(spark, folder, "events.parquet", rows)
+    return folder
+
+
+def _duck(folder, name):
+    import duckdb
+
+    from valuescope import catalog
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    return con.execute(catalog.load_all()[name].sql)
+
+
+def _same(df, cur):
+    names = [d[0] for d in cur.description]
+    assert set(names) == set(df.columns)
+    plain = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(plain, df.select(*names).collect())) == sorted(map(plain, cur.fetchall()))
+
+
+def test_batches_with_late_and_repeated_rows_equal_the_batch_twin(spark):
+    folder = _static(spark, KEPT)
+    for job, name in ((S.daily_kpis, "stream_daily_kpis"), (S.sessions, "stream_sessions"), (S.checkpoints, "stream_checkpoints")):
+        got, _ = _replay(spark, job, BATCHES)
+        _same(got, _duck(folder, name))
+
+
+def test_a_repeated_epoch_gives_the_same_rows(spark):
+    got, (_, out) = _replay(spark, S.daily_kpis, BATCHES)
+    before = sorted(map(str, got.collect()))
+    again = S.epoch_writer(out)
+    for epoch in (0, 1):
+        again(spark.createDataFrame(spark.read.parquet(f"{out}/epoch={epoch}").collect(), spark.read.parquet(f"{out}/epoch={epoch}").schema), epoch)
+    assert sorted(map(str, S.latest_by_key(spark, out, ["day"]).collect())) == before
+
+
+def _state(spark, chk, var):
+    return spark.read.format("statestore").option("stateVarName", var).load(chk)
+
+
+def test_state_of_checkpoints_is_empty_after_the_seventh_day(spark):
+    _, (chk, _) = _replay(spark, S.checkpoints, BATCHES[:1])
+    assert _state(spark, chk, "days").count() > 0
+    _, (chk, _) = _replay(spark, S.checkpoints, [*BATCHES, [(13, "2024-02-20 01:00:00", 1, "click", 4.0, "{}")]])
+    assert _state(spark, chk, "days").count() == 0
+
+
+def test_state_of_sessions_is_bounded_by_the_watermark(spark):
+    _, (chk, _) = _replay(spark, S.sessions, BATCHES)
+    left = _state(spark, chk, "open").count()
+    assert left == 1  # the session of the last day; the others ended before the watermark
+
+
+def test_late_counts_agree_with_the_watermark_of_spark(spark):
+    src = tempfile.mkdtemp(prefix="vs-late2-", dir="/tmp")
+    _write(spark, src, "events.parquet", BATCHES[0])
+    rows, dropped = [], []
+    paths, own = S._paths(spark, "late"), S._paths(spark, "dedup")
+    for k, b in enumerate(BATCHES):
+        _write(spark, src, f"in/{k}", b)
+        stream = spark.readStream.schema(SCHEMAS["events"]).parquet(f"{src}/in/*")
+        rows = S.late_counts(spark, stream, paths).orderBy("epoch").collect()
+        q = (S.with_event_time(stream).withWatermark("ts", S.WATERMARK).dropDuplicates(["event_id", "ts"]).writeStream.format("parquet")
+             .option("path", own[1]).option("checkpointLocation", own[0]).trigger(availableNow=True).start())
+        q.awaitTermination()
+        dropped.append(sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in q.recentProgress if p.get("stateOperators")))
+    assert [r["dropped"] for r in rows] == dropped == [0, 1, 0]
+    assert [(r["n_rows"], r["on_time"], r["late_kept"]) for r in rows] == [(6, 6, 0), (4, 1, 2), (3, 1, 2)]

@@ -8,24 +8,30 @@ table under the shared ``spark.checkpoint.dir`` (checkpoint + output), so a
 restarted query resumes from its offsets. The registered job returns the
 written table, which has a batch twin.
 
-Aggregations use complete mode through ``foreachBatch`` (each batch
-overwrites the result table with the full aggregate), so the final windows
-are present when the replay ends; ``withWatermark`` bounds the state in a
-long-running deployment.
+Aggregations run in update mode: each micro-batch writes the rows whose value
+changed to the folder of its epoch, and ``latest_by_key`` reads the value of a key's
+last epoch. A repeated epoch overwrites its own folder, so the result is the same
+however often a batch is tried; nothing that did not change is written again, and
+the watermark bounds the state.
+
+Per-user state (sessions, checkpoints) uses ``transformWithState`` with typed map
+state and event-time timers. Events are summed per user and day (or merged to
+sessions) inside the source's tasks first, so a user with a third of all events
+sends few rows to the task that holds the state.
 """
 
 from __future__ import annotations
 
 import functools
-import json
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..catalog import job
 from ..functions.exprs import MONEY, round_doubles
@@ -77,18 +83,40 @@ def in_utc(fn):
     return run
 
 
-def run_complete(spark: SparkSession, df: DataFrame, name: str, finish=None) -> DataFrame:
-    """Run an aggregating stream to completion; each batch overwrites the result table.
-    ``finish`` maps the batch to zone-free output columns before the write."""
-    chk, out = _paths(spark, name)
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def epoch_writer(out: str, finish=None):
+    """A ``foreachBatch`` function: the batch in the folder of its epoch; a repeated epoch replaces what it wrote."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        (finish(batch) if finish else batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    return write
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        (finish(batch) if finish else batch).write.mode("overwrite").parquet(out)
+
+def latest_by_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The rows of the last epoch that wrote each key (one aggregate, partial per task)."""
+    rows = spark.read.parquet(out)
+    values = [c for c in rows.columns if c not in (*keys, "epoch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v"))
+    return last.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
+def run_update(spark: SparkSession, df: DataFrame, name: str, keys: list[str], finish=None, paths=None) -> DataFrame:
+    """Run a stream in update mode to completion and return the current row of each key.
+    ``finish`` maps the batch to zone-free output columns before the write; ``paths``
+    (checkpoint, output) of an earlier run resume it."""
+    chk, out = paths or _paths(spark, name)
+    store = spark.conf.get(STORE)
     with utc_session(spark):
-        q = (df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", chk)
-             .trigger(availableNow=True).queryName(f"{name}_{uuid.uuid4().hex[:6]}").start())
-        q.awaitTermination()
-    return spark.read.parquet(out)
+        spark.conf.set(STORE, ROCKSDB)  # state on disk; transformWithState asks for it
+        try:
+            q = (df.writeStream.outputMode("update").foreachBatch(epoch_writer(out, finish)).option("checkpointLocation", chk)
+                 .trigger(availableNow=True).queryName(f"{name}_{uuid.uuid4().hex[:6]}").start())
+            q.awaitTermination()
+        finally:
+            spark.conf.set(STORE, store)
+    return latest_by_key(spark, out, keys)
 
 
 def run_append(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -111,14 +139,18 @@ FROM events GROUP BY 1""", family="streaming")
 @in_utc
 def stream_daily_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily event KPIs, tumbling 1-day windows with a watermark."""
-    e = with_event_time(events_stream(spark, sf_dir)).withWatermark("ts", WATERMARK)
+    return daily_kpis(spark, events_stream(spark, sf_dir))
+
+
+def daily_kpis(spark: SparkSession, events: DataFrame, paths=None) -> DataFrame:
+    e = with_event_time(events).withWatermark("ts", WATERMARK)
     purchase = F.col("event_type") == "purchase"
     agg = e.groupBy(F.window("ts", "1 day")).agg(
         F.count(F.lit(1)).alias("n_events"), F.count(F.when(F.col("event_type") == "signup", 1)).alias("signups"),
         F.count(F.when(purchase, 1)).alias("purchases"),
         F.coalesce(F.sum(F.when(purchase, F.col("value").cast(MONEY))), F.lit(0)).cast("double").alias("revenue"))
-    out = run_complete(spark, agg, "daily_kpis", lambda b: b.select(
-        F.col("window.start").cast("date").alias("day"), "n_events", "signups", "purchases", "revenue"))
+    out = run_update(spark, agg, "daily_kpis", ["day"], lambda b: b.select(
+        F.col("window.start").cast("date").alias("day"), "n_events", "signups", "purchases", "revenue"), paths)
     return round_doubles(out)
 
 
@@ -134,7 +166,7 @@ def stream_sliding_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withWatermark("ts", "7 days")
     agg = e.groupBy(F.window("ts", "7 days", "1 day")).agg(
         F.count(F.lit(1)).alias("purchases"), F.sum(F.col("value").cast(MONEY)).cast("double").alias("revenue"))
-    out = run_complete(spark, agg, "sliding_7d", lambda b: b.select(
+    out = run_update(spark, agg, "sliding_7d", ["window_start"], lambda b: b.select(
         F.col("window.start").cast("date").alias("window_start"), "purchases", "revenue"))
     return round_doubles(out)
 
@@ -155,15 +187,97 @@ FROM g GROUP BY user_id, sid""", family="streaming")
 @in_utc
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user sessions (30-minute inactivity gap) with depth and revenue."""
-    e = with_event_time(events_stream(spark, sf_dir)).withWatermark("ts", WATERMARK)
-    agg = e.groupBy("user_id", F.session_window("ts", f"{SESSION_GAP_MIN} minutes")).agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("value").cast(MONEY))), F.lit(0))
-        .cast("double").alias("revenue"))
-    out = run_complete(spark, agg, "sessions", lambda b: b.select(
-        "user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"),
-        F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "n_events", "revenue"))
-    return round_doubles(out)
+    return sessions(spark, events_stream(spark, sf_dir))
+
+
+GAP_US = SESSION_GAP_MIN * 60_000_000
+RUN_SCHEMA = "user_id long, start long, stop long, n long, cents long, ts timestamp"
+
+
+def purchase_cents() -> F.Column:
+    """Exact cents of a purchase, 0 for other events."""
+    cents = F.when(F.col("event_type") == "purchase", (F.col("value").cast(MONEY) * 100).cast("long"))
+    return F.coalesce(cents, F.lit(0).cast("long")).alias("cents")
+
+
+NOBODY = -(1 << 63)  # stands for a null user inside a batch
+
+
+def _users(c: pa.Array) -> np.ndarray:
+    return c.fill_null(NOBODY).to_numpy()
+
+
+def _ids(user: np.ndarray) -> pa.Array:
+    return pa.array(user, pa.int64(), mask=user == NOBODY)
+
+
+def _runs(keys: list[np.ndarray], new: np.ndarray, sums: list[np.ndarray]) -> tuple[list, list]:
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], [np.add.reduceat(x, at) if len(at) else x for x in sums]
+
+
+def merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(user_id, t, cents) of a batch as runs of events less than the gap apart: what a session is made of."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b.sort_by([("user_id", "ascending"), ("t", "ascending")])
+        user, t, cents = _users(b.column(0)), *(c.to_numpy() for c in b.columns[1:])
+        new = np.r_[True, (user[1:] != user[:-1]) | (t[1:] - t[:-1] >= GAP_US)]
+        (user, start), (n, cents) = _runs([user, t], new, [np.ones(len(t), np.int64), cents])
+        last = t[np.r_[np.flatnonzero(new)[1:], len(t)] - 1]
+        yield pa.RecordBatch.from_arrays([_ids(user), pa.array(start), pa.array(last + GAP_US), pa.array(n), pa.array(cents),
+                                          pa.array(last, pa.timestamp("us", "UTC"))], names=["user_id", "start", "stop", "n", "cents", "ts"])
+
+
+class Sessions(StatefulProcessor):
+    """Open sessions of a user by start. Runs that overlap one become one; a start that vanishes is sent with n = 0.
+    A timer at a session's end drops it: later events of the watermark cannot reach it."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start long", "stop long, n long, cents long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        old = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        found = sorted([*((s, *v) for s, v in old.items()), *((r.start, r.stop, r.n, r.cents) for r in rows)])
+        now: dict[int, tuple[int, int, int]] = {}
+        start = None
+        for s, stop, n, cents in found:
+            if start is not None and s < now[start][0]:
+                most, m, c = now[start]
+                now[start] = max(most, stop), m + n, c + cents
+            else:
+                start, now[s] = s, (stop, n, cents)
+        for s in old.keys() - now.keys():
+            self.open.removeKey((s,))
+            yield Row(user_id=key[0], start=s, stop=s, n=0, cents=0)
+        for s, v in now.items():
+            if old.get(s) != v:
+                self.open.updateValue((s,), v)
+                self.handle.registerTimer(v[0] // 1000 + 1)
+                yield Row(user_id=key[0], start=s, stop=v[0], n=v[1], cents=v[2])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        for s in [k[0] for k, v in self.open.iterator() if v[0] // 1000 + 1 <= due]:
+            self.open.removeKey((s,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def sessions(spark: SparkSession, events: DataFrame, paths=None) -> DataFrame:
+    e = with_event_time(events).where("ts is not null").select("user_id", F.unix_micros("ts").alias("t"), purchase_cents())
+    runs = e.mapInArrow(merged_runs, RUN_SCHEMA).withWatermark("ts", WATERMARK)
+    out = runs.groupBy("user_id").transformWithState(
+        Sessions(), "user_id long, start long, stop long, n long, cents long", "Update", "EventTime")
+    got = run_update(spark, out, "sessions", ["user_id", "start"], paths=paths).where("n > 0")
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    with utc_session(spark):
+        return round_doubles(got.select("user_id", at("start").alias("session_start"), at("stop").alias("session_end"), F.col("n").alias("n_events"),
+                                        (F.col("cents").cast("decimal(20,0)") / 100).cast("double").alias("revenue")))
 
 
 # ---------------------------------------------------------------- R5
@@ -182,63 +296,162 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R4
-CHECKPOINT_SCHEMA = T.StructType([
-    T.StructField("user_id", T.LongType()), T.StructField("window_days", T.IntegerType()),
-    T.StructField("n_events", T.LongType()), T.StructField("n_purchase", T.LongType()),
-    T.StructField("rev_cents", T.LongType())])
-STATE_SCHEMA = T.StructType([T.StructField("days", T.StringType())])
-
-
-def _checkpoint_state(key, pdfs, state: GroupState):
-    """Per-user state: counts per event day (bounded by the calendar). Input
-    chunks are folded one at a time, so a user with very many events never
-    sits in memory as one frame. Emits the D1/D3/D5/D7 checkpoint rows."""
-    days: dict[str, list[int]] = json.loads(state.get[0]) if state.exists else {}
-    for pdf in pdfs:
-        if pdf.empty:
+DAY_SCHEMA = "user_id long, day int, n long, purchases long, cents long, ts timestamp"
+DAY_US = 86_400_000_000
+
+
+def summed_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(user_id, t, purchase, cents) of a batch, summed per user and day."""
+    for b in batches:
+        if not b.num_rows:
             continue
-        d = pdf["ts"].dt.strftime("%Y-%m-%d")
-        pur = (pdf["event_type"] == "purchase")
-        cents = (pdf["value"].where(pur, 0.0) * 100).round().astype("int64")
-        g = pd.DataFrame({"d": d, "n": 1, "p": pur.astype("int64"), "c": cents}).groupby("d").sum()
-        for day, row in g.iterrows():
-            cur = days.get(day, [0, 0, 0])
-            days[day] = [cur[0] + int(row["n"]), cur[1] + int(row["p"]), cur[2] + int(row["c"])]
-    state.update((json.dumps(days),))
-    d0 = pd.Timestamp(min(days))
-    rows = []
-    for w in WINDOWS:
-        n = p = c = 0
-        for day, (dn, dp, dc) in days.items():
-            if (pd.Timestamp(day) - d0).days < w:
-                n, p, c = n + dn, p + dp, c + dc
-        rows.append((int(key[0]), w, n, p, c))
-    yield pd.DataFrame(rows, columns=["user_id", "window_days", "n_events", "n_purchase", "rev_cents"])
+        b = b.sort_by([("user_id", "ascending"), ("t", "ascending")])
+        user, t, purchase, cents = _users(b.column(0)), *(c.to_numpy() for c in b.columns[1:])
+        day = t // DAY_US
+        new = np.r_[True, (user[1:] != user[:-1]) | (day[1:] != day[:-1])]
+        (user, day), (n, purchase, cents) = _runs([user, day], new, [np.ones(len(t), np.int64), purchase, cents])
+        last = t[np.r_[np.flatnonzero(new)[1:], len(t)] - 1]
+        yield pa.RecordBatch.from_arrays([_ids(user), pa.array(day.astype(np.int32)), pa.array(n), pa.array(purchase), pa.array(cents),
+                                          pa.array(last, pa.timestamp("us", "UTC"))], names=["user_id", "day", "n", "purchases", "cents", "ts"])
+
+
+class Checkpoints(StatefulProcessor):
+    """Sums by day of a user's first days, and the first day. After the last window a timer clears the days; only
+    the first day stays (one number), so that a later event does not begin a new life."""
+
+    LAST = max(WINDOWS)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", "day int", "n long, purchases long, cents long")
+        self.first = handle.getValueState("first", "day int, due long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        first, due = self.first.get() if self.first.exists() else (None, None)
+        sums: dict[int, tuple[int, int, int]] = {}
+        for r in rows:
+            if first is None or r.day < first + self.LAST:
+                a = sums.get(r.day, (0, 0, 0))
+                sums[r.day] = (a[0] + r.n, a[1] + r.purchases, a[2] + r.cents)
+        if not sums:
+            return
+        start = min([min(sums), *([] if first is None else [first])])
+        if start != first:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = (start + self.LAST) * DAY_US // 1000
+            self.handle.registerTimer(due)
+            self.first.update((start, due))
+        held = {k[0]: tuple(v) for k, v in self.days.iterator()}
+        for day, v in sums.items():
+            a = held.get(day, (0, 0, 0))
+            held[day] = tuple(x + y for x, y in zip(a, v))
+        for day in list(held):
+            if day >= start + self.LAST:
+                del held[day]
+                if self.days.containsKey((day,)):
+                    self.days.removeKey((day,))
+            elif day in sums:
+                self.days.updateValue((day,), held[day])
+        for w in WINDOWS:
+            n, purchases, cents = (sum(v[k] for day, v in held.items() if day < start + w) for k in range(3))
+            yield Row(user_id=key[0], window_days=w, n_events=n, n_purchase=purchases, cents=cents)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        self.days.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def checkpoints(spark: SparkSession, events: DataFrame, paths=None) -> DataFrame:
+    e = with_event_time(events).where("ts is not null").select(
+        "user_id", F.unix_micros("ts").alias("t"), F.coalesce((F.col("event_type") == "purchase").cast("long"), F.lit(0).cast("long")).alias("purchase"),
+        purchase_cents())
+    days = e.mapInArrow(summed_days, DAY_SCHEMA).withWatermark("ts", WATERMARK)
+    out = days.groupBy("user_id").transformWithState(
+        Checkpoints(), "user_id long, window_days int, n_events long, n_purchase long, cents long", "Update", "EventTime")
+    got = run_update(spark, out, "checkpoints", ["user_id", "window_days"], paths=paths)
+    return round_doubles(got.select("user_id", "window_days", "n_events", "n_purchase",
+                                    (F.col("cents").cast("decimal(20,0)") / 100).cast("double").alias("rev")))
 
 
 @job("stream_checkpoints", sql=f"""WITH {WINDOW_MART_SQL.strip()}
 SELECT user_id, window_days, n_events, n_purchase, ROUND(rev, 6) AS rev FROM wm""", family="streaming")
 @in_utc
 def stream_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-user D1/D3/D5/D7 checkpoint features kept in streaming state (applyInPandasWithState,
-    update mode); the latest emitted row per (user, window) is the current value."""
-    e = events_stream(spark, sf_dir).select("user_id", "ts", "event_type", "value")
-    st = e.groupBy("user_id").applyInPandasWithState(
-        _checkpoint_state, CHECKPOINT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-    chk, out = _paths(spark, "checkpoints")
+    """Per-user D1/D3/D5/D7 checkpoint features kept in streaming state until the seventh day has passed."""
+    return checkpoints(spark, events_stream(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- R6
+LATE_SCHEMA = "epoch int, n_rows long, on_time long, late_kept long, dropped long, watermark timestamp_ntz"
+DELAYS = {0: 12, 1: 72}  # hours of delay of the events whose id leaves this remainder by 25: kept, and too late
+ARRIVAL_DAYS = 7
+
+
+def arrivals(spark: SparkSession, sf_dir: str, folder: str) -> Iterator[str]:
+    """Writes the events of each week of arrival into a folder of their own, one after the other, and yields after each.
+    A twenty-fifth of the events arrives half a day late, another three days late (the log has no arrival time of its own)."""
+    e = spark.read.schema(SCHEMAS["events"]).parquet(table_path(sf_dir, "events"))
+    hours = F.lit(0)
+    for rest, h in DELAYS.items():
+        hours = F.when(F.pmod("event_id", F.lit(25)) == rest, h).otherwise(hours)
+    week = F.floor(F.datediff((F.col("ts") + F.make_dt_interval(hours=hours)).cast("date"), F.lit("2000-01-01").cast("date")) / ARRIVAL_DAYS)
+    e.withColumn("week", week).write.partitionBy("week").parquet(f"{folder}/all")
+    dealt = spark.read.parquet(f"{folder}/all")
+    for k, r in enumerate(dealt.select("week").distinct().orderBy("week").collect()):  # bounded by the calendar
+        part = dealt.where(F.col("week").eqNullSafe(F.lit(r["week"]))).drop("week")
+        part.select(*SCHEMAS["events"].fieldNames()).write.parquet(f"{folder}/in/{k:05d}")
+        yield f"{folder}/in/{k:05d}"
+
+
+def late_counts(spark: SparkSession, events: DataFrame, paths=None) -> DataFrame:
+    """One row per epoch: rows that came in order, late rows that the watermark still admits, and rows it drops.
+    The mark of an epoch is the latest event time of the epochs before it less the delay, as in Spark; each epoch
+    writes its own counts and latest time, so a repeated epoch gives the same row."""
+    chk, out = paths or _paths(spark, "late_rows")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        high = None
+        if epoch > 0:
+            high = spark.read.parquet(out).where(F.col("epoch") < epoch).agg(F.max("latest")).first()[0]
+        high = F.lit(high).cast("timestamp")
+        mark = F.date_trunc("millisecond", high) - F.expr(f"INTERVAL {WATERMARK}")
+        late = F.coalesce(F.col("ts") < high, F.lit(False))
+        drop = F.coalesce(F.col("ts") <= mark, F.lit(False))
+        row = batch.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(~late, 1)).alias("on_time"),
+                        F.count(F.when(late & ~drop, 1)).alias("late_kept"), F.count(F.when(drop, 1)).alias("dropped"), F.max("ts").alias("latest"))
+        row.withColumn("watermark", mark).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
     with utc_session(spark):
-        q = (st.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", chk)
-             .trigger(availableNow=True).queryName(f"checkpoints_{uuid.uuid4().hex[:6]}").start())
+        q = (with_event_time(events).where("ts is not null").writeStream.foreachBatch(write).option("checkpointLocation", chk)
+             .trigger(availableNow=True).queryName(f"late_{uuid.uuid4().hex[:6]}").start())
         q.awaitTermination()
-    res = spark.read.parquet(out)
-    latest = res.groupBy("user_id", "window_days").agg(
-        F.max_by(F.struct("n_events", "n_purchase", "rev_cents"), "epoch").alias("v"))
-    return round_doubles(latest.select("user_id", "window_days", F.col("v.n_events").alias("n_events"),
-                                       F.col("v.n_purchase").alias("n_purchase"),
-                                       (F.col("v.rev_cents") / 100.0).alias("rev")))
+        return spark.read.parquet(out).select(F.col("epoch").cast("int").alias("epoch"), "n_rows", "on_time", "late_kept", "dropped",
+                                              F.col("watermark").cast("timestamp_ntz").alias("watermark"))
+
+
+@job("stream_late_rows", sql="""
+WITH a AS (SELECT ts, CAST(floor((CAST(ts + to_hours(CASE event_id % 25 WHEN 1 THEN 72 WHEN 0 THEN 12 ELSE 0 END) AS DATE)
+    - DATE '2000-01-01') / 7.0) AS BIGINT) AS week FROM events WHERE ts IS NOT NULL),
+w AS (SELECT week, MAX(ts) AS latest, CAST(ROW_NUMBER() OVER (ORDER BY week) - 1 AS INTEGER) AS epoch FROM a GROUP BY week),
+h AS (SELECT week, epoch, MAX(latest) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM w),
+m AS (SELECT a.ts, h.epoch, h.high, date_trunc('millisecond', h.high) - INTERVAL 1 DAY AS mark FROM a JOIN h ON a.week = h.week)
+SELECT epoch, COUNT(*) AS n_rows, COUNT(CASE WHEN high IS NULL OR ts >= high THEN 1 END) AS on_time,
+  COUNT(CASE WHEN ts < high AND ts > mark THEN 1 END) AS late_kept, COUNT(CASE WHEN ts <= mark THEN 1 END) AS dropped,
+  MIN(mark) AS watermark
+FROM m GROUP BY epoch""", family="streaming")
+@in_utc
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On-time, late and dropped rows of each micro-batch, with the events replayed in order of arrival."""
+    paths = _paths(spark, "late_rows")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrivals/{uuid.uuid4().hex}"
+    out = None
+    for _ in arrivals(spark, sf_dir, folder):
+        out = late_counts(spark, spark.readStream.schema(SCHEMAS["events"]).parquet(f"{folder}/in/*"), paths)
+    return out if out is not None else spark.createDataFrame([], LATE_SCHEMA)
 
 
 # ---------------------------------------------------------------- R7
