@@ -46,10 +46,3 @@ def test_write_partitioned_one_folder_per_role(spark):
     back = spark.read.parquet(f"{d}/out")
     assert sorted(r["role"] for r in back.select("role").distinct().collect()) == ["recent", "test", "train"]
     assert back.where("role = 'test'").count() == 1
-
-
-def test_lake_scan_prunes_partitions(spark, registry):
-    df = registry["lake_scan_bounds"].fn(spark, SMALL)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "ym" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
-    assert df.count() > 0

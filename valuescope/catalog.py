@@ -35,6 +35,7 @@ MODULES = [
     "valuescope.operators.evaluation",
     "valuescope.operators.seeds",
     "valuescope.operators.splits",
+    "valuescope.operators.exports",
     "valuescope.operators.windows",
     "valuescope.operators.ml",
     "valuescope.operators.text",

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..session import ensure_checkpoint_dir
+from .selection import exact_quantiles
 
 DEFAULT_BUCKET_ROWS = 2_000_000
 #: Edge lists and bucket totals up to this many entries (8 bytes each and a key) are broadcast; larger ones are joined by shuffle.
@@ -219,8 +220,9 @@ def quantiles(df: DataFrame, key: str, qs: dict[str, float], tiebreak: str = "vo
     """Exact linear-interpolation quantiles (= percentile_cont) as a 1-row frame.
 
     Small populations (≤ bucket_rows, proven by a count) use the built-in
-    exact ``percentile``; larger ones pick the needed positions from the
-    bucketed global rank, so no task ever holds the whole column.
+    exact ``percentile``; larger ones pick the needed positions by exact
+    selection (two scans, no sort, see ``selection``), so no task ever holds
+    the whole column.
     """
     spark = df.sparkSession
     target = target or bucket_rows(spark)
@@ -229,20 +231,8 @@ def quantiles(df: DataFrame, key: str, qs: dict[str, float], tiebreak: str = "vo
     if n <= target:
         return base.agg(*[F.percentile(F.col(key).cast("double"), q).alias(a) for a, q in qs.items()]) \
             if n > 0 else spark.range(1).select(*[F.lit(None).cast("double").alias(a) for a in qs])
-    r = global_rank(base.select(key, tiebreak), key, desc=False, tiebreak=tiebreak, target=target, n=n)
-    need = {}
-    for a, q in qs.items():
-        pos = (n - 1) * q
-        lo, hi = math.floor(pos), math.ceil(pos)
-        need[a] = (lo + 1, hi + 1, pos - lo)
-    ranks = sorted({p for lo, hi, _ in need.values() for p in (lo, hi)})
-    picked = r.df.where(F.col("rn").isin(ranks)).select("rn", F.col(key).cast("double").alias("v"))
-    outs = []
-    for a, (lo, hi, fr) in need.items():
-        vlo = F.max(F.when(F.col("rn") == lo, F.col("v")))
-        vhi = F.max(F.when(F.col("rn") == hi, F.col("v")))
-        outs.append((vlo + (vhi - vlo) * F.lit(fr)).alias(a))
-    return picked.agg(*outs)
+    v = exact_quantiles(base, key, qs, n, target)
+    return spark.range(1).select(*[F.lit(x).cast("double").alias(a) for a, x in v.items()])
 
 
 def cutoff_values(df: DataFrame, key: str, qs: dict[str, float], where: Column | None = None,

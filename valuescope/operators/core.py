@@ -129,24 +129,29 @@ def attrib_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.attrib_latest(spark, sf_dir)
 
 
+VIP = "1-URGENT"  # stand-in for the channel of VIP logins
+
+
 @job("mart_login_v1", sql=with_mart(f"""
-, lw AS (SELECT coh.vopenid, coh.install_date, MAX(od.d) AS last_d, COUNT(*) AS login_rows
+, lw AS (SELECT coh.vopenid, coh.install_date, MAX(od.d) AS last_d, COUNT(*) AS login_rows,
+           MAX(CASE WHEN od.prio = '{VIP}' THEN 1 ELSE 0 END) AS has_vip
          FROM coh JOIN od ON od.vopenid = coh.vopenid AND od.d < coh.install_date + {M.FEAT_DAYS} GROUP BY 1, 2)
 SELECT vopenid, CAST(install_date + {M.FEAT_DAYS - 1} AS DATE) AS asof_day,
   CAST({M.FEAT_DAYS - 1} - date_diff('day', install_date, last_d) AS INTEGER) AS days_since_last_login,
-  CAST(date_diff('day', install_date, last_d) AS INTEGER) AS last_login_offset, login_rows
+  CAST(date_diff('day', install_date, last_d) AS INTEGER) AS last_login_offset, login_rows, has_vip
 FROM lw"""), family="mart")
 def mart_login_v1(spark: SparkSession, sf_dir: str, feat_days: int = M.FEAT_DAYS) -> DataFrame:
-    """v1 login extras — as-of day of the window, days since the last login inside it."""
+    """v1 login extras — as-of day of the window, days since the last login inside it, a VIP login in the window."""
     daily = M.orders_daily(spark, sf_dir)
     from pyspark.sql import Window
     x = daily.withColumn("install_date", F.min("d").over(Window.partitionBy("vopenid"))) \
         .where(F.col("d") < F.date_add("install_date", feat_days))
-    g = x.groupBy("vopenid", "install_date").agg(F.max("d").alias("last_d"), F.sum("n_rows").alias("login_rows"))
+    g = x.groupBy("vopenid", "install_date").agg(F.max("d").alias("last_d"), F.sum("n_rows").alias("login_rows"),
+                                              F.max(F.when(F.col("prio") == VIP, 1).otherwise(0)).alias("has_vip"))
     off = F.datediff("last_d", "install_date")
     return g.select("vopenid", F.date_add("install_date", feat_days - 1).alias("asof_day"),
                     (F.lit(feat_days - 1) - off).cast("int").alias("days_since_last_login"),
-                    off.cast("int").alias("last_login_offset"), F.col("login_rows").cast("bigint").alias("login_rows"))
+                    off.cast("int").alias("last_login_offset"), F.col("login_rows").cast("bigint").alias("login_rows"), "has_vip")
 
 
 LAKE_DAYS = 180
@@ -159,24 +164,37 @@ SELECT CAST(o_orderdate AS DATE) AS ds, COUNT(*) AS orders,
 FROM orders, b WHERE CAST(o_orderdate AS DATE) >= b.lo AND CAST(o_orderdate AS DATE) < b.lo + {LAKE_DAYS}
 GROUP BY 1""", family="mart")
 def lake_scan_bounds(spark: SparkSession, sf_dir: str, days: int = LAKE_DAYS) -> DataFrame:
-    """The log laid out as a lake table (partitioned by month ``ym``, with the day ``ds`` as a column;
-    written once to the shared folder) and scanned with day bounds: the bounds become a partition filter
-    on ``ym`` (whole months skipped) plus a pushed row-group filter on ``ds``."""
+    """The first days of the log by a range on its raw timestamp, compared with row-group statistics in the scan;
+    on a log that is partitioned by time the same call also skips folders (``Lake``)."""
     import datetime as dt
 
-    from ..plans.mart import materialized
-    from ..sources.tables import read_table
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate", "o_totalprice"])
-
-    def build():
-        x = o.withColumn("ds", F.to_date("o_orderdate")).withColumn("ym", F.date_format("ds", "yyyy-MM"))
-        # ≤ 8 tasks (and files) per month: no single task writes a hot month alone
-        return x.repartition("ym", F.pmod(F.xxhash64("o_orderkey"), F.lit(8)))
-    lake = materialized(spark, "orders_by_month", sf_dir, ("orders",), ("ym",), build, partition_by="ym")
-    lo = o.agg(F.min(F.to_date("o_orderdate"))).first()[0]
-    hi = lo + dt.timedelta(days=days)
-    months = (F.col("ym") >= F.lit(lo.strftime("%Y-%m"))) & (F.col("ym") <= F.lit((hi - dt.timedelta(days=1))
-                                                                                   .strftime("%Y-%m")))
-    x = lake.where(months & (F.col("ds") >= F.lit(lo)) & (F.col("ds") < F.lit(hi)))
+    from ..sources.tables import SCHEMAS, Lake, read_table, table_path
+    lo = read_table(spark, sf_dir, "orders", ["o_orderdate"]).agg(F.min("o_orderdate")).first()[0]
+    log = Lake(table_path(sf_dir, "orders"), "o_orderdate", schema=SCHEMAS["orders"])
+    lo = lo.date() if lo else dt.date(1970, 1, 1)
+    x = log.between(spark, lo, lo + dt.timedelta(days=days)).select(F.to_date("o_orderdate").alias("ds"), "o_totalprice")
     return round_doubles(x.groupBy("ds").agg(F.count(F.lit(1)).alias("orders"),
                                              money_sum("o_totalprice").alias("amount")))
+
+
+@job("game_features_bucketed", sql=with_mart("""
+SELECT vopenid, CAST(g_games AS BIGINT) AS games, CAST(g_wins AS BIGINT) AS wins, ROUND(CAST(g_score AS DOUBLE), 6) AS score,
+  g_lines AS lines, g_maxline AS maxline FROM gfe"""), family="mart")
+def game_features_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gameplay features over logs that are bucketed by order key; the join of the two logs needs no exchange."""
+    g = M.game_features(spark, sf_dir, M.order_features(spark, sf_dir), read=M.bucketed_logs(spark, sf_dir))
+    return round_doubles(g.select("vopenid", F.col("g_games").alias("games"), F.col("g_wins").alias("wins"),
+                                  F.col("g_score").cast("double").alias("score"), F.col("g_lines").alias("lines"), F.col("g_maxline").alias("maxline")))
+
+
+@job("payer_orders_filtered", sql=with_mart("""
+SELECT CAST(l.l_shipdate AS DATE) AS day, COUNT(*) AS games, COUNT(DISTINCT l.l_orderkey) AS orders
+FROM lineitem l WHERE l.l_orderkey IN (SELECT roleid FROM mart WHERE rev_d7 > 0) GROUP BY 1"""), family="mart")
+def payer_orders_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gameplay of the first orders of D7 payers: a semi-join on a long key list, with a Bloom filter of the keys before the shuffle."""
+    from ..functions.bloom import filtered_semi_join
+    from ..sources.tables import read_table
+    keys = M.user_mart(spark, sf_dir).where("rev_d7 > 0").select(F.col("roleid").alias("l_orderkey"))
+    li = filtered_semi_join(read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_shipdate"]), keys, "l_orderkey")
+    per = li.groupBy(F.to_date("l_shipdate").alias("day"), "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("day").agg(F.sum("n").alias("games"), F.count(F.lit(1)).alias("orders"))

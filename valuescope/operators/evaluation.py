@@ -178,6 +178,47 @@ def capture_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d > 0, "better").when(d < 0, "worse").otherwise("same").alias("verdict")))
 
 
+LATE_K10 = [5, 10, 50]   # 0.5 %, 1 %, 5 %
+VERDICT_K10 = 50
+#: Extra share of the segment's revenue at 5 % that counts as meaningful, and as moderate.
+MEANINGFUL, MODERATE = 0.03, 0.01
+
+
+def incremental_lift(r, st, challengers: list[str] | None = None) -> DataFrame:
+    """Each challenger against each heuristic at each K: capture, lift, revenue of the lift, and the verdict of the
+    lift at 5 % (one row a strategy, heuristic and K: strategies x 5 x 3)."""
+    x = _at_positions(r, st, LATE_K10).select(
+        "strategy", "k10", "total", F.try_divide(F.col("cum"), F.nullif("total", F.lit(0.0))).alias("cap"))
+    h = x.where(F.col("strategy").isin(HEURISTICS)).select(F.col("strategy").alias("heuristic"), "k10", F.col("cap").alias("hcap"))
+    if challengers:
+        x = x.where(F.col("strategy").isin(challengers))
+    j = x.join(h, "k10").where("strategy <> heuristic")
+    lift = F.col("cap") - F.col("hcap")
+    at = F.max(F.when(F.col("k10") == VERDICT_K10, lift)).over(Window.partitionBy("strategy", "heuristic"))
+    verdict = F.when(at > MEANINGFUL, "meaningful").when(at > MODERATE, "moderate").otherwise("limited")
+    return j.select("strategy", "heuristic", (F.col("k10") / 10.0).alias("k_pct"), (F.col("cap") * 100.0).alias("capture_pct"),
+                    (F.col("hcap") * 100.0).alias("heuristic_pct"), (lift * 100.0).alias("lift_pct"), (lift * F.col("total")).alias("incremental_revenue"),
+                    verdict.alias("verdict"))
+
+
+@job("capture_incremental_late", sql=with_mart(f"""
+, k AS (SELECT unnest({LATE_K10}) AS k10),
+c AS (SELECT st.strategy, k.k10, st.total, rk.cum / NULLIF(st.total, 0.0) AS cap
+      FROM st CROSS JOIN k JOIN rk ON rk.strategy = st.strategy AND rk.rn = {_k_sql('st.n', 'k.k10')}),
+j AS (SELECT c.strategy, h.strategy AS heuristic, c.k10, c.total, c.cap, h.cap AS hcap,
+        MAX(CASE WHEN c.k10 = {VERDICT_K10} THEN c.cap - h.cap END) OVER (PARTITION BY c.strategy, h.strategy) AS at5
+      FROM c JOIN c h ON h.k10 = c.k10 AND h.strategy IN ({', '.join(repr(x) for x in HEURISTICS)}) AND h.strategy <> c.strategy)
+SELECT strategy, heuristic, {_r('k10 / 10.0', 'k_pct')}, {_r('cap * 100.0', 'capture_pct')}, {_r('hcap * 100.0', 'heuristic_pct')},
+  {_r('(cap - hcap) * 100.0', 'lift_pct')}, {_r('(cap - hcap) * total', 'incremental_revenue')},
+  CASE WHEN at5 > {MEANINGFUL} THEN 'meaningful' WHEN at5 > {MODERATE} THEN 'moderate' ELSE 'limited' END AS verdict
+FROM j""", _sql_scores("rev_d7 = 0")))
+def capture_incremental_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 among users without D7 revenue: every strategy against every heuristic, with the 3 % / 1 % verdict.
+    The trained model takes its place among the strategies in ``model_incremental_late``."""
+    _, r, st = ranked_scores(spark, sf_dir, where=F.col("rev_d7") == 0)
+    return round_doubles(incremental_lift(r, st))
+
+
 # ---------------------------------------------------------------- E4
 PR_KS = [1, 5, 10, 20]
 HIGH_Q = 0.95

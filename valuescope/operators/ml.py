@@ -10,6 +10,7 @@ checked by row count and invariants (tests), not by a SQL twin.
 
 from __future__ import annotations
 
+import functools
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import job
 from ..functions.exprs import count_if, money_avg, money_sum, round_doubles
-from ..functions.ranking import cutoff_values
-from ..plans.mart import user_mart
+from ..functions.ranking import cutoff_values, global_rank, group_quantiles
+from ..plans.mart import _source_fingerprint, user_mart
 from ..plans.windows import WINDOW_FEATURES, WINDOWS, window_mart
 from ..session import ensure_checkpoint_dir
 from .splits import MATURITY_DAYS, _dump, assign_roles, user_hash
@@ -38,6 +39,7 @@ GAMEPLAY = ["games_d7", "win_rate_d7", "avg_game_duration_d7", "avg_score_d7", "
 LOGIN = ["login_rows_d7", "active_days_d7", "loginchannel_variety_d7"]
 ATTRIBUTION = ["media_source", "first_country_code", "first_os"]
 NUMERIC = PAYMENT + GAMEPLAY + LOGIN
+GROUPS = {"payment": PAYMENT, "gameplay": GAMEPLAY, "login": LOGIN, "attribution": ATTRIBUTION}
 
 # Model sizes of the reference.
 GBT_TREES, GBT_DEPTH, GBT_STEP = 200, 6, 0.05
@@ -54,47 +56,151 @@ def _prepared(m: DataFrame) -> DataFrame:
         .withColumn("label", F.log1p(F.greatest(F.col("ltv30"), F.lit(0.0))))
 
 
+def feature_columns(groups=tuple(GROUPS)) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) columns of the chosen feature groups."""
+    unknown = [g for g in groups if g not in GROUPS]
+    if unknown or not groups:
+        raise ValueError(f"feature groups are {sorted(GROUPS)}, not {unknown}")
+    cols = [c for g in GROUPS if g in groups for c in GROUPS[g]]
+    return [c for c in cols if c not in ATTRIBUTION], [c for c in cols if c in ATTRIBUTION]
+
+
 def pltv_pipeline(trees: int = GBT_TREES, depth: int = GBT_DEPTH, step: float = GBT_STEP,
-                  bins: int = BINS) -> Pipeline:
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in ATTRIBUTION]
-    vec = VectorAssembler(inputCols=NUMERIC + [f"{c}_idx" for c in ATTRIBUTION], outputCol="features",
+                  bins: int = BINS, groups=tuple(GROUPS)) -> Pipeline:
+    numeric, categories = feature_columns(groups)
+    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in categories]
+    vec = VectorAssembler(inputCols=numeric + [f"{c}_idx" for c in categories], outputCol="features",
                           handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=step,
                        seed=SEED, checkpointInterval=10, maxBins=bins)
     return Pipeline(stages=idx + [vec, gbt])
 
 
+class NoCohort(ValueError):
+    """No cohort is old enough to learn from."""
+
+
+def or_empty(schema: str):
+    """A job that gives an empty frame of ``schema`` where there is no mature cohort: no scores, rather than those of a
+    model of another population."""
+    def deco(fn):
+        @functools.wraps(fn)
+        def run(spark: SparkSession, *a, **k) -> DataFrame:
+            try:
+                return fn(spark, *a, **k)
+            except NoCohort:
+                return spark.createDataFrame([], schema)
+        return run
+    return deco
+
+
 _MODELS: dict = {}
 
 
-def _train(spark, sf_dir, maturity_days=MATURITY_DAYS):
-    """Fit the pLTV pipeline once per application and input (reused by the scoring jobs)."""
+def _train(spark, sf_dir, maturity_days=MATURITY_DAYS, groups=tuple(GROUPS)):
+    """Fit the pLTV pipeline once per application, input and feature groups (reused by the scoring jobs).
+    Without a mature cohort there is nothing to learn from: this raises, and no other population is taken."""
     m = user_mart(spark, sf_dir)
     x = _prepared(assign_roles(m, _dump(m), maturity_days))
-    key = (spark.sparkContext.applicationId, sf_dir, maturity_days)
+    key = (spark.sparkContext.applicationId, _source_fingerprint(sf_dir), maturity_days, tuple(sorted(groups)))
     if key not in _MODELS:
         train = x.where(F.col("role") == "train")
-        if train.limit(1).count() == 0:
-            # no cohort is older than the maturity window (tiny inputs): fall back to an
-            # 80 % user-hash split of all labelled users so the model can still be fitted
-            train = x.where(F.pmod(user_hash(), F.lit(100)) < 80)
-        labels = train.agg(*[F.count_distinct(c) for c in ATTRIBUTION]).first()
-        _MODELS[key] = pltv_pipeline(bins=max(BINS, *labels) + 1).fit(train)  # one more for unseen labels
+        if train.isEmpty():
+            raise NoCohort(f"no train cohort is {maturity_days} days old")
+        categories = feature_columns(groups)[1]
+        labels = train.agg(F.lit(0), *[F.count_distinct(c) for c in categories]).first()
+        _MODELS[key] = pltv_pipeline(bins=max(BINS, *labels) + 1, groups=groups).fit(train)  # one more for unseen labels
     return x, _MODELS[key]
 
 
+def _predicted(model, x: DataFrame) -> DataFrame:
+    return model.transform(x).withColumn("pred", F.greatest(F.expm1("prediction"), F.lit(0.0)))
+
+
 @job("pltv_train_score", sql=None)
-def pltv_train_score(spark: SparkSession, sf_dir: str, save: bool = True) -> DataFrame:
-    """Train on the mature train split, score every user (expm1 of the log prediction).
-    The fitted PipelineModel is saved under the shared checkpoint folder (M6)."""
-    x, model = _train(spark, sf_dir)
+@or_empty("vopenid bigint, role string, predicted_ltv30 double, ltv30 double")
+def pltv_train_score(spark: SparkSession, sf_dir: str, save: bool = True, groups=tuple(GROUPS)) -> DataFrame:
+    """Train on the mature train split with the chosen feature groups, score every user (expm1 of the log
+    prediction). The fitted PipelineModel is saved under the shared checkpoint folder (M6)."""
+    x, model = _train(spark, sf_dir, groups=groups)
     if save:
         model.write().overwrite().save(f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/pltv_gbt")
     s = model.transform(x)
     return round_doubles(s.select("vopenid", "role", F.greatest(F.expm1(F.col("prediction")), F.lit(0.0)).alias("predicted_ltv30"), "ltv30"))
 
 
+@job("pltv_top_users", sql=None)
+@or_empty("rank bigint, vopenid bigint, role string, media_source string, rev_d7 double, predicted_ltv30 double, "
+          "ltv30 double")
+def pltv_top_users(spark: SparkSession, sf_dir: str, top_pct: int = 1) -> DataFrame:
+    """L2: the top 1 % of all users by predicted value, ranked (the percentage is the feature)."""
+    x, model = _train(spark, sf_dir)
+    r = global_rank(_predicted(model, x).select("vopenid", "role", "media_source", "rev_d7", "ltv30", "pred"), "pred", desc=True)
+    k = max(1, (r.n * top_pct) // 100)
+    return round_doubles(r.df.where(F.col("rn") <= k).select(
+        F.col("rn").alias("rank"), "vopenid", "role", "media_source", "rev_d7", F.col("pred").alias("predicted_ltv30"), "ltv30"))
+
+
+@job("model_incremental_late", sql=None)
+@or_empty("strategy string, heuristic string, k_pct double, capture_pct double, heuristic_pct double, "
+          "lift_pct double, incremental_revenue double, verdict string")
+def model_incremental_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 with the trained model: among held-out users without D7 revenue, the model against each heuristic at 0.5, 1 and
+    5 %, with the 3 % / 1 % verdict."""
+    from .evaluation import evaluate_scores, incremental_lift, score_frame
+    x, model = _train(spark, sf_dir)
+    test = x.where((F.col("role") == "test") & (F.col("rev_d7") == 0))
+    pred = _predicted(model, test).select(F.lit("model").alias("strategy"), "vopenid", F.col("pred").alias("score"), F.col("ltv30").alias("actual"))
+    return round_doubles(incremental_lift(*evaluate_scores(score_frame(test).unionByName(pred)), ["model"]))
+
+
+MODEL_TOP = [1, 5, 10]
+
+
+def _seed_rows(seeds: DataFrame, keys: list[str]) -> DataFrame:
+    """Size, value and whale capture of the seed rows (keys, ltv30, whale, whales)."""
+    return seeds.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("seed_size"), money_avg("ltv30").alias("avg_ltv"),
+        (count_if(F.col("ltv30") > 0).cast("double") / F.count(F.lit(1))).alias("payer_rate"), money_sum("ltv30").alias("total_revenue"),
+        F.try_divide(count_if(F.col("whale")).cast("double"), F.nullif(F.max("whales").cast("double"), F.lit(0.0))).alias("whale_capture"))
+
+
+@job("seed_strategies_model", sql=None)
+@or_empty("strategy string, seed_size bigint, avg_ltv double, payer_rate double, total_revenue double, "
+          "whale_capture double")
+def seed_strategies_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 with the model: D7 payers and the top 1, 5 and 10 % of the others by predicted value (whale = p90 of all users)."""
+    x, model = _train(spark, sf_dir)
+    s = _predicted(model, x).select("vopenid", "rev_d7", "ltv30", "pred")
+    t = cutoff_values(s, "ltv30", {"t": 0.9})["t"]
+    s = s.withColumn("whale", (F.col("ltv30") > 0) & (F.col("ltv30") >= F.lit(t)))
+    cuts = cutoff_values(s, "pred", {str(k): 1 - k / 100 for k in MODEL_TOP}, where=F.col("rev_d7") == 0)
+    whales = s.where("whale").count()
+    chosen = F.array(*[F.when((F.col("rev_d7") > 0) | (F.col("pred") >= F.lit(cuts[str(k)])), F.lit(f"+ Top {k}% pLTV")) for k in MODEL_TOP])
+    seeds = s.select("ltv30", "whale", F.lit(whales).alias("whales"), F.explode(F.array_compact(chosen)).alias("strategy"))
+    return round_doubles(_seed_rows(seeds, ["strategy"]))
+
+
+@job("seed_weekly_model", sql=None)
+@or_empty("week date, strategy string, seed_size bigint, avg_ltv double, payer_rate double, total_revenue double, "
+          "whale_capture double")
+def seed_weekly_model(spark: SparkSession, sf_dir: str, min_users: int = 10) -> DataFrame:
+    """G2 with the model: per install week, D7 payers and the top 5 % of the others by predicted value (whale = p90 of the week)."""
+    x, model = _train(spark, sf_dir)
+    s = _predicted(model, x).select("vopenid", "rev_d7", "ltv30", "pred", F.date_trunc("week", "install_date").cast("date").alias("week"))
+    s = s.withColumn("pred_zero", F.when(F.col("rev_d7") == 0, F.col("pred")))
+    wk = s.groupBy("week").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_users)
+    wk = wk.join(group_quantiles(s, "week", "ltv30", {"wt": 0.9}), "week", "left") \
+        .join(group_quantiles(s, "week", "pred_zero", {"pt": 0.95}), "week", "left")
+    s = s.join(wk, "week").withColumn("whale", (F.col("ltv30") > 0) & (F.col("ltv30") >= F.col("wt")))
+    whales = s.groupBy("week").agg(count_if(F.col("whale")).alias("whales"))
+    seeds = s.where((F.col("rev_d7") > 0) | (F.col("pred_zero") >= F.col("pt"))).join(whales, "week").withColumn("strategy", F.lit("+ Top 5% pLTV"))
+    return round_doubles(_seed_rows(seeds, ["week", "strategy"]))
+
+
 @job("model_metadata", sql=None)
+@or_empty("model_type string, dataset_size bigint, n_features int, features array<string>, numeric_features array<string>, "
+          "categorical_features array<string>, feature_importances map<string,double>, hyperparameters map<string,string>")
 def model_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: one metadata row for the fitted pLTV model (type, rows, features, importances, hyper-parameters)."""
     x, model = _train(spark, sf_dir)
@@ -112,6 +218,7 @@ def model_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job("feature_importance", sql=None)
+@or_empty("feature string, importance double, rank int")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3: ranked feature importances of the pLTV model."""
     _, model = _train(spark, sf_dir)
@@ -124,12 +231,11 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job("model_scorecard", sql=None)
+@or_empty("grp string, lift_at_10 double, users bigint, spearman double, rmse double, r2 double")
 def model_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E7 for the trained model on the held-out test split: Spearman, Lift@10, RMSE, R²."""
     x, model = _train(spark, sf_dir)
     test = x.where(F.col("role") == "test")
-    if test.limit(1).count() == 0:
-        test = x.where(F.pmod(user_hash(), F.lit(100)) >= 80)
     s = model.transform(test).withColumn("pred", F.greatest(F.expm1("prediction"), F.lit(0.0)))
     return round_doubles(_regression_metrics(s, "pred", "ltv30"))
 
@@ -151,19 +257,28 @@ def _regression_metrics(s: DataFrame, pred: str, actual: str, group: str | None
 
 # ---------------------------------------------------------------- L4 / A24
 
+_CHURN: dict = {}
+
+
+def stratified_test(x: DataFrame, label: str, share: int = 20) -> DataFrame:
+    """With ``is_test``: exactly ``share`` percent (rounded down) of each class, by the order of the user hash."""
+    r = global_rank(x.withColumn("_h", user_hash().cast("double")), "_h", desc=False, group=label)
+    most = r.counts.select(F.col(label).alias("_l"), F.floor(F.col("c") * share / 100).alias("_k"))  # a row a class
+    return r.df.join(F.broadcast(most), F.col(label) == F.col("_l")).withColumn("is_test", F.col("rn") <= F.col("_k")).drop("_h", "_l", "_k", "rn")
+
+
 def _churn_model(spark, sf_dir):
+    """Scored D7 payers; the classifier is fitted once per application and input."""
     m = user_mart(spark, sf_dir).where(F.col("rev_d7") > 0)
     med = cutoff_values(m, "ltv30", {"m": 0.5})["m"]
-    x = _prepared(m).withColumn("low_growth", (F.col("ltv30") <= F.lit(med)).cast("double"))
-    # stratified 80/20 split: the user hash is independent of the label, so each class splits 80/20
-    x = x.withColumn("is_test", F.pmod(user_hash(), F.lit(100)) >= 80)
-    feats = [c for c in NUMERIC if c not in ("rev_d7",)] + ["rev_d7"]
-    vec = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-    clf = GBTClassifier(featuresCol="features", labelCol="low_growth", maxIter=CHURN_TREES, maxDepth=CHURN_DEPTH,
-                        stepSize=CHURN_STEP, subsamplingRate=SUBSAMPLE, seed=SEED, checkpointInterval=10)
-    model = Pipeline(stages=[vec, clf]).fit(x.where(~F.col("is_test")))
-    scored = model.transform(x).withColumn("churn_score", vector_to_array("probability")[1])
-    return scored
+    x = stratified_test(_prepared(m).withColumn("low_growth", (F.col("ltv30") <= F.lit(med)).cast("double")), "low_growth")
+    key = (spark.sparkContext.applicationId, _source_fingerprint(sf_dir))
+    if key not in _CHURN:
+        vec = VectorAssembler(inputCols=NUMERIC, outputCol="features", handleInvalid="keep")
+        clf = GBTClassifier(featuresCol="features", labelCol="low_growth", maxIter=CHURN_TREES, maxDepth=CHURN_DEPTH,
+                            stepSize=CHURN_STEP, subsamplingRate=SUBSAMPLE, seed=SEED, checkpointInterval=10)
+        _CHURN[key] = Pipeline(stages=[vec, clf]).fit(x.where(~F.col("is_test")))
+    return _CHURN[key].transform(x).withColumn("churn_score", vector_to_array("probability")[1])
 
 
 @job("churn_train_score", sql=None)
@@ -285,14 +400,13 @@ MODEL_K10 = [10, 30, 50, 100]  # 1 %, 3 %, 5 %, 10 %
 
 
 @job("model_vs_heuristics", sql=None)
+@or_empty("strategy string, k_pct int, capture_pct double, model_gain_pct double, model_incremental_revenue double")
 def model_vs_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2/E3 with the trained model: capture of the top K% on held-out users for the model, the five
     heuristics, random and the oracle, plus each strategy's capture and revenue gap to the model."""
     from .evaluation import _at_positions, evaluate_scores, score_frame
     x, model = _train(spark, sf_dir)
     test = x.where(F.col("role") == "test")
-    if test.limit(1).count() == 0:
-        test = x.where(F.pmod(user_hash(), F.lit(100)) >= 80)
     pred = model.transform(test).select(
         F.lit("model").alias("strategy"), "vopenid",
         F.greatest(F.expm1("prediction"), F.lit(0.0)).alias("score"), F.col("ltv30").alias("actual"))

@@ -244,13 +244,16 @@ SEED_LIST_PCT = 5
 RECENT_DAYS = 1460
 
 
-@job("seed_list_topk", sql=with_mart(f"""
+SEED_LIST_SQL = with_mart(f"""
 , rec AS (SELECT mart.* FROM mart, dump WHERE date_diff('day', install_date, dump.as_of) < {RECENT_DAYS}),
 sc AS (SELECT rec.*, rev_d7 + games_d7 / (MAX(games_d7) OVER () + 1.0) AS score FROM rec),
 r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, vopenid) AS seed_rank FROM sc)
 SELECT seed_rank, vopenid, install_date, media_source, first_os, {_r('rev_d7', 'rev_d7')}, games_d7, active_days_d7,
   {_r('score', 'score')}
-FROM r WHERE seed_rank <= GREATEST(1, ((SELECT COUNT(*) FROM rec) * {SEED_LIST_PCT}) // 100)""", AS_OF_SQL))
+FROM r WHERE seed_rank <= GREATEST(1, ((SELECT COUNT(*) FROM rec) * {SEED_LIST_PCT}) // 100)""", AS_OF_SQL)
+
+
+@job("seed_list_topk", sql=SEED_LIST_SQL)
 def seed_list_topk(spark: SparkSession, sf_dir: str, top_pct: int = SEED_LIST_PCT,
                    recent_days: int = RECENT_DAYS) -> DataFrame:
     """Ranked seed list of recent (unlabelled) users — score = D7 revenue, games as tie-breaker signal.
@@ -265,8 +268,3 @@ def seed_list_topk(spark: SparkSession, sf_dir: str, top_pct: int = SEED_LIST_PC
     return round_doubles(r.df.where(F.col("rn") <= k).select(
         F.col("rn").alias("seed_rank"), "vopenid", "install_date", "media_source", "first_os", "rev_d7", "games_d7",
         "active_days_d7", "score"))
-
-
-def export_seed_list(df: DataFrame, path: str) -> None:
-    """Write the ranked list (CSV with header, one file per partition)."""
-    df.write.mode("overwrite").option("header", "true").csv(path)

@@ -320,12 +320,12 @@ def ttp_opportunity(spark: SparkSession, sf_dir: str, shift: float = 0.1) -> Dat
 CWQ_FEATS = ["games_d7", "active_days_d7", "win_rate_d7", "kd_d7"]
 
 
-def _cwq_spark(spark, sf_dir, min_users):
+def _cwq_spark(spark, sf_dir, min_users, dim="media_source"):
     m = user_mart(spark, sf_dir)
     c = cutoff_values(m, "ltv30", {"p99": 0.99, "p95": 0.95})
     v = F.col("ltv30")
-    x = m.withColumn("media_source", F.coalesce(F.col("media_source"), F.lit("unknown")))
-    g = x.groupBy("media_source").agg(
+    x = m.withColumn(dim, F.coalesce(F.col(dim), F.lit("unknown")))
+    g = x.groupBy(dim).agg(
         _n().alias("users"), money_avg("ltv30").alias("arpu"), money_sum("ltv30").alias("total_ltv"),
         pct(count_if(v > 0), _n()).alias("payer_rate_pct"),
         pct(count_if((v > 0) & (v >= c["p95"])), _n()).alias("whale_rate_pct"),
@@ -336,7 +336,7 @@ def _cwq_spark(spark, sf_dir, min_users):
     g = g.where(F.col("users") >= min_users)
     # benchmark = the largest channel (stand-in for 'organic'); ≤ #channels rows
     w = Window.partitionBy()
-    bench = F.first(F.col("whale_rate_pct")).over(w.orderBy(F.col("users").desc(), "media_source")
+    bench = F.first(F.col("whale_rate_pct")).over(w.orderBy(F.col("users").desc(), dim)
                                                   .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return g.withColumn("whale_rate_vs_benchmark",
                         F.try_divide(F.col("whale_rate_pct") * 100.0, F.nullif(bench, F.lit(0.0))))
@@ -365,6 +365,22 @@ def channel_whale_quality(spark: SparkSession, sf_dir: str, min_users: int = CHA
     return round_doubles(_cwq_spark(spark, sf_dir, min_users))
 
 
+OS_BENCHMARK = "EUROPE"
+
+
+@job("os_whale_quality", sql=with_mart(f"""
+SELECT first_os, users, {_r('arpu', 'arpu')}, {_r('total_ltv', 'total_ltv')}, {_r('payer_rate_pct', 'payer_rate_pct')},
+  {_r('whale_rate_pct', 'whale_rate_pct')}, {_r('mega_whale_rate_pct', 'mega_whale_rate_pct')}, {_r('rev_share_pct', 'rev_share_pct')},
+  {_r("whale_rate_pct * 100.0 / NULLIF((SELECT whale_rate_pct FROM g WHERE first_os = '" + OS_BENCHMARK + "'), 0.0)", 'whale_rate_vs_benchmark')}
+FROM g""", Q_ALL + CWQ_SQL.split("gb AS")[0].rstrip().rstrip(",").replace("media_source", "first_os")))
+def os_whale_quality(spark: SparkSession, sf_dir: str, min_users: int = CHANNEL_MIN_USERS, benchmark: str = OS_BENCHMARK) -> DataFrame:
+    """The same by operating system, against a chosen benchmark (null where the benchmark has too few users)."""
+    g = _cwq_spark(spark, sf_dir, min_users, "first_os")
+    bench = F.max(F.when(F.col("first_os") == benchmark, F.col("whale_rate_pct"))).over(Window.partitionBy())  # one row a system
+    g = g.withColumn("whale_rate_vs_benchmark", F.try_divide(F.col("whale_rate_pct") * 100.0, F.nullif(bench, F.lit(0.0))))
+    return round_doubles(g.drop(*["avg_" + f for f in CWQ_FEATS]))
+
+
 @job("channel_quadrants", sql=with_mart(f"""
 SELECT media_source, {_r('whale_rate_pct', 'whale_rate_pct')}, {_r('arpu', 'arpu')},
   CASE WHEN whale_rate_pct >= mw AND arpu >= ma THEN 'Stars' WHEN arpu >= ma THEN 'Cash Cows'

@@ -16,7 +16,6 @@ from ..catalog import job
 from ..functions.exprs import count_if, money_avg, money_sum, round_doubles
 from ..functions.ranking import cutoff_values, global_rank
 from ..plans.mart import MART_COLUMNS, user_mart
-from ..sources.tables import write_partitioned
 from ..twins import with_mart
 from .cohorts import _ma, _ms, _r
 
@@ -66,12 +65,6 @@ def split_maturity(spark: SparkSession, sf_dir: str, maturity_days: int = MATURI
     return assign_roles(m, _dump(m), maturity_days).select("vopenid", "install_date", "role")
 
 
-def write_splits(spark: SparkSession, sf_dir: str, path: str, maturity_days: int = MATURITY_DAYS) -> None:
-    """The mart written once, one folder per role."""
-    m = user_mart(spark, sf_dir)
-    write_partitioned(assign_roles(m, _dump(m), maturity_days), path, "role")
-
-
 @job("split_summary", sql=with_mart(f"""
 SELECT role, COUNT(*) AS users, {_r('CAST(COUNT(*) AS DOUBLE) * 100.0 / SUM(COUNT(*)) OVER ()', 'share_pct')},
   MIN(install_date) AS first_date, MAX(install_date) AS last_date,

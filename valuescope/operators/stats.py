@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..catalog import job
 from ..functions.exprs import money_sum, pearson, round_doubles
 from ..functions.ranking import global_rank, mid_ranks, prefix_sums_at, quantiles
+from ..functions.tails import sql_t_two_sided, t_two_sided
 from ..plans.mart import user_mart
 from ..twins import pearson as sql_pearson
 from ..twins import with_mart
@@ -302,17 +303,18 @@ SPEND = ["rev_d7", "ltv30", "txn_cnt_d7"]
 MIN_PAIRS = 30
 
 
-@job("skill_spend_matrix", sql=with_mart(" UNION ALL ".join(f"""
-SELECT '{sk}' AS skill_feature, '{sp}' AS spend_feature, n, ROUND(rho, 6) AS spearman,
-  ROUND(rho * SQRT((n - 2) / NULLIF(1.0 - rho * rho, 0.0)), 6) AS t_stat,
-  CAST(ABS(rho * SQRT((n - 2) / NULLIF(1.0 - rho * rho, 0.0))) > 1.96 AS INTEGER) AS significant
+@job("skill_spend_matrix", sql=with_mart("SELECT skill_feature, spend_feature, n, ROUND(rho, 6) AS spearman, ROUND(t, 6) AS t_stat, "
+                                         "ROUND(p, 6) AS p_value, CAST(p < 0.05 AS INTEGER) AS significant FROM (SELECT *, "
+                                         + sql_t_two_sided("t", "(n - 2.0)") + " AS p FROM (" + " UNION ALL ".join(f"""
+SELECT '{sk}' AS skill_feature, '{sp}' AS spend_feature, n, rho,
+  rho * SQRT((n - 2) / NULLIF(1.0 - rho * rho, 0.0)) AS t
 FROM (SELECT COUNT(*) AS n, {sql_pearson('rx', 'ry')} AS rho FROM (
   SELECT RANK() OVER (ORDER BY {sk}) + (COUNT(*) OVER (PARTITION BY {sk}) - 1) / 2.0 AS rx,
          RANK() OVER (ORDER BY {sp}) + (COUNT(*) OVER (PARTITION BY {sp}) - 1) / 2.0 AS ry
   FROM mart WHERE {sk} IS NOT NULL AND {sp} IS NOT NULL AND {sk} >= 0 AND {sp} >= 0) t) u
-WHERE n >= {MIN_PAIRS}""" for sk in SKILL for sp in SPEND)))
+WHERE n >= {MIN_PAIRS}""" for sk in SKILL for sp in SPEND) + ") w) z"))
 def skill_spend_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spearman skill × spend over non-negative complete pairs (n ≥ 30), t statistic, |t| > 1.96 flag."""
+    """Spearman skill × spend over non-negative complete pairs (n ≥ 30), t statistic, two-sided p-value, p < 0.05 flag."""
     m = user_mart(spark, sf_dir).select(*SKILL, *SPEND)
     pairs = [F.struct(F.lit(sk).alias("sk"), F.lit(sp).alias("sp"), F.col(sk).cast("double").alias("x"),
                       F.col(sp).cast("double").alias("y")) for sk in SKILL for sp in SPEND]
@@ -321,6 +323,7 @@ def skill_spend_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = spearman_long(long, "pair").where(F.col("n") >= MIN_PAIRS)
     t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - F.lit(2.0), F.nullif(1.0 - F.col("rho") * F.col("rho"),
                                                                                F.lit(0.0))))
+    p = t_two_sided(t, F.col("n") - 2)
     return round_doubles(r.select(
         F.split("pair", "[|]").getItem(0).alias("skill_feature"), F.split("pair", "[|]").getItem(1).alias("spend_feature"),
-        "n", F.col("rho").alias("spearman"), t.alias("t_stat"), (F.abs(t) > 1.96).cast("int").alias("significant")))
+        "n", F.col("rho").alias("spearman"), t.alias("t_stat"), p.alias("p_value"), (p < 0.05).cast("int").alias("significant")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog import job
 from ..functions.exprs import count_if, money_avg, money_sum, pct, round_doubles
 from ..functions.ranking import cutoff_values, group_quantiles
+from ..functions.tails import sql_t_two_sided, t_two_sided
 from ..plans.mart import LABEL_DAYS, user_mart
 from ..sources.tables import read_table
 from ..twins import with_mart
@@ -142,20 +143,25 @@ def dow_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREND_METRICS = ["arpu_d30", "payer_rate_d30", "late_payer_rate", "mean_games", "d7_d30_ratio"]
 
 
-@job("cohort_trend", sql=with_mart(" UNION ALL ".join(f"""
-SELECT '{mt}' AS metric, COUNT(*) AS n, {_r(f'regr_slope({mt}, x)', 'slope')},
-  {_r(f'regr_intercept({mt}, x)', 'intercept')}, {_r(f'regr_r2({mt}, x)', 'r2')}
-FROM (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY install_date) - 1 AS DOUBLE) AS x FROM daily) t""" for mt in TREND_METRICS),
-                                      AS_OF_SQL + DAILY_SQL))
+@job("cohort_trend", sql=with_mart("SELECT metric, n, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in ("slope", "intercept", "r2")) + ", "
+                                   "ROUND(t, 6) AS t_stat, ROUND(" + sql_t_two_sided("t", "(n - 2.0)") + ", 6) AS p_value FROM ("
+                                   "SELECT *, SIGN(slope) * SQRT(r2 * (n - 2) / NULLIF(1.0 - r2, 0.0)) AS t FROM ("
+                                   + " UNION ALL ".join(f"""
+SELECT '{mt}' AS metric, COUNT({mt}) AS n, regr_slope({mt}, x) AS slope, regr_intercept({mt}, x) AS intercept, regr_r2({mt}, x) AS r2
+FROM (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY install_date) - 1 AS DOUBLE) AS x FROM daily) t""" for mt in TREND_METRICS) + ") v) w",
+                                   AS_OF_SQL + DAILY_SQL))
 def cohort_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linear trend of daily metrics over the cohort index (slope, intercept, R²)."""
+    """Linear trend of daily metrics over the cohort index: slope, intercept, R², t and two-sided p-value of the
+    slope. ``n`` counts the days that have the metric."""
     d = daily_frame(spark, sf_dir).withColumn(
         "x", (F.row_number().over(Window.orderBy("install_date")) - 1).cast("double"))
     long = d.select("x", *[F.col(c).cast("double").alias(c) for c in TREND_METRICS]) \
         .unpivot(["x"], TREND_METRICS, "metric", "y")
-    return round_doubles(long.groupBy("metric").agg(
-        F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"),
-        F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2")))
+    g = long.groupBy("metric").agg(
+        F.count("y").alias("n"), F.regr_slope("y", "x").alias("slope"),
+        F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
+    t = F.sign("slope") * F.sqrt(F.try_divide(F.col("r2") * (F.col("n") - 2.0), F.nullif(1.0 - F.col("r2"), F.lit(0.0))))
+    return round_doubles(g.withColumn("t_stat", t).withColumn("p_value", t_two_sided(F.col("t_stat"), F.col("n") - 2)))
 
 
 @job("temporal_stability", sql=with_mart(f"""

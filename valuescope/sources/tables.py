@@ -1,4 +1,4 @@
-"""Readers, writers, schema checks.
+"""Readers, day-bounded lake scans, tables bucketed by key, schema checks.
 
 Readers pass an explicit schema so that no footer sampling or inference runs
 at scale, and always go through ``select`` so Parquet column pruning applies.
@@ -6,6 +6,10 @@ at scale, and always go through ``select`` so Parquet column pruning applies.
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +49,53 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | No
     return df.select(*cols) if cols else df
 
 
+@dataclass(frozen=True)
+class Lake:
+    """A log in a folder, with what its scans can be bounded by.
+
+    ``time`` is the column of the event time as it is stored: a range on it is compared with the
+    statistics of row groups. A folder partitioned by time also declares ``partition``, a text
+    column, and ``pattern``, the strftime form of its values (one whose texts sort by time).
+    """
+
+    path: str
+    time: str
+    partition: str | None = None
+    pattern: str | None = None
+    schema: T.StructType | None = None
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return (spark.read.schema(self.schema) if self.schema else spark.read).parquet(self.path)
+
+    def between(self, spark: SparkSession, lo: dt.date, hi: dt.date) -> DataFrame:
+        """Rows of the days lo (included) to hi (not included). The bounds are literals of the stored type, so that
+        they reach the scan; the log is neither copied nor rewritten."""
+        df = self.frame(spark)
+        kind = df.schema[self.time].dataType
+        at = lambda d: F.lit(d.isoformat()).cast("timestamp_ntz" if isinstance(kind, T.TimestampNTZType) else kind)
+        if self.partition:
+            last = (dt.datetime.combine(hi, dt.time()) - dt.timedelta(microseconds=1)).strftime(self.pattern)
+            df = df.where((F.col(self.partition) >= lo.strftime(self.pattern)) & (F.col(self.partition) <= last))
+        return df.where((F.col(self.time) >= at(lo)) & (F.col(self.time) < at(hi)))
+
+
+def bucketed(spark: SparkSession, sf_dir: str, name: str, key: str, buckets: int, fingerprint: str) -> DataFrame:
+    """A table written once into ``buckets`` buckets by ``key``, each sorted by it, under the shared folder.
+
+    Two tables with as many buckets join on their keys without an exchange. A lake that keeps its
+    logs this way pays for the layout when a day is written, not at each query.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    app = hashlib.sha1(f"{spark.sparkContext.applicationId}{fingerprint}".encode()).hexdigest()[:12]
+    table = f"{name}_by_{key}_{buckets}_{app}"
+    if not spark.catalog.tableExists(table):
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bucketed/{table}"
+        read_table(spark, sf_dir, name).repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key) \
+            .option("path", path).mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
 def require_columns(df: DataFrame, cols) -> None:
     """Plan-time check; raises with the missing names."""
     missing = [c for c in cols if c not in df.columns]
