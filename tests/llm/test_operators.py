@@ -338,3 +338,41 @@ def test_sketch_bound_keeps_every_similar_pair(spark):
     similar = {(i, j) for i, j in pairs if 100 * (both := len(np.intersect1d(rows[i][1], rows[j][1]))) >= 75 * (len(rows[i][1]) + len(rows[j][1]) - both)}
     assert similar and similar <= got
     assert len(got) < len(pairs) // 4
+
+
+def test_vectors_of_a_repeated_id_stand_alone(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 7), (1, [0.0, 1.0, 0.0], 7), (2, [1.0, 0.01, 0.0], 7), (3, [0.01, 1.0, 0.0], 7), (4, [0.0, 0.0, 1.0], 7), (4, [0.0, 0.01, 1.0], 7)]
+    got = sorted(tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
+WORDS_30 = " ".join(f"word{k}" for k in range(30)) + "."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<article><p class="a"">{WORDS_30}</p></article>', WORDS_30),
+    (f"<article><p>{WORDS_30}<img src=x alt=Bob's></p><p>{WORDS_30}</p></article>", f"{WORDS_30}\n{WORDS_30}"),
+    (f"<article><p>if x<y and then {WORDS_30}</p></article>", f"if x<y and then {WORDS_30}"),
+    (f'<article><p>{WORDS_30}</p><p>{WORDS_30} <a href="foo>in</a> it</p></article>', f"{WORDS_30}\n{WORDS_30} in it"),
+    (f'<article><p title="a > b">{WORDS_30}</p></article>', WORDS_30),
+    (f"<div class=search-results><p>{WORDS_30}</p><p>{WORDS_30}</p></div>", f"{WORDS_30}\n{WORDS_30}"),
+    (f"<div class=legal><p>{WORDS_30}</p></div>", WORDS_30), ("Hello there", "Hello there"), ('<div class="menu">a b</div>', ""),
+])
+def test_html_text_of_odd_markup(page, want):
+    assert html_text.main_text(page)[0] == want
+
+
+def test_many_stray_closing_tags_are_linear():
+    import time
+    t = time.time()
+    html_text.main_text("<div>" * 20000 + "</p>" * 20000 + "x")
+    assert time.time() - t < 2
+
+
+def test_toxicity_sample_has_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "same words"), *[(2, f"text {k}") for k in range(50)], (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (2, 0, 0), (3, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.sample_of(docs, labels).collect()
+    import zlib
+    kept = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
+    assert len(rows) == len(kept)

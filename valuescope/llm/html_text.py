@@ -10,7 +10,8 @@
    parent, so the number of edges is linear in the number of blocks.
 4. The minimum cut (push along shortest augmenting paths) labels the blocks.
 
-Content blocks are joined in page order by one line feed; white space inside a
+Where the cut leaves no content, the blocks stay that neither a tag, a name nor links
+speak against. Content blocks are joined in page order by one line feed; white space inside a
 block (line breaks too) becomes one space; character references are decoded.
 Null and empty html give an empty text and 0. Repeated rows, null ids and null
 urls are returned as they are; other columns are not looked at. One page is one
@@ -22,7 +23,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,10 +45,10 @@ WORDS = {"nav": 6.0, "navbar": 6.0, "navigation": 6.0, "menu": 6.0, "breadcrumb"
          "masthead": 5.0, "sidebar": 6.0, "aside": 5.0, "widget": 5.0, "ad": 6.0, "ads": 6.0, "advert": 6.0, "adverts": 6.0,
          "advertisement": 6.0, "advertising": 6.0, "banner": 5.0, "sponsor": 6.0, "sponsored": 6.0, "promo": 6.0, "promotion": 6.0,
          "cookie": 6.0, "cookies": 6.0, "consent": 6.0, "gdpr": 6.0, "notice": 6.0, "popup": 6.0, "modal": 6.0, "alert": 5.0,
-         "newsletter": 6.0, "subscribe": 6.0, "subscription": 6.0, "signup": 6.0, "login": 6.0, "search": 5.0, "share": 6.0,
+         "newsletter": 6.0, "subscribe": 6.0, "subscription": 6.0, "signup": 6.0, "login": 6.0, "search": 2.0, "share": 6.0,
          "sharing": 6.0, "social": 6.0, "related": 6.0, "recommended": 6.0, "recommendations": 6.0, "trending": 6.0, "comment": 6.0,
          "comments": 6.0, "reply": 6.0, "replies": 6.0, "respond": 6.0, "disqus": 6.0, "reviews": 5.0, "pagination": 6.0, "pager": 6.0,
-         "toolbar": 5.0, "copyright": 6.0, "legal": 5.0, "disclaimer": 5.0, "hidden": 5.0, "contentinfo": 6.0, "complementary": 6.0,
+         "toolbar": 5.0, "copyright": 6.0, "legal": 2.0, "disclaimer": 2.0, "hidden": 5.0, "contentinfo": 6.0, "complementary": 6.0,
          "article": -2.0, "content": -1.5, "main": -1.5, "post": -1.0, "entry": -1.5, "story": -1.5, "body": -0.5}
 STICKY = 4.0  # weights at least this high also hold for everything below the element
 #: Inherited from a name: at most UNDER below an article or main element, and less by PER_WORD for each word of a block beyond FREE.
@@ -56,7 +57,9 @@ UNDER, FREE, PER_WORD = 2.5, 40, 0.04
 BEFORE, AFTER = {"has", "no", "not", "with", "without", "open", "show"}, {"open", "closed", "enabled", "disabled"}
 #: Elements that leave an open head open.
 IN_HEAD = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A tag ends at its > before the next <; a quoted value is one that ends where a value may end, so that a stray quote opens none.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+                    r"|<(/?)([a-zA-Z][^\s/><]*)((?:=\s*\"[^\"]*\"(?=[\s/>]|\Z)|=\s*'[^']*'(?=[\s/>]|\Z)|[^<>])*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SMOOTH, SIBLING = 0.8, 0.4
 
@@ -101,9 +104,15 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks in page order. Unclosed and stray tags are tolerated; depth is not bounded."""
     out: list[Block] = []
     stack: list[tuple[str, float, float, int, float]] = []  # tag, sum of weights, sticky weight, node, sticky weight by name
+    depth: Counter[str] = Counter()  # open elements of each name
     text: list[str] = []
     state = {"linked": 0, "links": 0, "tags": 0, "node": 0, "head": 0}
 
+    def pop() -> str:
+        tag = stack.pop()[0]
+        depth[tag] -= 1
+        return tag
+
     def flush() -> None:
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
@@ -116,7 +125,8 @@ def blocks_of(page: str) -> list[Block]:
     def leave_head() -> None:
         if state["head"]:
             flush()
-            del stack[state["head"] - 1:]
+            while len(stack) >= state["head"]:
+                pop()
             state["head"] = 0
 
     def said(s: str) -> None:
@@ -162,11 +172,10 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             state["links"] = 0 if tag in CLOSES_P else state["links"]
             if tag in CLOSES_P and any(t[0] == "p" for t in stack[-3:]):
-                while stack[-1][0] != "p":
-                    stack.pop()
-                stack.pop()
+                while pop() != "p":
+                    pass
             elif tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
+                pop()
             w, by_name = weight_of(tag, m[3])
             _, total, sticky, _, named = stack[-1] if stack else ("", 0.0, 0.0, 0, 0.0)
             if tag in ("article", "main"):
@@ -177,10 +186,11 @@ def blocks_of(page: str) -> list[Block]:
             elif by_name < STICKY:
                 total = max(-5.0, min(3.0, total + w))
             stack.append((tag, total, sticky, state["node"], max(named, by_name)))
+            depth[tag] += 1
             if tag == "head" and not state["head"]:
                 state["head"] = len(stack)
-        elif any(t[0] == tag for t in reversed(stack)):
-            while stack.pop()[0] != tag:
+        elif depth[tag]:
+            while pop() != tag:
                 pass
             if len(stack) < state["head"]:
                 state["head"] = 0
@@ -289,6 +299,8 @@ def main_text(page: str | None) -> tuple[str, int, int]:
     extra = [0.0] * len(nodes)
     side = min_cut(keep + extra, drop + extra, edges)
     kept = [b.text for b, on in zip(bs, side, strict=False) if on]
+    if not kept:  # nothing but short blocks: those that nothing speaks against
+        kept = [b.text for b in bs if b.weight <= 0 and max(b.named) < STICKY and b.linked < 0.5]
     return "\n".join(kept), n, len(kept)
 
 

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds: labelled rows (clean, toxic) that are fitted on; entries of the lexicon and of the exceptions.
-FIT, TERMS, PHRASES = (9000, 3000), 2000, 500
+#: Bound: labelled rows (clean, toxic) that are fitted on.
+FIT = (9000, 3000)
 #: Least evidence (nats) beyond the log of the number of terms tried that a term is commoner in toxic rows.
 EVIDENCE = 1.0
 LEAST_DOCS, BEGINNINGS = 3, range(4, 9)
@@ -134,18 +134,18 @@ def frequencies(sample: DataFrame, each) -> DataFrame:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, y) of the sampled labelled rows; only ids, bounded by FIT, are broadcast."""
+    """(text, y) of the sampled labelled ids, one row of each (that with the least text hash); only ids, bounded by FIT, are broadcast."""
     out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     ids = ids.where(~out).groupBy("doc_id").agg(F.max("y").alias("y"))
     pick = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT[y]) for y in (0, 1)]
     some = pick[0].unionByName(pick[1])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        F.broadcast(some), "doc_id").select("text", "y")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("row")).select("row.text", "row.y")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
-    """Lexicon, exceptions and curve. What comes to the driver is bounded by FIT, TERMS and PHRASES."""
+    """Lexicon, exceptions and curve. What comes to the driver is bounded by FIT: the terms with enough evidence in the texts of that many rows."""
     from valuescope.llm.common import saved
 
     sample = saved(sample_of(docs, labels))
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     tried = saved(frequencies(sample, terms).where(F.col("bad") >= LEAST_DOCS))
     least = math.log(max(1, tried.count())) + EVIDENCE
     found = tried.withColumn("w", rate).where((F.col("w") > 2.0) & (nats > least))
-    rows = found.orderBy(F.desc(F.col("w") * F.sqrt(F.col("bad"))), "term").limit(TERMS).collect()
+    rows = found.orderBy("term").collect()
     lexicon = {r["term"]: float(r["w"]) for r in rows}
     if not lexicon:
         return model
@@ -178,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         return got
 
     spared = frequencies(sample, pairs).where((F.col("good") >= LEAST_DOCS) & (F.col("good") * n[1] > 10 * F.col("bad") * n[0]))
-    model["exceptions"] = {r["term"] for r in spared.orderBy(F.desc("good"), "term").limit(PHRASES).collect()}
+    model["exceptions"] = {r["term"] for r in spared.select("term").collect()}
     model["lexicon"] = lexicon
     model["curve"] = curve(sample, lexicon, model["exceptions"])
     return model

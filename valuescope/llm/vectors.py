@@ -6,7 +6,7 @@ id, link with nothing.
 
 1. Equal vectors of a label form a class; one representative goes on.
 2. Coarse centroids and residual sub-space codebooks are fitted on a bounded
-   sample (SAMPLE vectors with the smallest hash of their id). Every row is put
+   sample (SAMPLE classes with the smallest hash of their vector). Every row is put
    in the inverted list of its nearest centroid, with its residual codes.
 3. Sufficient probes: a vector within distance r of x can lie in the list of
    centroid c only if x is within r of the plane between c and x's own centroid.
@@ -18,7 +18,9 @@ Both bounds are exact, so no pair is missed (recall 1). Lists of more than BLOCK
 members are compared block by block. A block gives link counts and a spanning
 forest, never its pairs; components are found on the forest edges.
 
-Repeated ids count as separate vectors of one node. An empty table gives an
+A row is a vector of its own, also where its id repeats: classes have numbers of their own, so different
+vectors of one id have their own links and may lie in different components, and equal or near vectors of
+one id link like any others. An empty table gives an
 empty result; other columns are not looked at.
 """
 
@@ -120,19 +122,19 @@ def near_vectors(emb: DataFrame, least: float = LEAST, id_col: str = "vec_id", v
              & F.coalesce(F.exists("e", lambda v: v != 0), F.lit(False)))
     src = saved(src.withColumn("e", F.when(sound, F.transform("e", lambda v: v + 0.0))))
     classes = src.where("e is not null").groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    classes = saved(classes)
+    classes = saved(saved(classes).withColumn("cls", F.monotonically_increasing_id()))  # written, so the number of a class stays
     total = classes.count()
     lists = max(8, min(SAMPLE // 20, int(total**0.5)))
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("e").collect()
+    sample = classes.orderBy(F.xxhash64("e"), "rep").limit(SAMPLE).select("e").collect()
     by: dict[int, list] = {}
     for row in sample:
         by.setdefault(len(row["e"]), []).append(row["e"])
     models = {n: Quantiser(unit(v)[1], lists) for n, v in by.items()}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each list that a representative visits; member: it lives there."""
+        """A row for each list that a class visits; member: it lives there."""
         for b in batches:
-            rep, e, size, n = (b.column(k) for k in range(4))
+            cls, e, size, n = (b.column(k) for k in range(4))
             vals, rows = e.to_pylist(), {}
             for k, m in enumerate(n.to_pylist()):
                 rows.setdefault(m, []).append(k)
@@ -144,21 +146,21 @@ def near_vectors(emb: DataFrame, least: float = LEAST, id_col: str = "vec_id", v
                 else:
                     i, c, member = np.arange(len(at)), np.full(len(at), -1), np.ones(len(at), bool)
                 take = pa.array(np.array(at)[i])
-                yield pa.RecordBatch.from_arrays([rep.take(take), e.take(take), size.take(take), n.take(take), b.column(4).take(take),
+                yield pa.RecordBatch.from_arrays([cls.take(take), e.take(take), size.take(take), n.take(take), b.column(4).take(take),
                                                   pa.array(c, pa.int32()), pa.array(member)],
-                                                 names=["rep", "e", "size", "dim", "class_label", "list", "member"])
+                                                 names=["cls", "e", "size", "dim", "class_label", "list", "member"])
 
     label_type = dict(classes.dtypes)["label"]
-    cells = classes.select("rep", "e", "size", F.size("e").alias("dim"), F.col("label").alias("class_label")).mapInArrow(
-        index, f"rep long, e array<double>, size long, dim int, class_label {label_type}, list int, member boolean")
+    cells = classes.select("cls", "e", "size", F.size("e").alias("dim"), F.col("label").alias("class_label")).mapInArrow(
+        index, f"cls long, e array<double>, size long, dim int, class_label {label_type}, list int, member boolean")
     cells = saved(cells)
     key = ["class_label", "dim", "list"]
     counts = cells.groupBy(*key).agg(F.ceil(F.count_if("member") / BLOCK).cast("int").alias("nb"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nv"))
     cells = cells.join(counts.where("nb > 0"), key)
-    member = cells.where("member").select(*key, "rep", "e", "size", F.lit(True).alias("member"), F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("b"),
+    member = cells.where("member").select(*key, "cls", "e", "size", F.lit(True).alias("member"), F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int").alias("b"),
                                           F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("v"))
-    visitor = cells.select(*key, "rep", "e", "size", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"),
-                           F.pmod(F.xxhash64("rep"), F.col("nv")).cast("int").alias("v"))
+    visitor = cells.select(*key, "cls", "e", "size", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"),
+                           F.pmod(F.xxhash64("cls"), F.col("nv")).cast("int").alias("v"))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         mine = g[g.member]
@@ -175,7 +177,7 @@ def near_vectors(emb: DataFrame, least: float = LEAST, id_col: str = "vec_id", v
             i, j = np.nonzero(q.distances(ux, at, codes) <= r + err[None] + 1e-6)
         else:
             i, j = (k.ravel() for k in np.indices((len(x), len(y))))
-        a, b = them.rep.to_numpy(), mine.rep.to_numpy()
+        a, b = them.cls.to_numpy(), mine.cls.to_numpy()
         other = a[i] != b[j]
         i, j = i[other], j[other]
         dot = np.einsum("ij,ij->i", x[i], y[j])
@@ -189,10 +191,11 @@ def near_vectors(emb: DataFrame, least: float = LEAST, id_col: str = "vec_id", v
                           pd.DataFrame({"a": a[links > 0], "b": a[links > 0], "links": links[links > 0]})]).astype(np.int64)
 
     found = saved(member.unionByName(visitor).groupBy(*key, "b", "v").applyInPandas(compare, "a long, b long, links long"))
-    near = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    comp = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
-    info = classes.join(near, "rep", "left").join(comp, "rep", "left").select(
-        "label", "e", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    near = found.where("links > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    comp = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "cls")
+    info = classes.join(near, "cls", "left").join(comp, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least_id = info.groupBy("root").agg(F.min("rep").alias("component_id"))
+    info = info.join(least_id, "root").select("label", "e", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = src.join(info, ["label", "e"], "left")
     comp_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"),
