@@ -324,20 +324,34 @@ def test_exact_groups(docs):
             assert r["group_size"] == len(same) + (3 in same)
 
 
-def test_sketch_bound_keeps_every_similar_pair(spark):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_block_links_unite_what_similar_pairs_unite(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng, rows = np.random.default_rng(5), []
     for k in range(60):
         base = rng.integers(0, 2**63, int(rng.integers(3, 400)), dtype=np.int64).view(np.uint64) * np.uint64(2)
         near = base[: max(3, int(len(base) * rng.uniform(0.5, 1)))]
         rows += [(2 * k, np.unique(base)), (2 * k + 1, np.unique(near))]
     words = [[int(w) for w in jaccard.sketch(x)] for _, x in rows]
-    sets = spark.createDataFrame([(i, len(x), *w) for (i, x), w in zip(rows, words, strict=True)],
-                                 "sid long, n long, " + ", ".join(f"{w} long" for w in jaccard.SKETCH))
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows))]
-    got = {(r["a"], r["b"]) for r in jaccard.plausible(spark.createDataFrame(pairs, "a long, b long"), sets).collect()}
-    similar = {(i, j) for i, j in pairs if 100 * (both := len(np.intersect1d(rows[i][1], rows[j][1]))) >= 75 * (len(rows[i][1]) + len(rows[j][1]) - both)}
-    assert similar and similar <= got
-    assert len(got) < len(pairs) // 4
+    sets = spark.createDataFrame([(i, len(x), bytearray(x.tobytes()), *w) for (i, x), w in zip(rows, words, strict=True)],
+                                 "sid long, n long, toks binary, " + ", ".join(f"{w} long" for w in jaccard.SKETCH))
+    members = spark.createDataFrame([(k % 2 * 5, i, i - i % 2 if i > 100 else i) for k in range(2) for i in range(len(rows))], "p long, sid long, root long")
+    got = {(r["a"], r["b"]) for r in jaccard.block_links(members.distinct(), sets).collect()}
+    similar = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if jaccard.similar(rows[i][1], rows[j][1])}
+    plain = {(i, j) for i, j in similar if 100 * (both := len(np.intersect1d(rows[i][1], rows[j][1]))) >= 75 * (len(rows[i][1]) + len(rows[j][1]) - both)}
+    assert similar == plain and similar
+    assert {tuple(sorted(x)) for x in got} == {x for x in similar if x[1] <= 100 or x[0] % 2 or x[1] != x[0] + 1}
+
+
+def test_shingles_of_runs_are_those_of_each_text():
+    texts = ["a b c d e f", "A b  c\nd e f g", "x", "", None, "x ", "\t", "one two\x0bthree four five", "ab c", "a bc", "É é " * 9, LONG]
+    got = jaccard.shingle_sets(texts)
+    alone = [jaccard.shingle_sets([t])[0] for t in texts]
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(got, alone, strict=True))
+    for t, x in zip(texts, got, strict=True):
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        assert len(x) == (len({tuple(w[k:k + 5]) for k in range(len(w) - 4)}) if len(w) >= 5 else bool(w))
+    assert np.isin(got[0], got[1]).all() and got[2] == got[5] and got[8] != got[9]
 
 
 def test_vectors_of_a_repeated_id_stand_alone(spark):
