@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from valuescope.session import ensure_checkpoint_dir
 
 
+#: Rows of a batch between Spark and its Python workers, where the session has Spark's own default: whole texts are long.
+BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
