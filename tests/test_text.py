@@ -69,6 +69,11 @@ def test_pruning_reads_a_part_of_the_lists(spark):
     assert 5 * read < 2 * every and 6 * pairs < every, (read, pairs, every)
 
 
+def test_both_ways_give_the_same_rows(spark):
+    one, two = (sorted(map(tuple, T.tfidf_topk(spark, SMALL, full_rows=n).collect())) for n in (0, 10**9))
+    assert one == two and one
+
+
 def test_stop_words_are_those_of_the_library(spark):
     from pyspark.ml.feature import StopWordsRemover
     assert {w for w in StopWordsRemover.loadDefaultStopWords("english") if re.fullmatch(r"\w\w+", w)} == set(T.STOP_WORDS)

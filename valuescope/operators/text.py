@@ -21,6 +21,9 @@ chunk over the query's terms from t on.
 3. What is read gives candidates; their scores are summed over all terms, so
    scores and ranks are exact.
 
+A search that would read few entries in all reads them all in one join: the bounds
+pay where lists are long. Both ways give the same rows.
+
 Top-k per query is two-phase (per salt bucket, then overall), so one query never
 pulls all its candidates into a single task. Ranks go by the score at 9 decimals,
 then the chunk id.
@@ -44,6 +47,8 @@ MIN_SCORE = 0.05
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 SALT_BUCKETS = 16
 SEEDS, SEEDED = 8, 32
+#: Entries of the lists up to which one plain join is cheaper than the bounds.
+FULL_ROWS = 50_000_000
 #: Room for rounding where a bound meets a floor, and the decimals by which scores rank.
 SLACK, DECIMALS = 1e-7, 9
 # The words of 2+ letters of the English stop-word list of Spark ML.
@@ -100,8 +105,8 @@ def tfidf_index(spark: SparkSession, sf_dir: str, vocab: int | None = None):
         .withColumn("tid", F.xxhash64("term"))
     if vocab is not None:
         stats = global_rank(stats, "cnt", desc=True, tiebreak="tid").df.where(F.col("rn") <= vocab)
-    idf = stats.select("term", (F.log((F.lit(1.0) + n_chunks) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    w = ct.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    idf = stats.select("term", "df", (F.log((F.lit(1.0) + n_chunks) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    w = ct.join(idf.drop("df"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = w.groupBy("cid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
     wd = w.join(norm, "cid").select("cid", "term", (F.col("w") / F.col("nrm")).alias("wd"))
     return ch, idf, wd
@@ -127,7 +132,7 @@ def inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_vectors(spark: SparkSession, sf_dir: str, idf: DataFrame) -> DataFrame:
     q = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
-    qt = _terms(q, ["item_id"]).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    qt = _terms(q, ["item_id"]).join(idf.drop("df"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     qn = qt.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
     return qt.join(qn, "item_id").select("item_id", "term", (F.col("w") / F.col("nrm")).alias("wq"))
 
@@ -234,11 +239,18 @@ top AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY ROUND(sc
 
 @job("tfidf_topk", sql=_sql(f"""SELECT item_id, rank, doc_id, chunk_no, heading, ROUND(score, 6) AS score
 FROM top JOIN ch ON top.cid = ch.cid WHERE rank <= {TOP_K}"""))
-def tfidf_topk(spark: SparkSession, sf_dir: str, k: int = TOP_K, min_score: float = MIN_SCORE) -> DataFrame:
-    """Top-k chunks per benchmark query by TF-IDF cosine, score above min_score (the top-k is the feature)."""
-    ch, idf, _ = tfidf_index(spark, sf_dir)
-    got = retrieval(inverted_lists(spark, sf_dir), query_vectors(spark, sf_dir, idf), k, min_score, _saver(spark))
-    top = best(got["scored"].where(F.col("score") > min_score), k)
+def tfidf_topk(spark: SparkSession, sf_dir: str, k: int = TOP_K, min_score: float = MIN_SCORE, full_rows: int | None = None) -> DataFrame:
+    """Top-k chunks per benchmark query by TF-IDF cosine, score above min_score (the top-k is the feature).
+    Up to ``full_rows`` entries (known from the terms' frequencies) all lists are read; beyond it, the pruned way. Both are exact."""
+    ch, idf, wd = tfidf_index(spark, sf_dir)
+    save = _saver(spark)
+    wq = save(query_vectors(spark, sf_dir, idf))
+    rows = wq.join(idf, "term").agg(F.sum("df")).first()[0] or 0
+    if rows <= (full_rows if full_rows is not None else FULL_ROWS):
+        found = product(wq, wd)
+    else:
+        found = retrieval(inverted_lists(spark, sf_dir), wq, k, min_score, save)["scored"]
+    top = best(found.where(F.col("score") > min_score), k)
     meta = ch.select("cid", "doc_id", "chunk_no", "heading")
     return round_doubles(top.join(meta, "cid").select("item_id", "rank", "doc_id", "chunk_no", "heading", "score"))
 
@@ -247,4 +259,4 @@ def tfidf_topk(spark: SparkSession, sf_dir: str, k: int = TOP_K, min_score: floa
 def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted vocabulary with document frequency based IDF weights."""
     _, idf, _ = tfidf_index(spark, sf_dir)
-    return round_doubles(idf)
+    return round_doubles(idf.select("term", "idf"))
