@@ -103,21 +103,30 @@ def game_daily(spark: SparkSession, sf_dir: str, read=read_table) -> DataFrame:
                  F.max("l_linenumber").alias("maxline")))
 
 
+def _game_sums() -> list:
+    return [F.sum("games").alias("g_games"), F.sum("wins").alias("g_wins"), F.sum("qty").alias("g_qty"),
+            F.sum("score").alias("g_score"), F.sum("lines").alias("g_lines"), F.max("maxline").alias("g_maxline")]
+
+
+def with_games(cohort: DataFrame, gd: DataFrame, feat_days: int, how: str) -> DataFrame:
+    """Each row of ``cohort`` (one per user, with install_date) with the sums of its game days inside
+    [d0, d0+feat_days): an equi-join on the user with the interval in its condition, then one aggregate in the same
+    partitioning. The cohort is read once; with ``how`` left, users without games stay with nulls."""
+    gd = gd.withColumnRenamed("vopenid", "_user")
+    on = (F.col("vopenid") == F.col("_user")) & (F.col("d") >= F.col("install_date")) & (F.col("d") < F.date_add("install_date", feat_days))
+    return cohort.join(gd, on, how).groupBy(*cohort.columns).agg(*_game_sums())
+
+
 def game_features(spark: SparkSession, sf_dir: str, cohort: DataFrame, feat_days: int = FEAT_DAYS, read=read_table) -> DataFrame:
     """F8: gameplay features inside [d0, d0+feat_days)."""
-    gd = game_daily(spark, sf_dir, read)
-    j = gd.join(cohort.select("vopenid", "install_date"), "vopenid").where(
-        (F.col("d") >= F.col("install_date")) & (F.col("d") < F.date_add("install_date", feat_days)))
-    return j.groupBy("vopenid").agg(
-        F.sum("games").alias("g_games"), F.sum("wins").alias("g_wins"), F.sum("qty").alias("g_qty"),
-        F.sum("score").alias("g_score"), F.sum("lines").alias("g_lines"), F.max("maxline").alias("g_maxline"))
+    return with_games(cohort.select("vopenid", "install_date"), game_daily(spark, sf_dir, read), feat_days, "inner").drop("install_date")
 
 
 def build_user_mart(spark: SparkSession, sf_dir: str, feat_days: int = FEAT_DAYS,
                     label_days: int = LABEL_DAYS) -> DataFrame:
     """assemble the mart (lazy plan, nothing materialised)."""
     base = order_features(spark, sf_dir, feat_days, label_days)
-    game = game_features(spark, sf_dir, base, feat_days)
+    base = with_games(base, game_daily(spark, sf_dir), feat_days, "left")
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     # nation/region are fixed-size dimension tables; Spark's size check
     # (autoBroadcastJoinThreshold on file statistics) broadcasts them.
@@ -128,7 +137,7 @@ def build_user_mart(spark: SparkSession, sf_dir: str, feat_days: int = FEAT_DAYS
            .select(F.col("c_custkey").alias("vopenid"), F.col("c_mktsegment").alias("media_source"),
                    F.col("n_name").alias("first_country_code"), F.col("r_name").alias("first_os")))
     games = F.col("g_games").cast("double")
-    m = base.join(game, "vopenid", "left").join(geo, "vopenid", "left")
+    m = base.join(geo, "vopenid", "left")
     return m.select(
         "vopenid", "roleid", "install_date", "media_source", "first_country_code", "first_os",
         "login_rows_d7", "active_days_d7", "loginchannel_variety_d7",
