@@ -291,10 +291,21 @@ SELECT '{f}' AS feature, COUNT(*) AS n, ROUND({sql_pearson('rx', 'ry')}, 6) AS s
 def spearman_features(spark: SparkSession, sf_dir: str, label: str = "ltv30") -> DataFrame:
     """Spearman of each feature with the label (mid-ranks for ties)."""
     m = user_mart(spark, sf_dir).select(label, *CORR_FEATURES)
-    long = m.select(F.col(label).alias("y"), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in CORR_FEATURES])).alias("kv"))
-    long = long.select(F.col("kv.feature").alias("feature"), F.col("kv.x").alias("x"), "y")
-    r = spearman_long(long, "feature")
+    n = m.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c) for c in (label, *CORR_FEATURES)]).first().asDict()
+    whole = [f for f in CORR_FEATURES if n[f"count({f})"] == n[f"count({label})"] == n["_n"]]
+    rest = [f for f in CORR_FEATURES if f not in whole]
+
+    def long(df: DataFrame, features: list[str], y: str) -> DataFrame:
+        kv = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("kv")
+        return df.select(F.col(y).alias("y"), kv).select("kv.feature", "kv.x", "y")
+    parts = []
+    if whole:  # every row is a complete pair: the label is ranked once for all of these
+        ranked = mid_ranks(m.withColumn(label, F.col(label).cast("double")), label, "ry")
+        rx = mid_ranks(long(ranked, whole, "ry"), "x", "rx", group="feature")
+        parts.append(rx.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), pearson("rx", "y").alias("rho")))
+    if rest:
+        parts.append(spearman_long(long(m, rest, label), "feature"))
+    r = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return round_doubles(r.select("feature", "n", F.col("rho").alias("spearman")))
 
 
