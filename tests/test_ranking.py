@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from valuescope.functions.ranking import cutoff_values, global_rank, quantiles
+from valuescope.functions.ranking import cutoff_values, global_rank, mid_rank_values, mid_ranks, quantiles, rank_correlation, rank_sums
+from valuescope.operators.evaluation import rank_agreement
 from valuescope.plans.mart import user_mart
 
 from .conftest import MEDIUM
@@ -54,3 +55,42 @@ def test_grouped_rank_restarts_per_group(spark):
     for g, c in (("a", "ltv30"), ("b", "rev_d7")):
         rows = sorted(m.collect(), key=lambda x: (-x[c], x["vopenid"]))
         assert [got[(g, x["vopenid"])] for x in rows] == list(range(1, len(rows) + 1))
+
+
+def _ranks(values):
+    return [sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in values]
+
+
+def _rho(x, y):
+    a, b = _ranks(x), _ranks(y)
+    ma, mb = sum(a) / len(a), sum(b) / len(b)
+    cov = sum((p - ma) * (q - mb) for p, q in zip(a, b, strict=True))
+    va, vb = sum((p - ma) ** 2 for p in a), sum((q - mb) ** 2 for q in b)
+    return None if va * vb == 0 else cov / (va * vb) ** 0.5
+
+
+def test_rank_statistics_of_distinct_values_match_brute_force(spark):
+    """Hot ties, a null group, a constant score, a constant label, one row; below and beyond one bucket."""
+    groups = {"hot": [(float(k % 7 == 0) * k, float(k * 37 % 11)) for k in range(200)], "flat": [(3.0, float(k)) for k in range(30)],
+              None: [(float(-k), float(k * k % 17)) for k in range(50)], "still": [(float(k), 1.0) for k in range(30)], "one": [(1.0, 2.0)]}
+    rows = [(g, i, x, y) for g, xs in groups.items() for i, (x, y) in enumerate(xs)]
+    df = spark.createDataFrame(rows, "g string, vopenid long, score double, actual double")
+    before = spark.conf.get("valuescope.rank.bucketRows", "2000000")
+    for rows_per_bucket in ("2000000", "9"):
+        spark.conf.set("valuescope.rank.bucketRows", rows_per_bucket)
+        try:
+            got = {r["g"]: r for r in rank_agreement(df, "g").collect()}
+            ranked = {r["g"]: r for r in mid_rank_values(mid_ranks(df, "actual", "ra", group="g", centred=True), "score", "rs", group="g", **rank_sums("ra"))
+                      .groupBy("g").agg(F.sum("_c").alias("n"), rank_correlation("rs").alias("rho")).collect()}
+        finally:
+            spark.conf.set("valuescope.rank.bucketRows", before)
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            want = _rho([x for x, _ in xs], [y for _, y in xs])
+            for have in (got[g]["spearman"], ranked[g]["rho"]):
+                assert have is None if want is None else abs(have - want) < 1e-12, g
+            assert ranked[g]["n"] == len(xs)
+            pos, neg = [x for x, y in xs if y > 0], [x for x, y in xs if y <= 0]
+            auc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg)) if pos and neg else None
+            assert got[g]["auc"] is None if auc is None else abs(got[g]["auc"] - auc) < 1e-12, g
+    assert rank_agreement(df.limit(0), "g").count() == 0

@@ -246,24 +246,54 @@ def cutoff_values(df: DataFrame, key: str, qs: dict[str, float], where: Column |
     return {a: (None if row is None else row[a]) for a in qs}
 
 
-def mid_ranks(df: DataFrame, key: str, out: str, group: str | None = None) -> DataFrame:
-    """Attach the 1-based mid-rank of ``key`` (ties share the mean rank).
+def mid_rank_values(df: DataFrame, key: str, out: str, group: str | None = None, **sums: Column) -> DataFrame:
+    """One row per distinct value of ``key`` (and group): how many rows have it (_c), the rows of its group (_n),
+    its 1-based mid-rank ``out`` (ties share the mean rank), and the aggregates ``sums`` of its rows.
 
-    Distinct values are counted first (partial aggregation collapses hot
-    values such as 0), the distinct frame is ranked with the bucketed global
-    rank, and the ranks are joined back on the value; a hot value meets a
+    Partial aggregation collapses hot values such as 0 before anything is ranked. A statistic that needs ranks only
+    in sums takes them from this frame, and no row is joined back on its value. Null keys have no rank.
+    """
+    g = [group] if group else []
+    d = df.where(F.col(key).isNotNull()).groupBy(*g, key).agg(F.count(F.lit(1)).alias("_c"), *[c.alias(k) for k, c in sums.items()])
+    x = global_rank(d, key, desc=False, tiebreak=key, measure="_c", money=False, group=group).df
+    x = x.withColumn(out, F.col("cum") - F.col("_c") + (F.col("_c") + F.lit(1.0)) / F.lit(2.0)).drop("cum", "rn")
+    if not group:
+        return x.withColumn("_n", F.lit(d.agg(F.sum("_c")).first()[0] or 0))
+    n = d.groupBy(F.col(group).alias("_g")).agg(F.sum("_c").alias("_n"))
+    return x.join(n, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def mid_ranks(df: DataFrame, key: str, out: str, group: str | None = None, centred: bool = False) -> DataFrame:
+    """Attach the mid-rank of ``key``; ``centred``: less the mean rank of the group, so that equal values all get 0.
+
+    The ranks of the distinct values (see ``mid_rank_values``) are joined back on the value; a hot value meets a
     single row on the other side, which AQE's skew join splits.
     """
     g = [group] if group else []
-    d = df.where(F.col(key).isNotNull()).groupBy(*g, key).agg(F.count(F.lit(1)).alias("_c"))
-    r = global_rank(d, key, desc=False, tiebreak=key, measure="_c", money=False, group=group)
-    rk = r.df.select(*[F.col(c).alias(f"_r{c}") for c in g], F.col(key).alias("_rk"), (F.col("cum") - F.col("_c") + (F.col("_c") + F.lit(1.0)) / F.lit(2.0)).alias(out))
+    r = mid_rank_values(df.select(*g, key), key, "_r", group=group)
+    rank = F.col("_r") - (F.col("_n") + F.lit(1.0)) / F.lit(2.0) if centred else F.col("_r")
+    rk = r.select(*[F.col(c).alias(f"_r{c}") for c in g], F.col(key).alias("_rk"), rank.alias(out))
     on = F.col(key) == F.col("_rk")
     for c in g:
         on = on & F.col(c).eqNullSafe(F.col(f"_r{c}"))
     return df.join(rk, on, "left").drop("_rk", *[f"_r{c}" for c in g])
 
 
+def rank_sums(y: str) -> dict[str, Column]:
+    """What ``mid_rank_values`` has to add up for ``rank_correlation`` with the centred ranks ``y``."""
+    return {"_p": F.count(y), "_y": F.sum(y), "_yy": F.sum(F.col(y) * F.col(y))}
+
+
+def rank_correlation(rank: str) -> Column:
+    """Spearman's rho as an aggregate over a frame of ``mid_rank_values`` with ``rank_sums``; null if one side is constant."""
+    d = F.col(rank) - (F.col("_n") + F.lit(1.0)) / F.lit(2.0)
+    n = F.nullif(F.sum("_p").cast("double"), F.lit(0.0))
+    mx, my = F.try_divide(F.sum(F.col("_p") * d), n), F.try_divide(F.sum("_y"), n)
+    vx, vy = F.try_divide(F.sum(F.col("_p") * d * d), n) - mx * mx, F.try_divide(F.sum("_yy"), n) - my * my
+    both = F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))
+    return F.try_divide(F.try_divide(F.sum(d * F.col("_y")), n) - mx * my, F.nullif(both, F.lit(0.0)))
+
+
 def prefix_sums_at(ranked: Ranked, positions: list[int]) -> DataFrame:
     """(pos, cum) for each requested 1-based position; pos 0 → 0.
 

@@ -16,7 +16,7 @@ from ..functions.ranking import cutoff_values
 from ..plans.mart import user_mart
 from ..twins import with_mart
 from .cohorts import _ma, _r
-from .evaluation import group_metrics, score_frame
+from .evaluation import group_metrics, score_frame, with_label_rank
 from ..twins import pearson as sql_pearson
 from .evaluation import _sql_scores
 from .temporal import PERIOD_SQL, _periods
@@ -187,8 +187,8 @@ FROM g e JOIN g l ON l.strategy = e.strategy AND e.period = 'early' AND l.period
 def metric_drift(spark: SparkSession, sf_dir: str, tol: float = DRIFT_TOL) -> DataFrame:
     """Lift@10 (as a fraction) and Spearman per strategy for the early and late half of install dates;
     'stable' when both move by at most ±0.05."""
-    x = _periods(spark, sf_dir)
-    sc = score_frame(x, keep=["period"]).withColumn("grp", F.concat_ws("|", "period", "strategy"))
+    x = with_label_rank(_periods(spark, sf_dir), group="period")
+    sc = score_frame(x, keep=["period", "ra"]).withColumn("grp", F.concat_ws("|", "period", "strategy"))
     g = group_metrics(sc, "grp").select(F.split("grp", "[|]").getItem(0).alias("period"),
                                         F.split("grp", "[|]").getItem(1).alias("strategy"),
                                         (F.col("lift_at_10") / 100.0).alias("lift"), "spearman")

@@ -11,12 +11,12 @@ go through ``evaluate_scores`` the same way (``ml.model_vs_heuristics``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import job
-from ..functions.exprs import count_if, money_avg, money_sum, pearson, round_doubles
-from ..functions.ranking import cutoff_values, global_rank, mid_ranks
+from ..functions.exprs import count_if, money_avg, money_sum, round_doubles
+from ..functions.ranking import cutoff_values, global_rank, mid_rank_values, mid_ranks, rank_correlation, rank_sums
 from ..plans.mart import user_mart
 from ..twins import pearson as sql_pearson
 from ..twins import with_mart
@@ -64,6 +64,28 @@ def evaluate_scores(sc: DataFrame):
     return r, st
 
 
+def auc_of(rank: str) -> Column:
+    """ROC AUC (Mann-Whitney) as an aggregate over ``mid_rank_values`` of the score with its counts pos and neg."""
+    n_pos, n_neg = F.sum("pos"), F.sum("neg")
+    u = F.sum(F.col(rank) * F.col("pos")) - n_pos * (n_pos + F.lit(1)) / F.lit(2.0)
+    return F.try_divide(u, F.nullif(n_pos.cast("double") * n_neg, F.lit(0.0)))
+
+
+def rank_agreement(sc: DataFrame, group: str) -> DataFrame:
+    """(group, spearman, auc) of score and actual, from one row per group and distinct score. ``ra``: the centred ranks
+    of the label, where the caller has ranked it once for all strategies; otherwise it is ranked in each group."""
+    if "ra" not in sc.columns:
+        sc = mid_ranks(sc, "actual", "ra", group=group, centred=True)
+    pos = F.col("actual") > 0
+    v = mid_rank_values(sc, "score", "rs", group=group, pos=count_if(pos), neg=count_if(~pos), **rank_sums("ra"))
+    return v.groupBy(group).agg(rank_correlation("rs").alias("spearman"), auc_of("rs").alias("auc"))
+
+
+def with_label_rank(m: DataFrame, label: str = "ltv30", group: str | None = None) -> DataFrame:
+    """The mart with ``ra``, the centred mid-rank of the label, before users are repeated for each strategy."""
+    return mid_ranks(m, label, "ra", group=group, centred=True)
+
+
 def ranked_scores(spark: SparkSession, sf_dir: str, where=None):
     m = user_mart(spark, sf_dir)
     if where is not None:
@@ -285,16 +307,9 @@ SELECT strategy, COUNT(CASE WHEN actual > 0 THEN 1 END) AS positives, COUNT(CASE
 FROM mr GROUP BY strategy""", _sql_scores()))
 def auc_by_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROC AUC for 'payer' (actual > 0) as the Mann–Whitney statistic on mid-ranks of the score."""
-    m = user_mart(spark, sf_dir)
-    sc = score_frame(m)
-    x = mid_ranks(sc, "score", "r", group="strategy")
     pos = F.col("actual") > 0
-    npos = count_if(pos)
-    nneg = count_if(~pos)
-    u = F.sum(F.when(pos, F.col("r")).otherwise(0.0)) - npos * (npos + F.lit(1)) / F.lit(2.0)
-    return round_doubles(x.groupBy("strategy").agg(
-        npos.alias("positives"), nneg.alias("negatives"),
-        F.try_divide(u, F.nullif(npos.cast("double") * nneg, F.lit(0.0))).alias("auc")))
+    x = mid_rank_values(score_frame(user_mart(spark, sf_dir)), "score", "rs", group="strategy", pos=count_if(pos), neg=count_if(~pos))
+    return round_doubles(x.groupBy("strategy").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), auc_of("rs").alias("auc")))
 
 
 # ---------------------------------------------------------------- E9
@@ -388,13 +403,7 @@ def ranking_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.try_divide(F.sum(F.when(F.col("rn") <= k10, F.col("hi")).otherwise(0)).cast("double"),
                      F.nullif(F.sum("hi").cast("double"), F.lit(0.0))).alias("recall_at_10"))
     base = base.withColumn("lift_at_10", F.try_divide(F.col("c10") * 100.0, F.nullif("total", F.lit(0.0))))
-    rs = mid_ranks(sc, "score", "rs", group="strategy")
-    ra = mid_ranks(rs, "actual", "ra", group="strategy")
-    pos = F.col("actual") > 0
-    npos, nneg = count_if(pos), count_if(~pos)
-    u = F.sum(F.when(pos, F.col("rs")).otherwise(0.0)) - npos * (npos + F.lit(1)) / F.lit(2.0)
-    sp = ra.groupBy("strategy").agg(pearson("rs", "ra").alias("spearman"),
-                                    F.try_divide(u, F.nullif(npos.cast("double") * nneg, F.lit(0.0))).alias("auc"))
+    sp = rank_agreement(score_frame(with_label_rank(m), keep=["ra"]), "strategy")
     o = base.where(F.col("strategy") == "oracle").select("lift_at_10").first()  # one scalar
     j = base.join(sp, "strategy").withColumn("oracle_at_10", F.lit(o[0] if o else None).cast("double"))
     return round_doubles(j.select("strategy", "spearman", "lift_at_10", "oracle_at_10",
@@ -458,7 +467,8 @@ def metrics_by_segment(spark: SparkSession, sf_dir: str, min_users: int = SEG_MI
     m = user_mart(spark, sf_dir)
     keep = m.groupBy("first_country_code").agg(F.count(F.lit(1)).alias("u")).where(F.col("u") > min_users)
     mm = m.join(F.broadcast(keep.select("first_country_code")), "first_country_code", "left_semi")  # ≤ #countries
-    sc = score_frame(mm.withColumnRenamed("first_country_code", "segment"), keep=["segment"])
+    mm = with_label_rank(mm.withColumnRenamed("first_country_code", "segment"), group="segment")
+    sc = score_frame(mm, keep=["segment", "ra"])
     g = group_metrics(sc.withColumn("grp", F.concat_ws("|", "segment", "strategy")), "grp")
     return round_doubles(g.select(F.split("grp", "[|]").getItem(0).alias("segment"),
                                   F.split("grp", "[|]").getItem(1).alias("strategy"), "users", "lift_at_10", "spearman"))
@@ -466,15 +476,13 @@ def metrics_by_segment(spark: SparkSession, sf_dir: str, min_users: int = SEG_MI
 
 def group_metrics(sc: DataFrame, grp: str) -> DataFrame:
     """(grp, users, lift_at_10 [%], spearman) for a score frame with a group column — one grouped pass."""
-    r = global_rank(sc, "score", desc=True, tiebreak="vopenid", measure="actual", group=grp)
+    r = global_rank(sc.select(grp, "vopenid", "score", "actual"), "score", desc=True, tiebreak="vopenid", measure="actual", group=grp)
     st = sc.groupBy(grp).agg(F.count(F.lit(1)).alias("n"), money_sum("actual").alias("total"))
-    x = r.df.join(F.broadcast(st), grp)  # one row per group
+    x = r.df.join(st, grp)  # one row per group; Spark's own size check decides about a broadcast
     lift = x.groupBy(grp).agg(F.try_divide(F.max(F.when(F.col("rn") == _k(F.col("n"), 100), F.col("cum"))) * 100.0,
                                            F.nullif(F.max("total"), F.lit(0.0))).alias("lift_at_10"),
                               F.count(F.lit(1)).alias("users"))
-    rs = mid_ranks(sc, "score", "rs", group=grp)
-    ra = mid_ranks(rs, "actual", "ra", group=grp)
-    sp = ra.groupBy(grp).agg(pearson("rs", "ra").alias("spearman"))
+    sp = rank_agreement(sc, grp).drop("auc")
     return lift.join(sp, grp)
 
 

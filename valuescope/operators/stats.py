@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import job
 from ..functions.exprs import money_sum, pearson, round_doubles
-from ..functions.ranking import global_rank, mid_ranks, prefix_sums_at, quantiles
+from ..functions.ranking import global_rank, mid_rank_values, mid_ranks, prefix_sums_at, quantiles, rank_correlation, rank_sums
 from ..functions.tails import sql_t_two_sided, t_two_sided
 from ..plans.mart import user_mart
 from ..twins import pearson as sql_pearson
@@ -273,14 +273,17 @@ def pearson_features(spark: SparkSession, sf_dir: str, label: str = "ltv30") ->
 
 
 def spearman_long(long: DataFrame, group: str) -> DataFrame:
-    """Spearman per group of a long frame (group, x, y): mid-ranks of x and
-    of y within each group (complete pairs only), then Pearson of the ranks.
-    One grouped rank pass serves every group."""
+    """Spearman per group of a long frame (group, x, y), complete pairs only: y gets its ranks, those of x are
+    weighed by the sums of each distinct x. One grouped rank pass serves every group."""
     base = long.where(F.col("x").isNotNull() & F.col("y").isNotNull()) \
         .select(group, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    rx = mid_ranks(base, "x", "rx", group=group)
-    ry = mid_ranks(rx, "y", "ry", group=group)
-    return ry.groupBy(group).agg(F.count(F.lit(1)).alias("n"), pearson("rx", "ry").alias("rho"))
+    return _rho(mid_ranks(base, "y", "ry", group=group, centred=True), group)
+
+
+def _rho(ranked: DataFrame, group: str) -> DataFrame:
+    """(group, n, rho) of x with the centred ranks ry."""
+    v = mid_rank_values(ranked, "x", "rx", group=group, **rank_sums("ry"))
+    return v.groupBy(group).agg(F.sum("_c").alias("n"), rank_correlation("rx").alias("rho"))
 
 
 @job("spearman_features", sql=with_mart(" UNION ALL ".join(f"""
@@ -300,9 +303,8 @@ def spearman_features(spark: SparkSession, sf_dir: str, label: str = "ltv30") ->
         return df.select(F.col(y).alias("y"), kv).select("kv.feature", "kv.x", "y")
     parts = []
     if whole:  # every row is a complete pair: the label is ranked once for all of these
-        ranked = mid_ranks(m.withColumn(label, F.col(label).cast("double")), label, "ry")
-        rx = mid_ranks(long(ranked, whole, "ry"), "x", "rx", group="feature")
-        parts.append(rx.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), pearson("rx", "y").alias("rho")))
+        ranked = mid_ranks(m.withColumn(label, F.col(label).cast("double")), label, "ry", centred=True)
+        parts.append(_rho(long(ranked, whole, "ry").withColumnRenamed("y", "ry"), "feature"))
     if rest:
         parts.append(spearman_long(long(m, rest, label), "feature"))
     r = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
