@@ -93,3 +93,19 @@ def test_exports_read_back_what_was_written(spark):
     frame = read_version(spark, path + "/oot/scoring")
     assert frame.where("ltv30 is not null").count() == 0 and frame.count() == oot.count()
     assert exports.export_sample(spark, SMALL, path + "/sample").count() == read_manifest(spark, path + "/sample")["rows"] > 0
+
+
+def test_fingerprint_follows_files_in_folders(spark, tmp_path):
+    """One file, a folder and a partitioned folder; a new file and a replaced one each give another digest."""
+    from valuescope.plans.mart import _source_fingerprint
+    df = spark.range(20).selectExpr("id", "id % 2 as p")
+    df.coalesce(1).write.parquet(f"{tmp_path}/a.parquet")
+    df.write.partitionBy("p").parquet(f"{tmp_path}/b.parquet")
+    mark = lambda: _source_fingerprint(spark, f"file://{tmp_path}", ("a", "b"))
+    first = mark()
+    assert first == mark()
+    df.where("p = 1").write.partitionBy("p").mode("append").parquet(f"{tmp_path}/b.parquet")
+    second = mark()
+    assert second != first
+    df.where("id < 3").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/a.parquet")
+    assert mark() not in (first, second)

@@ -102,7 +102,7 @@ def _train(spark, sf_dir, maturity_days=MATURITY_DAYS, groups=tuple(GROUPS)):
     Without a mature cohort there is nothing to learn from: this raises, and no other population is taken."""
     m = user_mart(spark, sf_dir)
     x = _prepared(assign_roles(m, _dump(m), maturity_days))
-    key = (spark.sparkContext.applicationId, _source_fingerprint(sf_dir), maturity_days, tuple(sorted(groups)))
+    key = (spark.sparkContext.applicationId, _source_fingerprint(spark, sf_dir), maturity_days, tuple(sorted(groups)))
     if key not in _MODELS:
         train = x.where(F.col("role") == "train")
         if train.isEmpty():
@@ -272,7 +272,7 @@ def _churn_model(spark, sf_dir):
     m = user_mart(spark, sf_dir).where(F.col("rev_d7") > 0)
     med = cutoff_values(m, "ltv30", {"m": 0.5})["m"]
     x = stratified_test(_prepared(m).withColumn("low_growth", (F.col("ltv30") <= F.lit(med)).cast("double")), "low_growth")
-    key = (spark.sparkContext.applicationId, _source_fingerprint(sf_dir))
+    key = (spark.sparkContext.applicationId, _source_fingerprint(spark, sf_dir))
     if key not in _CHURN:
         vec = VectorAssembler(inputCols=NUMERIC, outputCol="features", handleInvalid="keep")
         clf = GBTClassifier(featuresCol="features", labelCol="low_growth", maxIter=CHURN_TREES, maxDepth=CHURN_DEPTH,

@@ -20,7 +20,6 @@ Plan shape (designed for very large inputs):
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,7 +83,7 @@ def bucketed_logs(spark: SparkSession, sf_dir: str, buckets: int | None = None):
     keys = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
 
     def read(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataFrame:
-        return bucketed(spark, sf_dir, name, keys[name], buckets, _source_fingerprint(sf_dir, (name,))).select(*cols)
+        return bucketed(spark, sf_dir, name, keys[name], buckets, _source_fingerprint(spark, sf_dir, (name,))).select(*cols)
     return read
 
 
@@ -156,15 +155,24 @@ def build_user_mart(spark: SparkSession, sf_dir: str, feat_days: int = FEAT_DAYS
 _MART_CACHE: dict[tuple, str] = {}
 
 
-def _source_fingerprint(sf_dir: str, tables=("orders", "lineitem", "customer", "nation", "region")) -> str:
-    parts = [os.path.abspath(sf_dir)]
+def _source_fingerprint(spark: SparkSession, sf_dir: str, tables=("orders", "lineitem", "customer", "nation", "region")) -> str:
+    """Digest of the paths, lengths and times of the tables' files, on any Hadoop file system.
+
+    A table of one file is asked for its status. The files of a folder, at any depth, are listed and summed by Spark.
+    """
+    parts = [sf_dir.rstrip("/")]
     for t in tables:
-        p = table_path(sf_dir, t)
-        try:
-            st = os.stat(p)
-            parts.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:  # remote file systems: path only
-            parts.append(t)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, t))
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            raise FileNotFoundError(table_path(sf_dir, t))
+        st = fs.getFileStatus(path)
+        if st.isDirectory():
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(table_path(sf_dir, t))
+            one = F.xxhash64("path", "length", F.col("modificationTime").cast("long")).cast("decimal(20,0)")
+            parts += [str(x) for x in files.agg(F.count(F.lit(1)), F.sum("length"), F.sum(one)).first()]  # the content column is not read
+        else:
+            parts += [str(st.getLen()), str(st.getModificationTime())]
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
@@ -183,7 +191,7 @@ def materialized(spark: SparkSession, name: str, sf_dir: str, tables, params: tu
     if spark.conf.get("valuescope.mart.materialize", "true") != "true":
         return build()
     app = spark.sparkContext.applicationId
-    fp = _source_fingerprint(sf_dir, tables)
+    fp = _source_fingerprint(spark, sf_dir, tables)
     key = (app, name, fp, params)
     path = _MART_CACHE.get(key)
     if path is not None and not _table_exists(spark, path):
