@@ -90,14 +90,9 @@ def test_mixing_meets_the_margins_of_every_source(spark, monkeypatch, named):
     for r in got:
         if r["n_tokens"]:
             goal[r["source"]] = goal.get(r["source"], 0) + r["n_tokens"] / total
-    pool = {s: s for s in goal}
-    if named == 3:  # a and d are of nearly one size
-        pool |= {s: math.floor(4 * math.log2(goal[s] * total)) for s in ("a", "b", "d") if s not in sorted((s for s in goal if s), key=lambda s: -goal[s])[:3]}
     goal = {s: v**mixing.TEMPER for s, v in goal.items()}
-    goals = [{}, dict(mixing.LANGS), dict(mixing.TOPICS)]
-    for s, v in goal.items():
-        goals[0][pool[s]] = goals[0].get(pool[s], 0) + v
-    where = lambda r: (pool[r["source"]], r["lang"] if r["lang"] in mixing.LANGS else "*", r["topic"])
+    goals = [goal, dict(mixing.LANGS), dict(mixing.TOPICS)]
+    where = lambda r: (r["source"], r["lang"] if r["lang"] in mixing.LANGS else "*", r["topic"])
     for r in got:
         if r["n_tokens"]:
             cells[where(r)] = cells.get(where(r), 0) + r["n_tokens"]
@@ -115,11 +110,26 @@ def test_mixing_meets_the_margins_of_every_source(spark, monkeypatch, named):
         want = fit[where(r)] * mixing.BUDGET * total / cells[where(r)] if r["n_tokens"] else 1
         assert abs(r["probability"] - want) < 1e-6
     for x, v in goals[0].items():
-        have = sum(r["probability"] * r["n_tokens"] for r in got if r["n_tokens"] and pool[r["source"]] == x) / mixing.BUDGET / total
+        have = sum(r["probability"] * r["n_tokens"] for r in got if r["n_tokens"] and r["source"] == x) / mixing.BUDGET / total
         assert abs(have - v) < 1e-3
     assert goals[0]["hot"] < 0.8 * 1200 / 3150
 
 
+def test_mixing_of_more_sources_than_the_driver_takes(spark, monkeypatch):
+    """2,001 small sources and a hot one: the frame gives what the driver's fit gives, and rows as they are."""
+    rows = [(k, "lorem ipsum " * (9 if k // 2001 == 1 else 65 + k % 5), ["en", "de", "fr", "es", "xx"][k % 5], f"s{k % 2001}") for k in range(3 * 2001)]
+    rows += [(9000 + k, "dolor sit " * (70 if k % 3 else 9), ["en", "de", "fr", "es"][k % 4], "hot") for k in range(3000)]
+    rows += [(1, "", "en", "s1"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    key = lambda r: tuple("" if x is None else str(x) for x in r[:5])
+    far = sorted(mixing.mix(docs, budget=0.1).collect(), key=key)
+    monkeypatch.setattr(mixing, "NAMED", 10_000)
+    near = sorted(mixing.mix(docs, budget=0.1).collect(), key=key)
+    assert len(far) == len(near) == len(rows)
+    for a, b in zip(far, near, strict=True):
+        assert a[:5] == b[:5] and abs(a["probability"] - b["probability"]) < 1e-6 and abs(a["weight"] - b["weight"]) < 1e-6
+
+
 def test_pieces_decode_losslessly_and_vary(docs):
     got = pieces.encode(docs, PATH).collect()
     assert len(got) == docs.count() and all(r["lossless"] for r in got)
