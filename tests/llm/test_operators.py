@@ -73,7 +73,8 @@ def test_license_short_notices(spark):
     want = {"Released under the GPL v3": "gpl", "Licensed under the GPL v2.": "gpl", "LGPL-2.1+": "lgpl", "this is GPLv3 code": "gpl", "CC0": "cc0",
             "dual MIT/Apache-2.0": "apache,mit", "Apache-2.0 OR MIT": "apache,mit", "GPL 2.0 or later": "gpl", "AGPLv3": "agpl", "available under the MIT": "mit",
             "licensed under MPL 2.0": "mpl", "distributed under the GNU GPL": "gpl", "CC0 1.0 Universal": "cc0",
-            "we limit the apache helicopters available under the table": "", "commit to apache": "", "gpl": ""}
+            "MIT Licensed": "mit", "BSD-3-Clause": "bsd-3-clause", "BSD 2 clause licence": "bsd-2-clause", "distributed under the BSD license": "bsd", "BSD licensed": "bsd",
+            "summit licensed guides, a clause of the bsd port": "", "we limit the apache helicopters available under the table": "", "commit to apache": "", "gpl": ""}
     got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")))
     assert {t: got[i]["labels"] for i, t in enumerate(want)} == want
 

@@ -85,6 +85,9 @@ SHORT = [
     ("cc0", 2, "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("apache", 2, "apache", r"apache 2 0|(?:(?<=mit )|(?<=mit or ))apache|apache(?= (?:or )?mit(?![^ ]))"),
     ("mit", 2, "apache", r"mit(?= (?:or )?apache(?![^ ]))|(?:(?<=apache )|(?<=apache or )|(?<=apache 2 0 )|(?<=apache 2 0 or ))mit"),
+    ("mit", 2, "mit licensed", r"mit licensed"),
+    ("bsd", 2, "bsd licen", rf"(?:{UNDER} (?:the |a )?)?bsd licen(?:[cs]e|sed)"),
+    *[(label, 2, "clause", rf"(?:{UNDER} (?:the )?)?bsd {n} clause") for label, n in (("bsd-2-clause", "2"), ("bsd-3-clause", "3"), ("bsd-4-clause", "4"), ("0bsd", "zero"))],
     *[(label, 2, f"under {the}{name}", rf"{UNDER} {the}{name}(?: 2 0)?") for label, name in (("mit", "mit"), ("apache", "apache"), ("mpl", "mpl")) for the in ("the ", "")],
 ]
 #: (label, priority, keyword, regex): rules written one by one.
