@@ -143,3 +143,53 @@ def test_late_counts_agree_with_the_watermark_of_spark(spark):
         dropped.append(sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in q.recentProgress if p.get("stateOperators")))
     assert [r["dropped"] for r in rows] == dropped == [0, 1, 0]
     assert [(r["n_rows"], r["on_time"], r["late_kept"]) for r in rows] == [(6, 6, 0), (4, 1, 2), (3, 1, 2)]
+
+
+class _Store:
+    """A state store that counts its calls: value states, map states and timers of one key."""
+
+    def __init__(self):
+        self.calls, self.timers, self.kept = 0, set(), {}
+
+    def _call(self, put=None, gone=None):
+        self.calls += 1
+        if put:
+            self.kept[put[0]] = put[1]
+        self.kept.pop(gone, None)
+
+    def getValueState(self, *_):  # noqa: N802
+        from types import SimpleNamespace
+        return SimpleNamespace(get=lambda: (self._call(), self.kept.get(0))[1], exists=lambda: (self._call(), 0 in self.kept)[1],
+                               update=lambda v: self._call(put=(0, v)), clear=lambda: self._call(gone=0))
+
+    def getMapState(self, *_):  # noqa: N802
+        from types import SimpleNamespace
+        return SimpleNamespace(iterator=lambda: (self._call(), iter(list(self.kept.items())))[1], removeKey=lambda k: self._call(gone=k),
+                               updateValue=lambda k, v: self._call(put=(k, v)))
+
+    def registerTimer(self, at):  # noqa: N802
+        self._call()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self._call()
+        self.timers.discard(at)
+
+
+def test_calls_of_the_state_store_do_not_grow_with_the_sessions_of_a_user():
+    from types import SimpleNamespace
+    gap, store, job = S.GAP_US, _Store(), S.Sessions()
+    job.init(store)
+    runs = [SimpleNamespace(start=2 * k * gap, stop=(2 * k + 1) * gap, n=1, cents=k) for k in range(100)]
+    assert len(list(job.handleInputRows((1,), iter(runs), None))) == 100
+    assert store.calls <= 4 and len(store.timers) == 1
+    # the run between two of them joins both; what ended by the watermark goes, the others stay with one timer
+    bridge = SimpleNamespace(start=101 * gap - 1, stop=102 * gap + 1, n=1, cents=5)
+    got = {(r.start, r.stop, r.n, r.cents) for r in job.handleInputRows((1,), iter([bridge]), None)}
+    assert got == {(100 * gap, 103 * gap, 3, 106), (102 * gap, 102 * gap, 0, 0)}
+    mark = 150 * gap // 1000
+    for at in [t for t in sorted(store.timers) if t <= mark]:
+        store.timers.discard(at)
+        list(job.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), SimpleNamespace(getExpiryTimeInMs=lambda at=at: at)))
+    assert len(store.timers) == 1 and min(job._held()[0]) == 150 * gap
+    assert store.calls <= 12

@@ -232,14 +232,33 @@ def merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Sessions(StatefulProcessor):
     """Open sessions of a user by start. Runs that overlap one become one; a start that vanishes is sent with n = 0.
-    A timer at a session's end drops it: later events of the watermark cannot reach it."""
+    A timer at the end of the first one drops what has ended by the watermark: later events cannot reach it.
+
+    All open sessions of a user are one value and have one timer, so that a batch calls the state store a fixed number
+    of times for each user, however many sessions there are."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", "stop long, n long, cents long")
+        self.open = handle.getValueState("open", "start array<long>, stop array<long>, n array<long>, cents array<long>, due long")
+
+    def _held(self) -> tuple[dict[int, tuple[int, int, int]], int | None]:
+        held = self.open.get()
+        if held is None:
+            return {}, None
+        start, stop, n, cents, due = held
+        return dict(zip(start, zip(stop, n, cents))), due
+
+    def _hold(self, now: dict[int, tuple[int, int, int]], timer: int | None) -> None:
+        """Keeps the sessions; ``timer`` is the one that is set."""
+        due = min(v[0] for v in now.values()) // 1000 + 1
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.open.update((list(now), *(list(c) for c in zip(*now.values())), due))
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        old = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        old, timer = self._held()
         found = sorted([*((s, *v) for s, v in old.items()), *((r.start, r.stop, r.n, r.cents) for r in rows)])
         now: dict[int, tuple[int, int, int]] = {}
         start = None
@@ -249,19 +268,21 @@ class Sessions(StatefulProcessor):
                 now[start] = max(most, stop), m + n, c + cents
             else:
                 start, now[s] = s, (stop, n, cents)
+        if now != old:
+            self._hold(now, timer)
         for s in old.keys() - now.keys():
-            self.open.removeKey((s,))
             yield Row(user_id=key[0], start=s, stop=s, n=0, cents=0)
         for s, v in now.items():
             if old.get(s) != v:
-                self.open.updateValue((s,), v)
-                self.handle.registerTimer(v[0] // 1000 + 1)
                 yield Row(user_id=key[0], start=s, stop=v[0], n=v[1], cents=v[2])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        for s in [k[0] for k, v in self.open.iterator() if v[0] // 1000 + 1 <= due]:
-            self.open.removeKey((s,))
+        over = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        left = {s: v for s, v in self._held()[0].items() if v[0] // 1000 + 1 > over}
+        if left:
+            self._hold(left, None)  # the timer that was set has just gone off
+        else:
+            self.open.clear()
         return iter(())
 
     def close(self) -> None:
