@@ -84,3 +84,50 @@ def test_chunks_keep_whole_text(spark):
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     total = d.agg(F.sum(F.length("text"))).first()[0]
     assert ch.agg(F.sum(F.length("text"))).first()[0] == total
+
+
+def _documents(spark, rows):
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="vs-docs-", dir="/tmp")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_counts_and_ranks_of_repeated_and_null_ids(spark, monkeypatch):
+    """Rows of one id are one vector; the ways that score rows where they are read, all lists and pruned lists agree."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    texts += [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(20).collect()]
+    ids = [None if i % 13 == 0 else i // 2 if i % 5 == 0 else 1000 + i for i in range(len(texts))]
+    folder = _documents(spark, [(i, t, "en", "s", None) for i, t in zip(ids, texts)] + [(5000, None, "en", "s", None), (5001, "", "en", "s", None)])
+    ct = T.chunk_terms(spark, folder)
+    want = {r["term"]: r["df"] for r in ct.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    got = {r["term"]: r["df"] for r in T.document_counts(spark, folder).collect()}
+    assert got.pop(None) == T.chunk_table(spark, folder).count() and got == want
+    rows, full, pruned = (sorted(map(str, T.tfidf_topk(spark, folder, full_rows=n).collect())) for n in (None, 10**9, 0))
+    assert rows == full == pruned and len(rows) > 20
+    for most in (0, 200):  # few terms are held: the lengths come from entries that are shuffled
+        monkeypatch.setattr(T, "HELD_TERMS", most)
+        assert sorted(map(str, T.tfidf_topk(spark, folder).collect())) == full
+
+
+def test_vocabulary_shuffles_no_pairs_of_chunk_and_term(spark, monkeypatch):
+    def fails(*_):
+        raise AssertionError("the pairs of chunk and term are written")
+    monkeypatch.setattr(T, "chunk_terms", fails)
+    assert T.tfidf_vocabulary(spark, SMALL).count() > 100
+    assert T.tfidf_topk(spark, SMALL).count() > 0
+
+
+def test_copies_are_ranked_by_id_in_small_batches(spark, monkeypatch):
+    rows = [("a", ["x", "y"]), ("c", ["x"]), ("b", ["x"]), ("e", ["z", "x"]), ("d", ["x"]), ("f", []), ("g", ["other"]), ("h", None)]
+    batch = T.pa.RecordBatch.from_arrays([T.pa.array([c for c, _ in rows]), T.pa.array([w for _, w in rows], T.pa.list_(T.pa.string())),
+                                          T.pa.array([1.0 if c == "g" else 0.0 for c, _ in rows])], names=["cid", "words", "rest"])
+    q = T.pa.table({"item_id": [1, 2, 2], "term": ["x", "y", "z"], "wq": [1.0, 0.6, 0.8]})
+    v = T.pa.table({"term": ["x", "y", "z"], "idf": [1.0, 1.0, 1.0]})
+    for cells in (1, 4, 1000):
+        monkeypatch.setattr(T, "CELLS", cells)
+        got = [r for out in T.best_in_batches(q, v, 2, 0.1)(iter([batch])) for r in out.to_pylist()]
+        best = {i: sorted((-round(r["score"], 9), r["cid"]) for r in got if r["item_id"] == i)[:2] for i in (1, 2)}
+        assert best[1] == [(-1.0, "b"), (-1.0, "c")] and [c for _, c in best[2]] == ["e", "a"]
+    assert len(got) == 4

@@ -33,6 +33,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +52,10 @@ SALT_BUCKETS = 16
 SEEDS, SEEDED = 8, 32
 #: Entries of the lists up to which one plain join is cheaper than the bounds.
 FULL_ROWS = 50_000_000
+#: Entries of query vectors up to which every task holds them all, and how many of the commonest terms it holds (some tens of MB).
+HELD_QUERIES, HELD_TERMS = 500_000, 300_000
+#: Scores of chunks with queries that a task works out at a time.
+CELLS = 2_000_000
 #: Room for rounding where a bound meets a floor, and the decimals by which scores rank.
 SLACK, DECIMALS = 1e-7, 9
 # The words of 2+ letters of the English stop-word list of Spark ML.
@@ -81,6 +88,155 @@ def _terms(df: DataFrame, id_cols: list[str]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("tf"))
 
 
+def tokens() -> F.Column:
+    """Words of ``text`` in order, stop words too."""
+    return F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_PATTERN), 0)
+
+
+def marked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cid, text, again): every chunk, and whether its document id comes more than once (null ids are one id). Chunks
+    of one cid are one vector, so only those of repeated ids have to be brought together; the texts of the others stay
+    where they are read."""
+    from ..plans.mart import materialized
+    ids = lambda: read_table(spark, sf_dir, "documents", ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    repeated = materialized(spark, "repeated_ids", sf_dir, ("documents",), ("doc_id",), lambda: ids().where("c > 1").select(F.col("doc_id").alias("_id")))
+    ch = chunks(spark, sf_dir)
+    return ch.join(repeated.withColumn("again", F.lit(True)), ch["doc_id"].eqNullSafe(F.col("_id")), "left").select(
+        F.concat_ws(":", "doc_id", "chunk_no").alias("cid"), "text", F.coalesce("again", F.lit(False)).alias("again"))
+
+
+def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, df): the chunks that have the term; the null term stands for all chunks. Written once per application.
+
+    The distinct terms of a chunk are counted from its own row: a task sends a row a term, and no pair of chunk and
+    term is shuffled or written but those of repeated ids."""
+    from ..plans.mart import materialized
+
+    def build() -> DataFrame:
+        ch = marked_chunks(spark, sf_dir)
+        words = F.array_except(tokens(), F.array(*map(F.lit, STOP_WORDS)))  # distinct ones
+        once = ch.where("not again").select(F.explode(F.array_append(words, F.lit(None).cast("string"))).alias("term"))
+        again = ch.where("again")
+        merged = _terms(again.select("cid", "text"), ["cid"]).select("term")
+        return once.unionAll(merged).unionAll(again.select(F.lit(None).cast("string").alias("term"))) \
+            .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return materialized(spark, "tfidf_terms", sf_dir, ("documents",), (TOKEN_PATTERN, "df"), build)
+
+
+def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, df, idf) of all terms."""
+    counts = document_counts(spark, sf_dir)
+    n = (counts.where("term is null").first() or {"df": 0})["df"]
+    return counts.where("term is not null").select("term", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+
+
+def held_terms(idf: DataFrame, wq: DataFrame) -> DataFrame:
+    """(term, idf) of the commonest terms, HELD_TERMS at most, and of all terms of queries."""
+    n, least = 0, None
+    for r in idf.groupBy("df").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("df")).toLocalIterator():
+        n += r["c"]
+        if n > HELD_TERMS:
+            break
+        least = r["df"]
+    asked = wq.select("term").distinct().withColumn("asked", F.lit(True))
+    common = F.col("df") >= F.lit(least) if least is not None else F.lit(False)
+    return idf.join(asked, "term", "left").where(common | F.coalesce("asked", F.lit(False))).select("term", "idf")
+
+
+def other_terms(held: pa.Array):
+    """A function of Arrow batches (cid, words) of whole chunks: (cid, term, tf) of the words that are not held."""
+    def run(batches):
+        for b in batches:
+            row, code = _coded(b)
+            if not len(row):
+                continue
+            other = pc.is_null(pc.index_in(code.dictionary, value_set=held)).to_numpy(zero_copy_only=False)
+            at = code.indices.to_numpy()
+            pair, tf = np.unique((row * len(code.dictionary) + at)[other[at]], return_counts=True)
+            row, at = np.divmod(pair, len(code.dictionary))
+            yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(row)), code.dictionary.take(pa.array(at)), pa.array(tf)], names=["cid", "term", "tf"])
+    return run
+
+
+def _coded(b: pa.RecordBatch) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The row of every word of a batch, and the words."""
+    words = b.column("words")
+    return np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(words), 0).to_numpy()), words.flatten().dictionary_encode()
+
+
+def best_in_batches(queries: pa.Table, vocabulary: pa.Table, k: int, min_score: float):
+    """A function of Arrow batches (cid, words, rest) of whole chunks: the scores of every chunk of a batch with every query
+    over all terms that they share. ``vocabulary`` has the terms of the queries; ``rest`` is the squared length of a
+    chunk's vector over the words that are not in it. Of CELLS scores at a time, the k best of each query go on (more where rounding may
+    order them anew)."""
+    terms, idf = vocabulary["term"].combine_chunks(), vocabulary["idf"].to_numpy()
+    items = queries["item_id"].combine_chunks().dictionary_encode()
+    term = pc.index_in(queries["term"].combine_chunks(), value_set=terms).to_numpy()
+    order = np.argsort(term, kind="stable")  # a list of queries for each term
+    item, wq, many = items.indices.to_numpy()[order], queries["wq"].to_numpy()[order], np.bincount(term, minlength=len(terms))
+    first, n_items = np.cumsum(many) - many, len(items.dictionary)
+
+    def vectors(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, code = _coded(b)
+        place = pc.fill_null(pc.index_in(code.dictionary, value_set=terms), -1).to_numpy()[code.indices.to_numpy()]
+        pair, tf = np.unique((row * len(terms) + place)[place >= 0], return_counts=True)
+        row, place = np.divmod(pair, max(len(terms), 1))
+        w = tf * idf[place]
+        norm = np.sqrt(np.bincount(row, w * w, b.num_rows) + b.column("rest").to_numpy())
+        return row, place, w / norm[row]
+
+    def run(batches):
+        for b in batches:
+            row, place, w = vectors(b)
+            held = many[place] > 0
+            row, place, w = row[held], place[held], w[held]
+            cells = np.cumsum(np.bincount(row, many[place], b.num_rows) + n_items) // CELLS
+            for rows in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(cells)) + 1):
+                if not len(rows) or not n_items:
+                    continue
+                lo, hi = np.searchsorted(row, [rows[0], rows[-1] + 1])
+                n = many[place[lo:hi]]
+                of = np.repeat(np.arange(lo, hi), n)  # an entry of a chunk meets the queries of its term
+                at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[place[of]]
+                s = np.bincount((row[of] - rows[0]) * n_items + item[at], w[of] * wq[at], len(rows) * n_items).reshape(len(rows), n_items)
+                least = np.full(n_items, min_score)
+                if len(rows) > k:
+                    least = np.maximum(least, np.partition(s, len(rows) - k, axis=0)[len(rows) - k] - 2 * 10.0 ** -DECIMALS)
+                r, i = np.nonzero((s >= least) & (s > min_score))
+                ids = np.asarray(b.column("cid").to_pylist()[rows[0]:rows[-1] + 1], dtype=str)
+                by = np.lexsort((np.argsort(np.argsort(ids))[r], s[r, i], i))  # of copies, which have one score, k by their id
+                r, i = r[by], i[by]
+                new = np.r_[True, (i[1:] != i[:-1]) | (s[r[1:], i[1:]] != s[r[:-1], i[:-1]])][:len(r)]
+                some = np.arange(len(r)) - np.maximum.accumulate(np.where(new, np.arange(len(r)), 0)) < k
+                r, i = r[some], i[some]
+                yield pa.RecordBatch.from_arrays([items.dictionary.take(pa.array(i)), b.column("cid").take(pa.array(r + rows[0])), pa.array(s[r, i])],
+                                                 names=["item_id", "cid", "score"])
+    return run
+
+
+def found_in_rows(spark: SparkSession, sf_dir: str, wq: DataFrame, idf: DataFrame, k: int, min_score: float) -> DataFrame:
+    """(item_id, cid, score) with the k best chunks of every query: a chunk is scored whole, in one row. Tasks hold the
+    query vectors and the commonest terms; only the entries of other terms are shuffled, for the lengths of the chunks.
+    Chunks of repeated document ids are brought together by the full product."""
+    ch = marked_chunks(spark, sf_dir)
+    once = ch.where("not again").select("cid", F.filter(tokens(), lambda t: ~t.isin(STOP_WORDS)).alias("words"))
+    held = held_terms(idf, wq).toArrow()
+    score = best_in_batches(wq.select("item_id", "term", "wq").toArrow(), held, k, min_score)
+    others = once.mapInArrow(other_terms(held["term"].combine_chunks()), "cid string, term string, tf long").join(idf.select("term", "idf"), "term")
+    rest = others.groupBy("cid").agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("rest"))
+    once = once.join(rest, "cid", "left").select("cid", "words", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+    rows = once.mapInArrow(score, f"item_id {wq.schema['item_id'].dataType.simpleString()}, cid string, score double")
+    merged = weighted(_terms(ch.where("again").select("cid", "text"), ["cid"]), idf)
+    return rows.unionByName(product(wq, merged))
+
+
+def weighted(ct: DataFrame, idf: DataFrame) -> DataFrame:
+    """(cid, term, wd): unit vectors of (cid, term, tf)."""
+    w = ct.join(idf.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = w.groupBy("cid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
+    return w.join(norm, "cid").select("cid", "term", (F.col("w") / F.col("nrm")).alias("wd"))
+
+
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cid, doc_id, chunk_no, heading, text): the split is done once per application and written to the
     shared folder; later reads prune to the columns they need."""
@@ -98,18 +254,12 @@ def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_index(spark: SparkSession, sf_dir: str, vocab: int | None = None):
-    ch = chunk_table(spark, sf_dir)
     ct = chunk_terms(spark, sf_dir)
-    n_chunks = ch.count()
-    stats = ct.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df")) \
-        .withColumn("tid", F.xxhash64("term"))
+    idf = idf_table(spark, sf_dir)
     if vocab is not None:
-        stats = global_rank(stats, "cnt", desc=True, tiebreak="tid").df.where(F.col("rn") <= vocab)
-    idf = stats.select("term", "df", (F.log((F.lit(1.0) + n_chunks) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    w = ct.join(idf.drop("df"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("cid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    wd = w.join(norm, "cid").select("cid", "term", (F.col("w") / F.col("nrm")).alias("wd"))
-    return ch, idf, wd
+        stats = ct.groupBy("term").agg(F.sum("tf").alias("cnt")).withColumn("tid", F.xxhash64("term"))
+        idf = idf.join(global_rank(stats, "cnt", desc=True, tiebreak="tid").df.where(F.col("rn") <= vocab).select("term"), "term")
+    return chunk_table(spark, sf_dir), idf, weighted(ct, idf)
 
 
 def with_tails(vectors: DataFrame, of: str, w: str, df: DataFrame) -> DataFrame:
@@ -241,10 +391,17 @@ top AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY ROUND(sc
 FROM top JOIN ch ON top.cid = ch.cid WHERE rank <= {TOP_K}"""))
 def tfidf_topk(spark: SparkSession, sf_dir: str, k: int = TOP_K, min_score: float = MIN_SCORE, full_rows: int | None = None) -> DataFrame:
     """Top-k chunks per benchmark query by TF-IDF cosine, score above min_score (the top-k is the feature).
-    Up to ``full_rows`` entries (known from the terms' frequencies) all lists are read; beyond it, the pruned way. Both are exact."""
-    ch, idf, wd = tfidf_index(spark, sf_dir)
+    Query vectors of up to HELD_QUERIES entries go to every task, and each chunk is scored in one row.
+    Beyond it, or with ``full_rows``: up to as many entries (known from the terms' frequencies) all lists are read,
+    and with more the pruned way is taken. All are exact."""
+    idf = idf_table(spark, sf_dir)
     save = _saver(spark)
     wq = save(query_vectors(spark, sf_dir, idf))
+    if full_rows is None and wq.count() <= HELD_QUERIES:
+        top = best(found_in_rows(spark, sf_dir, wq, idf, k, min_score).where(F.col("score") > min_score), k)
+        meta = chunks(spark, sf_dir).drop("text").withColumn("cid", F.concat_ws(":", "doc_id", "chunk_no"))
+        return round_doubles(meta.join(F.broadcast(top), "cid").select("item_id", "rank", "doc_id", "chunk_no", "heading", "score"))
+    ch, idf, wd = tfidf_index(spark, sf_dir)
     rows = wq.join(idf, "term").agg(F.sum("df")).first()[0] or 0
     if rows <= (full_rows if full_rows is not None else FULL_ROWS):
         found = product(wq, wd)
@@ -258,5 +415,4 @@ def tfidf_topk(spark: SparkSession, sf_dir: str, k: int = TOP_K, min_score: floa
 @job("tfidf_vocabulary", sql=_sql("SELECT term, ROUND(idf, 6) AS idf FROM idf"))
 def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted vocabulary with document frequency based IDF weights."""
-    _, idf, _ = tfidf_index(spark, sf_dir)
-    return round_doubles(idf.select("term", "idf"))
+    return round_doubles(idf_table(spark, sf_dir).select("term", "idf"))
