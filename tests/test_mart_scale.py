@@ -55,3 +55,30 @@ def test_training_rows_are_dealt_over_tasks(spark):
     sizes = ml.spread(df, 30_000).rdd.glom().map(len).collect()
     assert sum(sizes) == 30_000 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * 30_000 / len(sizes)
     assert ml.spread(df, 100 * ml.TASK_ROWS).rdd.getNumPartitions() >= 100
+
+
+def test_shuffles_of_a_written_table_follow_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHUFFLE_ROWS", 10)
+    n, seen = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count(), {}
+    before = {k: spark.conf.get(k, None) for k in (M.PARTITIONS, *M.TASK_BYTES)}
+
+    def build():
+        seen.update({k: spark.conf.get(k) for k in before})
+        return spark.range(5)
+
+    M.materialized(spark, "sized", "/root/testdata/sf0.001", ("orders",), ("sized",), build)
+    assert int(seen[M.PARTITIONS]) == -(-n // 10) > int(before[M.PARTITIONS]) and all(seen[k] == (before[k] or v) for k, v in M.TASK_BYTES.items())
+    assert {k: spark.conf.get(k, None) for k in before} == before
+    with pytest.raises(ZeroDivisionError):
+        M.materialized(spark, "fails", "/root/testdata/sf0.001", ("orders",), ("fails",), lambda: 1 // 0)
+    assert {k: spark.conf.get(k, None) for k in before} == before
+
+
+def test_the_joins_of_the_logs_do_not_change_with_the_size(spark):
+    kinds = lambda: re.findall(r"(\w+Join) ", M.game_sums(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+    small = kinds()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert small == kinds() == ["SortMergeJoin", "SortMergeJoin"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
