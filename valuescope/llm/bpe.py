@@ -72,7 +72,7 @@ class Model:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """(rank << 32 | merged id) of each pair, NONE << 22 where the pair has no piece."""
-        key = np.where((a >= 0) & (b >= 0), (a << 32) | b, -2)
+        key = (a << 32) | b  # negative where a symbol is, and no pair is; -1 finds free slots only, whose value is NONE << 22
         at = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
         got = self.slots[at]
         out = np.where(got == key, self.vals[at], NONE << 22)
@@ -151,12 +151,17 @@ def merge_block(m: Model, sym: np.ndarray, key=None, seed: int = 0, rate: float
     at = np.arange(len(sym))
     start = np.broadcast_to(np.arange(n + 1), (len(at), n + 1)).copy() if places else None
 
-    def ranked(a, b, where):
-        r = m.rank(a, b)
-        return np.where(skipped(seed, *where, rate), NONE << 22, r) if rate else r
+    def ranked(r, c):
+        """Ranks of the pairs at columns ``c`` of rows ``r``; only pairs that have a piece are asked for their skip."""
+        got = m.rank(sym[r, c], sym[r, c + 1])
+        if rate:
+            is_ = np.nonzero(got < (NONE << 22))[0]
+            r, c = r[is_], c[is_]
+            got[is_[skipped(seed, key[r], start[r, c], start[r, c + 1], start[r, c + 2], rate)]] = NONE << 22
+        return got
 
     if n > 1:
-        rank = ranked(sym[:, :-1], sym[:, 1:], rate and (key[:, None], start[:, :-2], start[:, 1:-1], start[:, 2:]))
+        rank = ranked(np.repeat(at, n - 1), np.tile(np.arange(n - 1), len(at))).reshape(-1, n - 1)
     while len(at) and (width := sym.shape[1]) > 1:
         p = rank.argmin(1)
         best = rank[np.arange(len(at)), p]
@@ -172,12 +177,11 @@ def merge_block(m: Model, sym: np.ndarray, key=None, seed: int = 0, rate: float
         sym[row, p] = best & 0xFFFFFFFF
         sym, rank = dropped(sym, p + 1), dropped(rank, p)
         start = dropped(start, p + 1) if places else None
-        for side in (-1, 0):  # the pairs left and right of the new symbol
-            q = p + side
-            ok = (q >= 0) & (q + 1 < width - 1)
-            if ok.any():
-                r, c = row[ok], q[ok]
-                rank[r, c] = ranked(sym[r, c], sym[r, c + 1], rate and (key[ok], start[r, c], start[r, c + 1], start[r, c + 2]))
+        row, q = np.concatenate([row, row]), np.concatenate([p - 1, p])  # the pairs left and right of the new symbol
+        ok = (q >= 0) & (q + 1 < width - 1)
+        r, c = row[ok], q[ok]
+        if len(r):
+            rank[r, c] = ranked(r, c)
     if len(at):
         yield at, sym
 
@@ -187,17 +191,19 @@ def merge_units(m: Model, new: list[str], keys=None, seed: int = 0, rate: float
 
     ``log`` gets (places, packed spans) of the merges, but for the long ones.
     """
-    by: dict[int, list[int]] = {}
-    for k, u in enumerate(new):
-        by.setdefault(len(u), []).append(k)
-    for n, which in by.items():
+    lengths = np.fromiter(map(len, new), np.int64, len(new))
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.nonzero(np.diff(lengths[order]))[0] + 1
+    if rate:
+        keys = np.asarray(keys, np.uint64)
+    for at in np.split(order, cuts) if len(new) else []:
+        n, which = int(lengths[at[0]]), at.tolist()
         if n > LONG:
             for k in which:
                 yield np.array([k]), np.array([merge_one(m, m.symbols(new[k]), None if keys is None else keys[k], seed, rate)], np.int64)
             continue
-        at = np.array(which)
-        chars = np.frombuffer("".join([new[k] for k in which]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        key = np.array([keys[k] for k in which], np.uint64) if rate else None
+        chars = np.frombuffer("".join(map(new.__getitem__, which)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        key = keys[at] if rate else None
         done = None if log is None else []
         for where, sym in merge_block(m, m.chars[chars].reshape(-1, n), key, seed, rate, done):
             yield at[where], sym

@@ -28,6 +28,7 @@ from valuescope.llm import bpe
 
 SEED, RATE = 17, 0.1
 CACHE = 400_000
+ROWS, CHARS = 1000, 1 << 22  # of a batch that are encoded at once: the more occurrences a round merges, the fewer calls
 MARK = "\udfff"  # stands for a space mark of the text while it is cut; no valid text holds it
 SCHEMA = "doc_id long, ids array<int>, n_ids long, n_bytes long, lossless boolean"
 
@@ -105,10 +106,10 @@ def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = RATE,
         m = bpe.model(path)
         plain = Plain(m)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                s = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, ROWS):
+                s = b.slice(lo, ROWS)
                 rows = list(zip(s.column(0).to_pylist(), [t or "" for t in s.column(1).to_pylist()], strict=True))
-                for part in bpe.in_parts(rows):
+                for part in bpe.in_parts(rows, CHARS):
                     units = [cut(t) for _, t in part]
                     if len(plain.at) > CACHE:
                         plain.clear()
