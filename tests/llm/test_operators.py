@@ -131,6 +131,40 @@ def test_mixing_of_more_sources_than_the_driver_takes(spark, monkeypatch):
         assert a[:5] == b[:5] and abs(a["probability"] - b["probability"]) < 1e-6 and abs(a["weight"] - b["weight"]) < 1e-6
 
 
+def test_mixing_counts_and_topics_of_odd_texts(spark):
+    """All kinds of space, marks and letters by plain rules."""
+    parts = ["a", "Zz9", "é", "日本", "🙂", "\u00a0", "\u0085", "\u200b", "\x00", "\x1c", "\x7f", " ", "  ", "\t", "\n", "\x0b", "\f", "\r", *map(chr, range(0x21, 0x30)), *map(chr, range(0x3A, 0x41)),
+             "[", "`", "{", "~", " | ", "%&", "$#*", "x"]
+    rng = np.random.default_rng(5)
+    texts = [None, "", " ", "\r\n\t\x0b\f ", "x", "x ", " x", "!", " ! ", "x!x", "xx xx", "".join(parts)]
+    texts += ["".join(rng.choice(parts, size=rng.integers(1, 40))) for _ in range(400)]
+    texts += [y + " word" * 130 for x in mixing.LICENSED for y in (x, x.upper(), x.title(), x.replace(" ", "  "), x[:-1], x.replace("i", "\u0130"), x.replace("s", "\u017f"))]
+    texts += ["a | b " * 70, "a | | b " * 70, "one two % " * 70, "w " * 119, "w " * 120]
+
+    def topic(t, n):
+        if re.search("licensed under|rights reserved|public license|the mit license", t, re.I | re.A):
+            return "licensed"
+        if t.count(" | ") * 8 > n:
+            return "tabular"
+        return "noisy" if sum(map(t.count, "%&$#*")) * 8 > n else "brief" if n < 120 else "prose"
+
+    got = by_id(mixing.mix(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")))
+    for i, t in enumerate(texts):
+        n = len(re.findall(r"[^ \t\n\x0B\f\r\x21-\x2F\x3A-\x40]+|[\x21-\x2F\x3A-\x40]+", t or ""))
+        assert (got[i]["n_tokens"], got[i]["topic"]) == (n, topic(t or "", n)), repr(t)
+    assert {r["topic"] for r in got.values()} == set(mixing.TOPICS)
+
+
+def test_mixing_reads_texts_without_lists_of_matches_or_ranges(docs, monkeypatch):
+    """The pass over the texts makes no list of all tokens, looks no letter up in a map, and its classes have no ranges (Java tries these one by one)."""
+    seen, keep = [], mixing.saved
+    monkeypatch.setattr(mixing, "saved", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    assert mixing.mix(docs).count() == docs.count()
+    assert "regexp_replace(" in seen[0]
+    for dear in ("regexp_extract_all(", "translate(", "RLIKE", r"\s", r"\x21-"):
+        assert dear not in seen[0]
+
+
 def test_pieces_decode_losslessly_and_vary(docs):
     got = pieces.encode(docs, PATH).collect()
     assert len(got) == docs.count() and all(r["lossless"] for r in got)

@@ -24,6 +24,7 @@ id is hashed as 0 with the length of its text. An empty table gives an empty res
 
 from __future__ import annotations
 
+import functools
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,6 +46,11 @@ LANGS = {"en": 0.52, "de": 0.18, "fr": 0.18, "es": 0.12}
 TOPICS = {"licensed": 0.03, "tabular": 0.07, "noisy": 0.05, "brief": 0.10, "prose": 0.75}
 #: Share of all tokens that the sample should hold.
 BUDGET = 0.7
+#: Space and marks, as members of a class one by one: Java finds these in a table, and tries ranges and \s one after another.
+SPACES = r"\x20\t\n\x0B\f\r"
+MARKS = "".join(rf"\x{k:02X}" for k in (*range(0x21, 0x30), *range(0x3A, 0x41)))
+#: In lower case; a text with one of these is licensed.
+LICENSED = ("licensed under", "rights reserved", "public license", "the mit license")
 #: What decides about a row besides its id.
 KEY = ("text", "source", "lang")
 
@@ -59,11 +65,17 @@ class Targets:
         return {"source": self.source, "lang": self.lang, "topic": self.topic}
 
 
+def token_count(text: Column) -> Column:
+    """Runs of words and of marks: each becomes one letter, with the space after it, and the letters are counted."""
+    return F.length(F.ltrim(F.regexp_replace(text, rf"(?:[^{SPACES}{MARKS}]++|[{MARKS}]++)[{SPACES}]*+", "x"), F.lit(" \t\n\x0b\f\r"))).cast("long")
+
+
 def topic_of(text: Column, tokens: Column) -> Column:
     """The first rule that holds names the topic."""
     bars = F.length(text) - F.length(F.replace(text, F.lit(" | "), F.lit("  ")))
-    noise = F.length(text) - F.length(F.translate(text, "%&$#*", ""))
-    return (F.when(text.rlike("(?i)licensed under|rights reserved|public license|the mit license"), "licensed")
+    noise = F.length(text) - F.length(F.regexp_replace(text, "[%&$#*]+", ""))
+    lower = F.lower(text)
+    return (F.when(functools.reduce(Column.__or__, [F.contains(lower, F.lit(x)) for x in LICENSED]), "licensed")
             .when(bars * 8 > tokens, "tabular").when(noise * 8 > tokens, "noisy")
             .when(tokens < 120, "brief").otherwise("prose"))
 
@@ -236,7 +248,7 @@ def mix(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET,
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"),
                        docs["lang"].cast("string").alias("lang"), text.alias("text"), *key)
-    base = base.withColumn("n_tokens", F.regexp_count("text", F.lit(r"[^\s\x21-\x2F\x3A-\x40]+|[\x21-\x2F\x3A-\x40]+")).cast("long"))
+    base = base.withColumn("n_tokens", token_count(F.col("text")))
     base = saved(base.select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens",
                              F.length("text").alias("len"), *(["key"] if keyed else [])))
     cats = [category(F.col(k), v).alias(f"cell_{k}") for k, v in dims.items() if k != "source"]
